@@ -38,9 +38,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes that df reads; used only to size partitions."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
+    """Catalyst's estimate of the bytes that df reads, 0 if it has none; used only to size partitions."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
