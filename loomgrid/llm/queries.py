@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import decontaminate
 from .langid import language_id
 from .licenses import license_scan
 from .packing import best_fit_packing
@@ -42,6 +43,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -51,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_url_filters, op6_token_files, op8_license_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_url_filters, op6_token_files, op7_decontamination, op8_license_scan, op10_toxicity)}
 
 
 def _urls_sql() -> str:
