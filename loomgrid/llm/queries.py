@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import decontaminate
 from .langid import language_id
 from .licenses import license_scan
+from .neardup import near_duplicates
 from .packing import best_fit_packing
 from .quality import quality_rules
 from .tokenfile import token_files
@@ -51,12 +52,16 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_url_filters, op6_token_files, op7_decontamination, op8_license_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_url_filters, op6_token_files, op7_decontamination, op8_license_scan, op9_minhash_near_dedup, op10_toxicity)}
 
 
 def _urls_sql() -> str:
