@@ -15,7 +15,7 @@ null; other columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -274,8 +274,9 @@ def scan(column: pa.Array, p: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarr
 FOUND = "row long, doc_id long, n_words long, spans array<struct<first:long,n:long>>, items array<string>"
 
 
-def find_block(rows: DataFrame, block: Phrases | None) -> DataFrame:
-    """rows: row, doc_id, text."""
+def find_block(rows: DataFrame, block: Phrases | None, carry: Sequence[str] = ()) -> DataFrame:
+    """rows: row, doc_id, text, and what is carried along."""
+    schema = FOUND + "".join(f", `{c}` {kind}" for c in carry for name, kind in rows.dtypes if name == c)
     sent = rows.sparkSession.sparkContext.broadcast(block)
 
     def lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.Array:
@@ -294,24 +295,24 @@ def find_block(rows: DataFrame, block: Phrases | None) -> DataFrame:
                 n_words, srow, first, size, irow, item = scan(text, p)
                 names = pa.array(p.names[item].tolist(), pa.string())
             spans = pa.StructArray.from_arrays([pa.array(first), pa.array(size)], ["first", "n"])
-            yield pa.RecordBatch.from_arrays([part["row"].combine_chunks(), part["doc_id"].combine_chunks().cast(pa.int64()), pa.array(n_words), lists(srow, n, spans), lists(irow, n, names)], ["row", "doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([part["row"].combine_chunks(), part["doc_id"].combine_chunks().cast(pa.int64()), pa.array(n_words), lists(srow, n, spans), lists(irow, n, names), *(part[c].combine_chunks() for c in carry)], ["row", "doc_id", "n_words", "spans", "items", *carry])
 
-    return rows.mapInArrow(run, FOUND)
+    return rows.mapInArrow(run, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_percent: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (first word, words) and items."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_percent: int = 5, block_bytes: int = 16 << 20, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (first word, words), items, and columns of docs named in carry."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *(c for c in carry if c != "text"))
     found = None
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == b)
-        part = find_block(rows, phrases([(r["name"], r["text"]) for r in own.collect()], window))
+        part = find_block(rows, phrases([(r["name"], r["text"]) for r in own.collect()], window), carry)
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
-        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), *(F.first(c).alias(c) for c in carry))
         zero = F.array().cast("array<struct<first:bigint,n:bigint>>")
 
         def merge(acc, x):
@@ -322,6 +323,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
         found = found.withColumn("spans", F.aggregate(F.sort_array("spans"), zero, merge)).withColumn("items", F.array_distinct("items"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
-    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), "spans", F.sort_array("items").alias("items"))
+    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), "spans", F.sort_array("items").alias("items"), *carry)
     dirty = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= min_percent * F.col("n_words"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", dirty.alias("contaminated"), "spans", "items")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", dirty.alias("contaminated"), "spans", "items", *carry)

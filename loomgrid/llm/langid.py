@@ -14,7 +14,7 @@ nothing can be learned, every text is 'und'.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -132,8 +132,8 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return out
 
 
-def language_id(docs: DataFrame, *, max_labelled: int = 3000, ambiguous_gap: float = 0.2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and ambiguous."""
+def language_id(docs: DataFrame, *, max_labelled: int = 3000, ambiguous_gap: float = 0.2, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, ambiguous, and columns of docs named in carry."""
     spark = docs.sparkSession
     texts, labels = labelled_texts(docs.select("doc_id", "text", "lang"), max_labelled)
     model = train(np.concatenate([ngram_features(pa.array(texts[i : i + 500], pa.string())) for i in range(0, len(texts), 500)]), labels) if texts else None
@@ -154,9 +154,10 @@ def language_id(docs: DataFrame, *, max_labelled: int = 3000, ambiguous_gap: flo
                 names = np.array(m.langs, object)
             lang = np.where(known, names[best], UNDEFINED)
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"].combine_chunks().cast(pa.int64()), part["held_out"].combine_chunks(), pa.array(lang.tolist(), pa.string()), pa.array(np.where(known, score, 0.0).astype(np.float64)), pa.array(known & (gap < ambiguous_gap))],
-                ["doc_id", "held_out", "lang_pred", "score", "ambiguous"],
+                [part["doc_id"].combine_chunks().cast(pa.int64()), part["held_out"].combine_chunks(), pa.array(lang.tolist(), pa.string()), pa.array(np.where(known, score, 0.0).astype(np.float64)), pa.array(known & (gap < ambiguous_gap)), *(part[c].combine_chunks() for c in carry)],
+                ["doc_id", "held_out", "lang_pred", "score", "ambiguous", *carry],
             )
 
-    # only doc_id, the fold and the text reach the workers
-    return docs.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    schema = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean" + "".join(f", `{c}` {kind}" for c in carry for name, kind in docs.dtypes if name == c)
+    # a prediction sees the text alone; carried columns pass by it
+    return docs.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "text", *(c for c in carry if c != "text")).mapInArrow(run, schema)

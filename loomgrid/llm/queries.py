@@ -13,6 +13,7 @@ from .licenses import license_scan
 from .neardup import near_duplicates
 from .packing import best_fit_packing
 from .quality import quality_rules
+from .suffixdedup import suffix_dedup
 from .tokenfile import token_files
 from .toxicity import toxicity
 from .urls import LISTED, RULES, rule_text, url_filter
@@ -40,6 +41,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -61,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_url_filters, op6_token_files, op7_decontamination, op8_license_scan, op9_minhash_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_url_filters, op5_suffix_array_dedup, op6_token_files, op7_decontamination, op8_license_scan, op9_minhash_near_dedup, op10_toxicity)}
 
 
 def _urls_sql() -> str:
