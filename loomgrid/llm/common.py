@@ -49,6 +49,14 @@ def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return min(max(conf, -(-input_bytes(df) // bytes_each)), 200_000)
 
 
+def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """df if it has `most` rows or fewer, else about that many, by a hash of key alone. It is counted by key only."""
+    n = df.select(key).count()
+    if n <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(most / n * (1 << 40)))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row; a lambda would else compute it for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)

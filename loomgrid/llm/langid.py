@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, gathered, text_bytes
+from .common import fold, gathered, hash_sample, text_bytes
 
 DIMS = 4096
 UNDEFINED = "und"
@@ -116,9 +116,10 @@ def train(x: np.ndarray, labels: list[str], *, bits: int = 15, steps: int = 150,
 
 
 def labelled_texts(docs: DataFrame, max_labelled: int) -> tuple[list[str], list[str]]:
-    """At most max_labelled labelled texts outside the held-out fold, chosen by a hash of doc_id."""
-    teach = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2))
-    rows = teach.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "text", "lang").limit(max_labelled).collect()
+    """At most max_labelled labelled texts outside the held-out fold, chosen by a hash of doc_id; no task sends more than its share."""
+    teach = hash_sample(docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2)), "doc_id", max_labelled)
+    rows = teach.where(F.col("text").isNotNull()).select("doc_id", "text", "lang").collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))[:max_labelled]
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 

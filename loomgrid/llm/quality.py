@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import hash_sample, let
 
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
@@ -193,7 +193,8 @@ def verdict(rules: list[Rule], features: dict[str, Column]) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> list[tuple[bool, dict[str, float]]]:
     """At most max_labelled labelled documents, chosen by a hash of doc_id; only those texts are measured."""
-    picked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    picked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    picked = hash_sample(picked, "doc_id", max_labelled)
     joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("s", text_stats(F.col("text"))).select("doc_id", "quality", "s.*")
     features = feature_columns()
     got = joined.select("doc_id", "quality", *[c.alias(k) for k, c in features.items()]).collect()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, gathered, text_bytes
+from .common import fold, gathered, hash_sample, text_bytes
 
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5)
@@ -169,7 +169,7 @@ def train(texts: list[str], toxic: np.ndarray, *, dims: int = 8, epochs: int = 1
 def labelled_texts(docs: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[list[str], np.ndarray]:
     """At most max_labelled labelled texts outside the held-out fold, chosen by a hash of doc_id."""
     teach = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = teach.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    picked = hash_sample(teach, "doc_id", max_labelled)
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))[:max_labelled]
     return [r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows])
