@@ -67,3 +67,18 @@ def test_stream_size_is_the_encoders(spark):
     ids = spark.range(40).select(F.col("id").alias("token_id"), F.col("id").cast("string").alias("token"))
     got = {(r.n_tokens, r.page): r.bytes for r in tm.stream_bits(records, ids).collect()}
     assert got == {k: len(b.write_page(v, 6)) for k, v in pages.items()}
+
+
+def test_model_size_is_the_files(spark):
+    """Against a written dictionary, whose index chunk and header are left out."""
+    from loomgrid.operators import tokenmerge as tm
+
+    rng = random.Random(9)
+    names = list(dict.fromkeys("".join(rng.choice("abcab") for _ in range(rng.randint(0, 12))) for _ in range(150)))
+    data = b.write_book([[n] for n in names], header=b"HEAD", version=b"any/0")
+    parts = dict(b.chunks(data))
+    want = sum(len(b.chunk(k, v)) for k, v in parts.items() if k in (b.TOKENS, b.TEXTS)) + len(b.chunk(b"HEAD", b"\0" * 17))
+    arrays = tm.arrays_of(spark.createDataFrame(list(enumerate(names)), "text_code long, text string"))
+    assert tm.model_size(arrays) == want
+    found = tm.best_pair_by_size(arrays, tried=2)
+    assert found is not None and found[2] < want
