@@ -2,12 +2,16 @@
 
 1. Each text's set of word shingles gets a digest and a MinHash signature. Texts of equal sets are one node from here on.
 2. Bands of the signature deal nodes into buckets; only buckets of two nodes or more go on.
-3. In each bucket, in blocks of bounded size, nodes are compared with one of the block by batches of the signature; after
+3. In each bucket, in blocks of bounded size, nodes are compared with some of the block by batches of the signature; after
    each batch a pair is dropped if its posterior chance of reaching the similarity is under the miss probability. Each
-   node's best surviving pair is verified on the full sets, and verified links are joined into components.
-4. Buckets that still hold nodes of several components compare all their pairs across components in the same way, those of
-   the commonest component against the others and the others among themselves, in blocks. Survivors are verified, and
-   components are taken again. A link inside a component changes nothing, so no pair that could matter is left out.
+   node's best surviving pair is verified on the full sets, and verified links are joined into components; then the best
+   surviving pair of each two components, twice.
+4. Buckets that still hold nodes of several components compare all their pairs across components, those of the commonest
+   component against the others and the others among themselves, in blocks: by the shingles themselves (their 32-bit
+   hashes, with room for collisions) where sets are of ordinary size, else by batches of the signature. A pair that is
+   sure to reach the similarity stands for all of its two components in a block. What is found is verified on the full
+   sets, each node's best first, then all that are still across components, and components are taken again. A link
+   inside a component changes nothing, so no pair that could matter is left out.
 
 Defined results: null or wordless texts have an empty set, link with nothing and stay; a repeated row takes part with
 its own doc_id; a null doc_id never is the smallest, and is kept only where its component has no other id; other columns
@@ -28,7 +32,13 @@ from .common import gathered, materialize
 from .components import components
 from .shingles import digest, sets, shingle_hashes
 
-BATCH = 16
+BATCH = 32
+#: Nodes of a block that the others are compared with.
+PIVOTS = 8
+#: Sets up to SET_SIZE travel to the comparison across components; those of SIGNED_SIZE or more bring their signature.
+SET_SIZE, SIGNED_SIZE = 2048, 1536
+#: Two sets' 32-bit hashes may lose or gain this much of their intersection by collisions.
+ROOM = 2
 
 
 def permutations(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -119,9 +129,72 @@ def _pairs(t: pa.Table, a: np.ndarray, b: np.ndarray, got: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b)), pa.array(got)], ["a", "b", "got"])
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, bands: int = 26, rows: int = 4, miss: float = 1e-6, block: int = 512) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
-    hashes = bands * rows
+def across(t: pa.Table, edges: np.ndarray, least: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different roots within each group of rows that may be similar enough."""
+    root = t["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+    n = t["n"].to_numpy()
+    has_set, has_sig = (t[c].is_valid().to_numpy(zero_copy_only=False) for c in ("own", "sig"))
+    body = t["own"].combine_chunks().fill_null(b"").cast(pa.large_binary())
+    offs = np.frombuffer(body.buffers()[1], np.int64, len(body) + 1, body.offset * 8) // 4
+    tokens = np.frombuffer(body.buffers()[2], np.uint32, int(offs[-1])) if body.buffers()[2] is not None else np.zeros(0, np.uint32)
+    sig = None
+    if has_sig.any():
+        width = len(least) - 1
+        sig = np.zeros((t.num_rows, width), np.uint8)
+        sig[has_sig] = np.frombuffer(b"".join(x for x in t["sig"].to_pylist() if x is not None), np.uint8).reshape(-1, width)
+    for x, y in zip(edges[:-1], edges[1:]):
+        if y - x < 2 or (root[x:y] == root[x]).all():
+            continue
+        a, b, inter = intersections(tokens, offs, x + np.flatnonzero(has_set[x:y]), root, n, percent)
+        sure = 100 * (inter - ROOM) >= percent * (n[a] + n[b] - inter + ROOM)
+        got = (inter * 1_000_000 // np.maximum(n[a] + n[b] - inter, 1)).astype(np.int64)
+        # of sure pairs the best of each two roots goes on; the others go on as they are
+        pair = np.minimum(root[a], root[b]).astype(np.int64) * (len(root) + 1) + np.maximum(root[a], root[b])
+        order = np.lexsort((-got, pair, ~sure))
+        first = np.append(True, (pair[order][1:] != pair[order][:-1]) | (sure[order][1:] != sure[order][:-1]))[: len(order)]
+        keep = order[first | ~sure[order]]
+        if len(keep):
+            yield _pairs(t, a[keep], b[keep], got[keep])
+        if sig is None:
+            continue
+        signed = x + np.flatnonzero(has_sig[x:y])
+        for k, one in enumerate(signed[:-1]):
+            rest = signed[k + 1 :]
+            rest = rest[(root[rest] != root[one]) & ~(has_set[rest] & has_set[one])]
+            alive, m = surviving(sig, np.full(len(rest), one), rest, least)
+            if len(alive):
+                yield _pairs(t, np.full(len(alive), one), rest[alive], m * 1_000_000 // sig.shape[1])
+
+
+def intersections(tokens: np.ndarray, offs: np.ndarray, rows: np.ndarray, root: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, size of the intersection) of rows of different roots whose sets may be similar enough; all pairs are counted."""
+    none = np.zeros(0, np.int64)
+    if len(rows) < 2:
+        return none, none, none
+    size = offs[rows + 1] - offs[rows]
+    owner = np.repeat(np.arange(len(rows)), size)
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(offs[rows], size)
+    values, column, df = np.unique(tokens[at], return_inverse=True, return_counts=True)
+    keep = df[column] > 1  # what one set alone holds meets nothing
+    owner, column = owner[keep], column[keep]
+    used = np.flatnonzero(df > 1)
+    place = np.full(len(values), -1)
+    place[used] = np.arange(len(used))
+    column = place[column]
+    common = np.zeros((len(rows), len(rows)), np.float32)
+    for c in range(0, len(used), 4096):
+        part = (column >= c) & (column < c + 4096)
+        m = np.zeros((len(rows), min(4096, len(used) - c)), np.float32)
+        m[owner[part], column[part] - c] = 1
+        common += m @ m.T
+    own, r = n[rows], root[rows]
+    room = common + ROOM
+    a, b = np.nonzero(np.triu((percent * (own[:, None] + own[None, :] - room) <= 100 * room) & (r[:, None] != r[None, :]) & (common > 0), 1))
+    return rows[a], rows[b], common[a, b].astype(np.int64)
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, bands: int = 26, rows: int = 4, hashes: int = 512, miss: float = 1e-5, block: int = 512) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept. Bands use the first bands * rows hashes; the comparison uses a byte of all."""
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     least = least_matches(percent / 100, hashes, miss)
@@ -137,21 +210,20 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
                     part["doc_id"].combine_chunks().cast(pa.int64()),
                     pa.array([len(x) for x in own], pa.int64()),
                     pa.array([digest(x) if s else None for x, s in zip(own, some)], pa.binary()),
-                    pa.array([sig[i].tobytes() if s else None for i, s in enumerate(some)], pa.binary()),
+                    pa.array([sig[i, : bands * rows].tobytes() if s else None for i, s in enumerate(some)], pa.binary()),
+                    pa.array([sig[i].astype(np.uint8).tobytes() if s else None for i, s in enumerate(some)], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "node", "sig"],
+                ["doc_id", "n_shingles", "node", "bands", "sig"],
             )
 
-    signed = materialize(docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, node binary, sig binary"), "signed")
+    signed = materialize(docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, node binary, bands binary, sig binary"), "signed")
     some = signed.where(F.col("node").isNotNull())
 
-    keys = F.array(*[F.xxhash64(F.substring("sig", 4 * rows * k + 1, 4 * rows), F.lit(k)) for k in range(bands)])
+    keys = F.array(*[F.xxhash64(F.substring("bands", 4 * rows * k + 1, 4 * rows), F.lit(k)) for k in range(bands)])
     dealt = some.select("node", F.explode(keys).alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     members = dealt.join(shared, "bucket").distinct()
-    # of each hash the low byte is compared
-    low = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.hex(F.substring("sig", i * 4 + 1, 1))), "")
-    nodes = some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).select("node", "rep", F.unhex(low).alias("sig"))
+    nodes = some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     held = materialize(members.join(nodes, "node").select("bucket", "node", "rep", "sig"), "buckets")
 
     sizes = held.groupBy("bucket").agg(F.ceil(F.count("node") / block).cast("int").alias("blocks"))
@@ -159,10 +231,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, edges in groups_of(batches, 2):
             size = np.diff(edges)
-            first = np.repeat(edges[:-1], size)
-            other = np.flatnonzero(first != np.arange(t.num_rows))
-            alive, got = surviving(_sig(t), other, first[other], least)
-            yield _pairs(t, other[alive], first[other][alive], got)
+            place = np.arange(t.num_rows) - np.repeat(edges[:-1], size)
+            a = np.concatenate([np.flatnonzero(place > p) for p in range(PIVOTS)])
+            b = np.concatenate([np.flatnonzero(place > p) - place[place > p] + p for p in range(PIVOTS)])
+            alive, got = surviving(_sig(t), a, b, least)
+            a, b = a[alive], b[alive]
+            order = np.lexsort((-got, a))  # the best of each node
+            a, b, got = a[order], b[order], got[order]
+            best = np.append(True, a[1:] != a[:-1])[: len(a)]
+            yield _pairs(t, a[best], b[best], got[best])
 
     def order(part: DataFrame, *cols: str) -> DataFrame:
         # the first of a block is the one that all are compared with; which it is differs by bucket
@@ -170,51 +247,57 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
 
     blocked = held.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     stars = order(blocked.select("bucket", "block", "node", "sig"), "bucket", "block").mapInArrow(star, "a binary, b binary, got long")
-    best = stars.groupBy("a").agg(F.max(F.struct("got", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-
+    stars = materialize(stars, "stars")
     texts = _texts(held, docs, shingle)
+    best = stars.groupBy("a").agg(F.max(F.struct("got", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     links = materialize(verify(best, texts, shingle, percent), "links")
     roots = components(links)
+    for _ in range(2):  # what the stars know between components, the best of each two
+        far = apart(stars, roots)
+        pair = far.groupBy(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).agg(F.max(F.struct("got", "a", "b")).alias("m")).select("m.a", "m.b")
+        more = materialize(verify(pair, texts, shingle, percent), "links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        roots = components(links)
 
     rooted = held.join(roots, "node", "left").select("bucket", "node", "sig", F.coalesce("root", "node").alias("root"))
     counted = rooted.groupBy("bucket", "root").agg(F.count("node").alias("n"))
     split = counted.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("root").alias("roots")).where("roots > 1")
-    split = split.select("bucket", F.col("top.root").alias("top"), F.ceil(F.col("top.n") / block).cast("int").alias("top_blocks"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("blocks"))
+    split = split.select("bucket", "roots", F.col("top.root").alias("top"), F.ceil(F.col("top.n") / block).cast("int").alias("top_blocks"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("blocks"))
     mixed = rooted.join(split, "bucket")
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in gathered(batches, most=2 << 20):
+            own = sets(part["text"].combine_chunks(), shingle)
+            small = [np.unique(x.astype(np.uint32)).tobytes() if len(x) <= SET_SIZE else None for x in own]
+            yield pa.RecordBatch.from_arrays([part["node"].combine_chunks(), pa.array([len(x) for x in own], pa.int64()), pa.array(small, pa.binary())], ["node", "n", "own"])
+
+    shown = texts.join(mixed.select("node").distinct(), "node").select("node", "text").mapInArrow(short, "node binary, n long, own binary").dropDuplicates(["node"])
+    mixed = materialize(mixed.join(shown, "node").withColumn("sig", F.when(F.col("n") >= SIGNED_SIZE, F.col("sig"))), "mixed")
+    carried = ["root", "node", "n", "own", "sig"]
     in_top = F.col("root") == F.col("top")
     mine = F.xxhash64("node")
     # sides: the commonest component's blocks each meet all others' blocks; others' blocks meet each other
-    top_rows = mixed.where(in_top).withColumn("i", F.pmod(mine, F.col("top_blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.lit(0).alias("kind"), "i", "j", "root", "node", "sig")
+    top_rows = mixed.where(in_top).withColumn("i", F.pmod(mine, F.col("top_blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.lit(0).alias("kind"), "i", "j", *carried)
     others = mixed.where(~in_top).withColumn("me", F.pmod(mine, F.col("blocks")).cast("int"))
-    to_top = others.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("top_blocks") - 1))).select("bucket", F.lit(0).alias("kind"), "i", F.col("me").alias("j"), "root", "node", "sig")
-    to_others = others.withColumn("you", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.lit(1).alias("kind"), F.least("me", "you").alias("i"), F.greatest("me", "you").alias("j"), "root", "node", "sig")
+    to_top = others.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("top_blocks") - 1))).select("bucket", F.lit(0).alias("kind"), "i", F.col("me").alias("j"), *carried)
+    to_others = others.where("roots > 2").withColumn("you", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.lit(1).alias("kind"), F.least("me", "you").alias("i"), F.greatest("me", "you").alias("j"), *carried)
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, edges in groups_of(batches, 4):
-            sig = _sig(t)
-            root = t["root"].combine_chunks().dictionary_encode().indices.to_numpy()
-            size = np.diff(edges)
-            end = np.repeat(edges[1:], size)
-            partners = end - np.arange(t.num_rows) - 1  # later rows of the same group
-            total = np.concatenate([[0], np.cumsum(partners)])
-            at = 0
-            while at < t.num_rows:
-                to = max(at + 1, int(np.searchsorted(total, total[at] + 500_000, "right")) - 1)
-                n = partners[at:to]
-                a = np.repeat(np.arange(at, to), n)
-                b = a + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                other = root[a] != root[b]
-                a, b = a[other], b[other]
-                alive, got = surviving(sig, a, b, least)
-                if len(alive):
-                    yield _pairs(t, a[alive], b[alive], got)
-                at = to
+            yield from across(t, edges, least, percent)
 
     crossing = top_rows.unionByName(to_top).unionByName(to_others)
-    found = order(crossing, "bucket", "kind", "i", "j").mapInArrow(cross, "a binary, b binary, got long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(verify(found, texts, shingle, percent), "links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    found = order(crossing, "bucket", "kind", "i", "j").mapInArrow(cross, "a binary, b binary, got long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "got").distinct()
+    found = materialize(found, "crossing")
+    if not found.isEmpty():
+        ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b", "got"), F.struct(F.col("b").alias("node"), "a", "b", "got"))).alias("e")).select("e.*")
+        first = ends.groupBy("node").agg(F.max(F.struct("got", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        links = links.unionByName(materialize(verify(first, texts, shingle, percent), "links"))
+        far = apart(found, components(links)).select("a", "b").join(first, ["a", "b"], "left_anti")
+        links = links.unionByName(materialize(verify(far, texts, shingle, percent), "links"))
+        roots = components(links)
 
     classes = some.groupBy("node").agg(F.min("doc_id").alias("doc")).join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     named = classes.groupBy("root").agg(F.min("doc").alias("component_id")).join(classes, "root").select("node", "component_id")
@@ -237,6 +320,13 @@ def _texts(held: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     return materialize(joined.mapInArrow(own, "node binary, text string"), "texts")
 
 
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of pairs (a, b, ...) whose nodes are in different components, with their roots ra and rb."""
+    ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    j = pairs.join(ra, "a", "left").join(rb, "b", "left").withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b"))
+    return j.where(F.col("ra") != F.col("rb"))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of nodes, those whose full sets are similar enough."""
 

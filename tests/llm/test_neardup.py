@@ -82,3 +82,16 @@ def test_components(spark):
 def test_bounds():
     least = least_matches(0.75, 104, 1e-6)
     assert (np.diff(least) >= 0).all() and 40 < least[104] < 78 and least[16] < 8
+
+
+def test_large_sets_across_components(spark, monkeypatch):
+    """Sets beyond SET_SIZE take the way by signatures."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(2600)]
+    docs = []
+    for k in range(24):
+        own = base.copy()
+        for _ in range(10 + 12 * k):
+            own[rng.randrange(2600)] = f"v{rng.randrange(10**6)}"
+        docs.append((k, " ".join(own)))
+    assert run(spark, docs, block=8) == brute(docs)
