@@ -224,25 +224,40 @@ def write_index(paths: list[list[int]], code_bits: int) -> bytes:
     return BitWriter().unsigned(depth).unsigned(len(paths)).unsigned(code_bits).unsigned(roots).unsigned(len(stream)).done() + stream
 
 
-def write_book(paths: list[list[str]], *, header: bytes, version: bytes, metadata: str | None = None, encoding: str = "utf-8", page_size: int = PAGE) -> bytes:
-    """A path dictionary, one token a character. header and version are the tags that a reader of the files expects."""
+def _model(names: list[str], encoding: str) -> tuple[list[bytes], list[list[int]]]:
+    """Tokens, one a character, by size, falling frequency and bytes; and each name's token ids."""
     if encoding not in ENCODINGS:
         raise ValueError(f"encoding is one of {ENCODINGS}")
-    names = list(dict.fromkeys(t for p in paths for t in p))
-    split = {t: [c.encode(encoding) for c in t] for t in names}
-    order = sorted(range(len(names)), key=lambda k: (len(names[k]), k))
+    split = [[c.encode(encoding) for c in t] for t in names]
     counts: dict[bytes, int] = {}
-    for t in names:
-        for c in split[t]:
+    for cs in split:
+        for c in cs:
             counts[c] = counts.get(c, 0) + 1
     tokens = sorted(counts, key=lambda c: (len(c), -counts[c], c))
     ids = {c: k for k, c in enumerate(tokens)}
-    code = {names[k]: c for c, k in enumerate(order)}
-    records = [[ids[c] for c in split[names[k]]] for k in order]
+    return tokens, [[ids[c] for c in cs] for cs in split]
+
+
+def _head(version: bytes, metadata: str | None) -> bytes:
     text = (metadata or "").encode()
-    head = version.ljust(VERSION_BYTES, b"\0") + BitWriter().unsigned(len(text)).done() + text
-    index = write_index([[code[t] for t in p] for p in paths], bits_for(len(names)))
-    return chunk(header, head) + chunk(TOKENS, write_tokens(tokens)) + chunk(TEXTS, write_texts(records, bits_for(len(tokens)), page_size)) + chunk(INDEX, index)
+    return version.ljust(VERSION_BYTES, b"\0") + BitWriter().unsigned(len(text)).done() + text
+
+
+def write_flat_book(texts: list[str], *, header: bytes, version: bytes, metadata: str | None = None, encoding: str = "utf-8", page_size: int = PAGE) -> bytes:
+    """A dictionary without paths. Codes go by the number of tokens, then by the order given."""
+    order = sorted(range(len(texts)), key=lambda k: (len(texts[k]), k))
+    tokens, records = _model(texts, encoding)
+    body = write_texts([records[k] for k in order], bits_for(len(tokens)), page_size)
+    return chunk(header, _head(version, metadata)) + chunk(TOKENS, write_tokens(tokens)) + chunk(TEXTS, body)
+
+
+def write_book(paths: list[list[str]], *, header: bytes, version: bytes, metadata: str | None = None, encoding: str = "utf-8", page_size: int = PAGE) -> bytes:
+    """A path dictionary. header and version are the tags that a reader of the files expects."""
+    names = list(dict.fromkeys(t for p in paths for t in p))
+    flat = write_flat_book(names, header=header, version=version, metadata=metadata, encoding=encoding, page_size=page_size)
+    order = sorted(range(len(names)), key=lambda k: (len(names[k]), k))
+    code = {names[k]: c for c, k in enumerate(order)}
+    return flat + chunk(INDEX, write_index([[code[t] for t in p] for p in paths], bits_for(len(names))))
 
 
 # ---- Spark

@@ -394,6 +394,31 @@ def encode_set(maps: list[tuple[int, int, np.ndarray]], unit_x: int, unit_y: int
     return chunk(header, body + w.done()) + b"".join(chunk(IMAGE, encode_image(c, side)) for _, _, c in maps)
 
 
+def decode_single(data: bytes) -> dict:
+    """A file of one map, whose header holds its place: the same result as decode_set."""
+    (_, head), *rest = chunks(data)
+    src = Bits(head, VERSION_BYTES)
+    unit_x, unit_y, west, south = src.unsigned(), src.unsigned(), src.signed(), src.signed()
+    metadata = src.bytes(src.unsigned()).decode() or None
+    images = [body for name, body in rest if name != LAYOUT and _image(name)]
+    if len(images) != 1 or src.bit != len(head) * 8:
+        raise ValueError("a file of one map has one image and nothing else")
+    return {"unit_x": unit_x, "unit_y": unit_y, "metadata": metadata, "maps": [(west, south, decode_image(images[0]))]}
+
+
+def encode_single(west: int, south: int, codes: np.ndarray, unit_x: int, unit_y: int, *, header: bytes, version: bytes, metadata: str | None = None, side: int = 64) -> bytes:
+    text = (metadata or "").encode()
+    w = BitWriter().unsigned(unit_x).unsigned(unit_y).signed(west).signed(south).unsigned(len(text))
+    return chunk(header, version.ljust(VERSION_BYTES, b"\0") + w.done() + text) + chunk(IMAGE, encode_image(codes, side))
+
+
+def join_sets(*sets: dict) -> dict:
+    """Maps of all, those of earlier ones first; the units must agree."""
+    if len({(s["unit_x"], s["unit_y"]) for s in sets}) != 1:
+        raise ValueError("the sets' units differ")
+    return sets[0] | {"maps": [m for s in sets for m in s["maps"]]}
+
+
 # ---- Spark
 
 RUN_ROWS = "file string, unit_x long, unit_y long, map_ord long, west long, south long, width long, height long, y long, x0 long, len long, code long"

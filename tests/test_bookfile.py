@@ -82,3 +82,9 @@ def test_model_size_is_the_files(spark):
     assert tm.model_size(arrays) == want
     found = tm.best_pair_by_size(arrays, tried=2)
     assert found is not None and found[2] < want
+
+
+def test_flat_dictionary():
+    texts = ["bb", "a", "", "ccc", "a"]
+    got = b.read_book(b.write_flat_book(texts, header=b"HEAD", version=b"flat/0"))
+    assert got["texts"] == ["", "a", "a", "bb", "ccc"] and got["paths"] is None

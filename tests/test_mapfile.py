@@ -81,3 +81,15 @@ def test_files(spark, tmp_path):
         m.decode_set(data, max_maps=2)
     with pytest.raises(ValueError):
         m.decode_set(data[:-3])
+
+
+def test_single_map():
+    codes = np.arange(35).reshape(5, 7)
+    data = m.encode_single(-3, 4, codes, 100, 50, header=b"HEAD", version=b"one/1", metadata="m", side=4)
+    got = m.decode_single(data)
+    west, south, back = got["maps"][0]
+    assert (got["unit_x"], got["unit_y"], got["metadata"], west, south) == (100, 50, "m", -3, 4) and (back == codes).all()
+    both = m.join_sets(got, got)
+    assert len(both["maps"]) == 2
+    with pytest.raises(ValueError):
+        m.join_sets(got, got | {"unit_x": 1})
