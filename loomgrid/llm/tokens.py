@@ -60,24 +60,28 @@ class PieceEncoder:
         self.model = self.tok.model
         self.keeps_space = keeps_space
         self.symbols = str.maketrans({chr(b): c for b, c in byte_symbols().items()})
+        self.blank = chr(32).translate(self.symbols)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _simple(self, text: str) -> str | None:
         """What the model sees of a piece that is one pre-token of Latin letters; else None."""
         word = text[1:] if self.keeps_space and text[:1] == " " else text
-        if not word.isalpha() or max(word) > "ɏ":
+        if not word.isalpha():
             return None
-        if self.keeps_space:
-            return text.encode().decode("latin-1").translate(self.symbols)
-        if not word.isascii():
-            if "İ" in word:
-                return None
-            return unicodedata.normalize("NFC", word).lower().encode().decode("latin-1").translate(self.symbols)
-        return word.lower()
+        if text.isascii():
+            if self.keeps_space:
+                return text if word is text else self.blank + word
+            return word.lower()
+        if max(word) > "ɏ" or "İ" in word:
+            return None
+        if not self.keeps_space:
+            text = unicodedata.normalize("NFC", word).lower()
+        return text.encode().decode("latin-1").translate(self.symbols)
 
     def _encode(self, pieces: list[bytes]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(pieces)
+        sizes = [0] * len(pieces)
+        flat: list[int] = []
         rest: list[int] = []
         texts: list[str] = []
         tokenize = self.model.tokenize
@@ -88,7 +92,14 @@ class PieceEncoder:
                 rest.append(i)
                 texts.append(text)
             else:
-                out[i] = np.array([t.id for t in tokenize(simple)], np.uint32).tobytes()
+                found = tokenize(simple)
+                sizes[i] = len(found)
+                flat += [t.id for t in found]
+        raw, at, out = np.array(flat, np.uint32).tobytes(), 0, [b""] * len(pieces)
+        for i, n in enumerate(sizes):
+            if n:
+                out[i] = raw[at : at + 4 * n]
+                at += 4 * n
         if rest:
             for i, e in zip(rest, self.tok.encode_batch(texts, add_special_tokens=False)):
                 out[i] = np.array(e.ids, np.uint32).tobytes()
@@ -149,7 +160,7 @@ class PieceEncoder:
         index = coded.indices.to_numpy()
         ids = self._ids_of(coded.dictionary.to_pylist())
         flat = np.frombuffer(b"".join(ids), np.uint32)
-        size = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         base = np.cumsum(size) - size
         each = size[index]
         total = np.zeros(len(each) + 1, np.int64)
