@@ -16,7 +16,7 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: The two characters beyond ASCII whose lower case holds an ASCII letter.
 FOLDS_TO_ASCII = ("K", "İ")
 #: Documents are handed to numpy in slices of about this many bytes, so a task's memory doesn't follow its input.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -39,7 +39,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of a fixed odd number and of its inverse, modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(10, n.bit_length())
+        size = -(-n // (1 << 18)) << 18
         _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)])) for base in (np.uint64(_PRIME), np.uint64(pow(_PRIME, -1, 1 << 64)))]
     return _powers[0][:n], _powers[1][:n]
 

@@ -142,7 +142,7 @@ def language_id(docs: DataFrame, *, max_labelled: int = 3000, ambiguous_gap: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for part in gathered(batches, most=4 << 20):
+        for part in gathered(batches, most=1 << 20):
             text = part["text"].combine_chunks()
             known = has_letter(text)
             if m is None:
@@ -150,7 +150,7 @@ def language_id(docs: DataFrame, *, max_labelled: int = 3000, ambiguous_gap: flo
                 best, score, gap = np.zeros(len(text), int), np.zeros(len(text)), np.zeros(len(text))
                 names = np.array([UNDEFINED], object)
             else:
-                found = [m.predict(ngram_features(text[i : i + 1000])) for i in range(0, len(text), 1000)]
+                found = [m.predict(ngram_features(text[i : i + 500])) for i in range(0, len(text), 500)]
                 best, score, gap = (np.concatenate(v) for v in zip(*found))
                 names = np.array(m.langs, object)
             lang = np.where(known, names[best], UNDEFINED)

@@ -40,7 +40,7 @@ GRAM = 32
 SEGMENT = 1 << 20
 POSITION_BITS = 21
 #: Pieces of a task wait until they come from this many bytes of text.
-HELD_BYTES = 32 << 20
+HELD_BYTES = 16 << 20
 #: Contents of one anchor that one shard takes.
 SHARD_PIECES = 4096
 SHARD_BYTES = 4 << 20
@@ -329,7 +329,7 @@ def suffix_dedup(docs: DataFrame, *, window: int = 100, with_text: bool = False,
             at = np.flatnonzero(send)
             yield from by_part((anchor[at] % np.uint64(parts)).astype(np.int64), PIECES, anchor[at], content[at], doc[at], start[at], n[at])
 
-        for part in gathered(batches, most=4 << 20):
+        for part in gathered(batches):
             raw, offs = text_bytes(part["text"].combine_chunks())
             row, start, n, anchor, content = cut_pieces(raw, offs, window)
             held.append((anchor, content, doc_ids(part)[row], start.astype(np.int32), n.astype(np.uint8)))
