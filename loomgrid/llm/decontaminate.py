@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, text_bytes
+from .common import AT_END, gathered, text_bytes, tidy
 
 WINDOW = 13
 SAMPLE = 16
@@ -34,6 +34,7 @@ _LOW[65:91] += 32
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _powers: list[np.ndarray] = []
+AT_END.append(_powers.clear)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +298,7 @@ def find_block(rows: DataFrame, block: Phrases | None, carry: Sequence[str] = ()
             spans = pa.StructArray.from_arrays([pa.array(first), pa.array(size)], ["first", "n"])
             yield pa.RecordBatch.from_arrays([part["row"].combine_chunks(), part["doc_id"].combine_chunks().cast(pa.int64()), pa.array(n_words), lists(srow, n, spans), lists(irow, n, names), *(part[c].combine_chunks() for c in carry)], ["row", "doc_id", "n_words", "spans", "items", *carry])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_percent: int = 5, block_bytes: int = 16 << 20, carry: Sequence[str] = ()) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, gathered, hash_sample, text_bytes
+from .common import fold, gathered, hash_sample, text_bytes, tidy
 
 DIMS = 4096
 UNDEFINED = "und"
@@ -161,4 +161,4 @@ def language_id(docs: DataFrame, *, max_labelled: int = 3000, ambiguous_gap: flo
 
     schema = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean" + "".join(f", `{c}` {kind}" for c in carry for name, kind in docs.dtypes if name == c)
     # a prediction sees the text alone; carried columns pass by it
-    return docs.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "text", *(c for c in carry if c != "text")).mapInArrow(run, schema)
+    return docs.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "text", *(c for c in carry if c != "text")).mapInArrow(tidy(run), schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, materialize
+from .common import gathered, materialize, tidy
 from .components import components
 from .shingles import digest, sets, shingle_hashes
 
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
                 ["doc_id", "n_shingles", "node", "bands", "sig"],
             )
 
-    signed = materialize(docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, node binary, bands binary, sig binary"), "signed")
+    signed = materialize(docs.select("doc_id", "text").mapInArrow(tidy(sign), "doc_id long, n_shingles long, node binary, bands binary, sig binary"), "signed")
     some = signed.where(F.col("node").isNotNull())
 
     keys = F.array(*[F.xxhash64(F.substring("bands", 4 * rows * k + 1, 4 * rows), F.lit(k)) for k in range(bands)])
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
         return part.repartition(n_parts, *cols).sortWithinPartitions(*cols, F.xxhash64("node", "bucket"), "node")
 
     blocked = held.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    stars = order(blocked.select("bucket", "block", "node", "sig"), "bucket", "block").mapInArrow(star, "a binary, b binary, got long")
+    stars = order(blocked.select("bucket", "block", "node", "sig"), "bucket", "block").mapInArrow(tidy(star), "a binary, b binary, got long")
     stars = materialize(stars, "stars")
     texts = _texts(held, docs, shingle)
     best = stars.groupBy("a").agg(F.max(F.struct("got", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
             small = [np.unique(x.astype(np.uint32)).tobytes() if len(x) <= SET_SIZE else None for x in own]
             yield pa.RecordBatch.from_arrays([part["node"].combine_chunks(), pa.array([len(x) for x in own], pa.int64()), pa.array(small, pa.binary())], ["node", "n", "own"])
 
-    shown = texts.join(mixed.select("node").distinct(), "node").select("node", "text").mapInArrow(short, "node binary, n long, own binary").dropDuplicates(["node"])
+    shown = texts.join(mixed.select("node").distinct(), "node").select("node", "text").mapInArrow(tidy(short), "node binary, n long, own binary").dropDuplicates(["node"])
     mixed = materialize(mixed.join(shown, "node").withColumn("sig", F.when(F.col("n") >= SIGNED_SIZE, F.col("sig"))), "mixed")
     carried = ["root", "node", "n", "own", "sig"]
     in_top = F.col("root") == F.col("top")
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
             yield from across(t, edges, least, percent)
 
     crossing = top_rows.unionByName(to_top).unionByName(to_others)
-    found = order(crossing, "bucket", "kind", "i", "j").mapInArrow(cross, "a binary, b binary, got long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "got").distinct()
+    found = order(crossing, "bucket", "kind", "i", "j").mapInArrow(tidy(cross), "a binary, b binary, got long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "got").distinct()
     found = materialize(found, "crossing")
     if not found.isEmpty():
         ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b", "got"), F.struct(F.col("b").alias("node"), "a", "b", "got"))).alias("e")).select("e.*")
@@ -317,7 +317,7 @@ def _texts(held: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
             yield from part.filter(pa.array(keep)).to_batches()
 
     joined = source.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
-    return materialize(joined.mapInArrow(own, "node binary, text string"), "texts")
+    return materialize(joined.mapInArrow(tidy(own), "node binary, text string"), "texts")
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -338,4 +338,4 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
             yield from part.select(["a", "b"]).filter(pa.array(keep)).to_batches()
 
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary").distinct()
+    return joined.select("a", "b", "ta", "tb").mapInArrow(tidy(check), "a binary, b binary").distinct()

@@ -33,17 +33,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, materialize, partitions_for, text_bytes
+from .common import gathered, materialize, partitions_for, text_bytes, tidy
 from .decontaminate import powers, ranges
 
 GRAM = 32
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 POSITION_BITS = 21
 #: Pieces of a task wait until they come from this many bytes of text.
 HELD_BYTES = 16 << 20
 #: Contents of one anchor that one shard takes.
 SHARD_PIECES = 4096
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 NO_DOC = -(1 << 63)
 
 #: Rows that travel: dealt by part; a text or a packed array.
@@ -525,18 +525,18 @@ def suffix_dedup(docs: DataFrame, *, window: int = 100, with_text: bool = False,
             names += carry
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    found = own.mapInArrow(find, ROW).repartitionById(parts, F.col("part")).mapInArrow(by_anchor, ROW)
+    found = own.mapInArrow(tidy(find), ROW).repartitionById(parts, F.col("part")).mapInArrow(tidy(by_anchor), ROW)
     settled = materialize(found, "settled")
     asked = settled.where(F.col("kind") == ASKED)
     spans = settled.where(F.col("kind") == SPANS)
     if not asked.isEmpty():
-        shards = with_docs(asked).mapInArrow(cut, ROW).repartitionById(parts, F.col("part")).mapInArrow(sort_shard, ROW)
+        shards = with_docs(asked).mapInArrow(tidy(cut), ROW).repartitionById(parts, F.col("part")).mapInArrow(tidy(sort_shard), ROW)
         sorted_ = materialize(shards, "sorted")
         spans = spans.unionByName(sorted_.where(F.col("kind") == SPANS))
         runs = sorted_.where(F.col("kind") == RUNS)
         if not runs.isEmpty():
-            spans = spans.unionByName(runs.repartitionById(parts, F.col("part")).mapInArrow(merge_runs, ROW))
-    return with_docs(spans, carry).mapInArrow(finish, schema)
+            spans = spans.unionByName(runs.repartitionById(parts, F.col("part")).mapInArrow(tidy(merge_runs), ROW))
+    return with_docs(spans, carry).mapInArrow(tidy(finish), schema)
 
 
 def pack_with(body: np.ndarray, *columns: np.ndarray) -> bytes:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import gathered, partitions_for, shared_dir
+from .common import gathered, partitions_for, shared_dir, tidy
 from .tokens import encoder
 
 FILE = "doc_id long, shard int, local_start long, n_tokens long, ids array<int>"
@@ -41,7 +41,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
             yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks().cast(pa.int64()), pa.array(np.full(len(n), shard, np.int32)), pa.array(starts), pa.array(n), lists], ["doc_id", "shard", "local_start", "n_tokens", "ids"])
 
     ordered = docs.select("doc_id", "text").repartitionByRange(partitions_for(docs, bytes_each), "doc_id").sortWithinPartitions("doc_id")
-    out = ordered.mapInArrow(run, FILE).write.option("compression", "zstd").option("parquet.enable.dictionary", "true").option("parquet.block.size", row_group_bytes)
+    out = ordered.mapInArrow(tidy(run), FILE).write.option("compression", "zstd").option("parquet.enable.dictionary", "true").option("parquet.block.size", row_group_bytes)
     out.option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", page_rows).option("parquet.dictionary.page.size", 4 << 20).parquet(path)
 
 
@@ -65,7 +65,7 @@ def token_digests(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(offs[:-1], offs[1:])]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, **options) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, gathered, hash_sample, text_bytes
+from .common import fold, gathered, hash_sample, text_bytes, tidy
 
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5)
@@ -187,4 +187,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 3000, th
             score = model.score(part["text"].combine_chunks())
             yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks().cast(pa.int64()), part["held_out"].combine_chunks(), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "text").mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
