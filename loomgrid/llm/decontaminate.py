@@ -136,7 +136,8 @@ class FMIndex:
         rank[sa] = head + 1
         left = length[order]
         alone = new & np.append(new[1:], True)
-        active, h = np.flatnonzero(~alone & (left > take)), take
+        # a suffix of just h symbols is active too: it goes before the longer ones it ties with
+        active, h = np.flatnonzero(~alone & (left >= take)), take
         while len(active):
             at = sa[active]
             group = rank[at]
@@ -150,7 +151,7 @@ class FMIndex:
             rank[sa[active]] = active[head] + 1
             alone = new & np.append(new[1:], True)
             h *= 2
-            active = active[~alone & (left[active] > h)]
+            active = active[~alone & (left[active] >= h)]
         return sa
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:

@@ -45,6 +45,23 @@ def test_index(seed):
             assert sorted(index.locate(np.arange(lo[k], max(lo[k], hi[k]))).tolist()) == want
 
 
+@pytest.mark.parametrize("sigma", [3000, 60_000])
+def test_index_of_many_symbols(sigma):
+    """Few symbols fit into the first key, and runs that end at its edge tie with longer ones."""
+    rng = np.random.default_rng(sigma)
+    some = rng.integers(1, sigma + 1, 4)
+    s = np.concatenate([np.append(rng.choice(some, int(rng.integers(0, 9))), 0) for _ in range(2000)]).astype(np.int32)
+    index = FMIndex(s, sigma)
+    found = []
+    for n in (1, 2, 3, 4, 6):
+        p = rng.choice(some, (20, n)).astype(np.int32)
+        at = np.lib.stride_tricks.sliding_window_view(s, n)
+        found += [(*x, np.flatnonzero((at == row).all(1)).tolist()) for *x, row in zip(*index.search(p, np.full(20, n)), p)]
+    # counts first: in a wrong order, locate() may walk in circles
+    assert [max(0, hi - lo) for lo, hi, _ in found] == [len(want) for _, _, want in found]
+    assert all(sorted(index.locate(np.arange(lo, max(lo, hi))).tolist()) == want for lo, hi, want in found)
+
+
 @pytest.mark.parametrize("block", [16 << 20, 300])
 def test_cases(spark, block):
     rng = random.Random(3)
@@ -66,3 +83,11 @@ def test_tables(spark):
     got = sorted((tuple(r)[:6] for r in decontaminate(docs, bench).collect()), key=str)
     want = brute([(r.doc_id, r.text) for r in docs.collect()], [(str(r.item_id), r.text) for r in bench.collect()])
     assert got == sorted(want, key=str) and any(r[5] for r in got)
+
+
+def test_larger_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], [(str(r.item_id), r.text) for r in bench.collect()])
+    got = sorted((tuple(r)[:6] for r in decontaminate(docs, bench).collect()), key=str)
+    assert got == sorted(want, key=str)
