@@ -208,8 +208,8 @@ def raster_tiles(spark, sf):
     return r.tiles(r.cells_of(d.runs(spark, sf).where("map_ord = 0")), 10)
 
 
-def _quad_sql(levels: int) -> str:
-    ctes = ["q0 AS (SELECT map_ord, x AS qx, y AS qy, code FROM cells WHERE x < 32 AND y < 32)"]
+def _quad_sql(levels: int, within: str = " WHERE x < 32 AND y < 32") -> str:
+    ctes = [f"q0 AS (SELECT map_ord, x AS qx, y AS qy, code FROM cells{within})"]
     out = []
     for k in range(levels):
         ctes.append(f"g{k} AS (SELECT map_ord, qx//2 AS px, qy//2 AS py, min(code) AS code FROM q{k} GROUP BY 1, 2, 3 HAVING count(*) = 4 AND min(code) = max(code))")
@@ -233,6 +233,21 @@ def quad_expand(spark, sf):
     return r.quad_cells(r.quadtree(_square(spark, sf), 5, "map_ord"), "map_ord")
 
 
+#: Maps are 128 wide at most, by their definition; in a larger one the squares would just stop growing there.
+QUAD_LEVELS = 7
+
+
+@query("quad_build_all", "cells", _quad_sql(QUAD_LEVELS, ""))
+def quad_build_all(spark, sf):
+    """All cells of every map; squares that a map's edge cuts stay apart."""
+    return r.quadtree(r.cells_of(d.runs(spark, sf), "map_ord"), QUAD_LEVELS, "map_ord")
+
+
+@query("quad_expand_all", "cells", "SELECT map_ord, x, y, code FROM cells")
+def quad_expand_all(spark, sf):
+    return r.quad_cells(quad_build_all(spark, sf), "map_ord")
+
+
 @query("encoding_choice", "runs", "WITH s AS (SELECT map_ord, y, 2*count(*) AS rle, sum(len) AS raw, 1 + count(DISTINCT code) + (sum(len)+1)//2 AS pal FROM runs GROUP BY map_ord, y), c AS (SELECT map_ord, y, 'raw' AS kind, 0 AS t, raw AS size FROM s UNION ALL SELECT map_ord, y, 'rle', 1, rle FROM s UNION ALL SELECT map_ord, y, 'palette', 2, pal FROM s) SELECT map_ord, y, arg_min(kind, size*10 + t) AS kind, min(size)::BIGINT AS size FROM c GROUP BY map_ord, y")
 def encoding_choice(spark, sf):
     """The smallest of a row's encodings, the simpler on ties."""

@@ -36,3 +36,11 @@ def test_oracle(spark, duck, name):
 
 def test_every_query_is_held_to_something():
     assert set(QUERIES) - set(ORACLES) <= {"lex_bpe_report", "lex_palettes", "lex_stream_size"}
+
+
+def test_quadtree_of_all_cells(spark, duck):
+    """Squares of all levels cover each cell of every map once."""
+    quads = QUERIES["quad_build_all"](spark, SF).groupBy("map_ord").agg({"code": "count"}).count()
+    n = QUERIES["quad_build_all"](spark, SF).selectExpr("sum(shiftleft(1L, 2 * level))").first()[0]
+    assert quads == duck.execute("SELECT count(*) FROM supplier").fetchone()[0]
+    assert n == duck.execute("SELECT sum((64 + (s_suppkey % 5) * 16) * (48 + (s_suppkey % 3) * 16)) FROM supplier").fetchone()[0]
