@@ -97,6 +97,12 @@ class Atlas:
         # one row on the right
         return self.maps.join(F.broadcast(around), meets, "left_semi")
 
+    def touching_each(self, rects: DataFrame, key: str = "rect_id") -> DataFrame:
+        """(key, map_ord) of the maps that each request meets."""
+        some = rects.where((F.col("w") > 0) & (F.col("h") > 0)).select(key, "x", "y", "w", "h")
+        meets = (F.col("west") < F.col("x") + F.col("w")) & (F.col("x") < F.col("west") + F.col("width")) & (F.col("south") < F.col("y") + F.col("h")) & (F.col("y") < F.col("south") + F.col("height"))
+        return self.maps.join(small(some), meets).select(key, "map_ord")
+
     def full(self) -> DataFrame:
         """(x, y, code) of the rectangle around all maps."""
         return self.rect_codes(self.bounds().select(F.lit(0).alias("rect_id"), "x", "y", "w", "h")).drop("rect_id")

@@ -73,9 +73,18 @@ def padded(cells: DataFrame, w: int, h: int, left: int, top: int, right: int, bo
     return grid.join(moved, ["x", "y"], "left").select("x", "y", F.coalesce("code", F.lit(pad)).cast("bigint").alias("code"))
 
 
-def tiles(cells: DataFrame, unit: int) -> DataFrame:
+def padded_maps(cells: DataFrame, maps: DataFrame, left: int, top: int, right: int, bottom: int, pad: int) -> DataFrame:
+    """padded() of every map by its own size: (map_ord, x, y, code)."""
+    moved = cells.select("map_ord", (F.col("x") + left).alias("x"), (F.col("y") + top).alias("y"), "code")
+    zero = F.lit(0).cast("bigint")
+    rows = maps.select("map_ord", "width", F.explode(F.sequence(zero, F.col("height") + (top + bottom - 1))).alias("y"))
+    grid = rows.select("map_ord", F.explode(F.sequence(zero, F.col("width") + (left + right - 1))).alias("x"), "y")
+    return grid.join(moved, ["map_ord", "x", "y"], "left").select("map_ord", "x", "y", F.coalesce("code", F.lit(pad)).cast("bigint").alias("code"))
+
+
+def tiles(cells: DataFrame, unit: int, *keys: str) -> DataFrame:
     """Cells with the tile that holds them and their place in it."""
-    return cells.select(floor_div(F.col("x"), unit).alias("tx"), floor_div(F.col("y"), unit).alias("ty"), F.pmod("x", F.lit(unit)).alias("x"), F.pmod("y", F.lit(unit)).alias("y"), "code")
+    return cells.select(*keys, floor_div(F.col("x"), unit).alias("tx"), floor_div(F.col("y"), unit).alias("ty"), F.pmod("x", F.lit(unit)).alias("x"), F.pmod("y", F.lit(unit)).alias("y"), "code")
 
 
 def quadtree(cells: DataFrame, levels: int, *keys: str) -> DataFrame:
@@ -120,3 +129,10 @@ def same_raster(a: DataFrame, b: DataFrame) -> DataFrame:
     left = a.select("x", "y", "code").exceptAll(b.select("x", "y", "code")).agg(F.count(F.lit(1)).alias("n"))
     right = b.select("x", "y", "code").exceptAll(a.select("x", "y", "code")).agg(F.count(F.lit(1)).alias("n"))
     return left.unionAll(right).agg((F.sum("n") == 0).alias("equal"))
+
+
+def same_rasters(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, equal) of every key in a or b: whether both hold the same cells."""
+    both = a.select(key, "x", "y", "code", F.lit(1).alias("n")).unionByName(b.select(key, "x", "y", "code", F.lit(-1).alias("n")))
+    cells = both.groupBy(key, "x", "y", "code").agg(F.sum("n").alias("n"))
+    return cells.groupBy(key).agg((F.max(F.abs("n")) == 0).alias("equal"))

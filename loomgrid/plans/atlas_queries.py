@@ -86,6 +86,12 @@ def rect_prune(spark, sf):
     return atlas(spark, sf).touching(sw_rects(spark, sf).where("rect_id < 5")).select("map_ord")
 
 
+@query("rect_prune_all", "sw_rects maps", "SELECT rect_id, map_ord FROM maps JOIN sw_rects ON west < x + w AND x < west + width AND south < y + h AND y < south + height WHERE w > 0 AND h > 0")
+def rect_prune_all(spark, sf):
+    """The maps that each request meets."""
+    return atlas(spark, sf).touching_each(sw_rects(spark, sf))
+
+
 @query("chunk_padded_rect", "maps cells", "SELECT g.x, g.y, coalesce(c.code, 0)::BIGINT AS code, (g.x >= width OR g.y >= height) AS padding FROM (SELECT i % 96 AS x, i // 96 AS y FROM (SELECT unnest(generate_series(0, 96*64 - 1)) AS i) a) g CROSS JOIN (SELECT width, height FROM maps WHERE map_ord = 1) m LEFT JOIN (SELECT x, y, code FROM cells WHERE map_ord = 1) c ON c.x = g.x AND c.y = g.y WHERE g.x < (width + 31)//32*32 AND g.y < (height + 31)//32*32")
 def chunk_padded_rect(spark, sf):
     """One map's image with its edge blocks of 32 filled up, as the chunk level reads it."""
@@ -95,6 +101,15 @@ def chunk_padded_rect(spark, sf):
     return grid.join(own, ["x", "y"], "left").select("x", "y", F.coalesce("code", F.lit(0)).cast("bigint").alias("code"), ((F.col("x") >= F.col("width")) | (F.col("y") >= F.col("height"))).alias("padding"))
 
 
+@query("chunk_padded_rect_all", "maps cells", "SELECT g.map_ord, g.x, g.y, coalesce(c.code, 0)::BIGINT AS code, (g.x >= width OR g.y >= height) AS padding FROM (SELECT map_ord, width, height, x, unnest(generate_series(0, (height + 31)//32*32 - 1)) AS y FROM (SELECT map_ord, width, height, unnest(generate_series(0, (width + 31)//32*32 - 1)) AS x FROM maps) a) g LEFT JOIN cells c ON c.map_ord = g.map_ord AND c.x = g.x AND c.y = g.y")
+def chunk_padded_rect_all(spark, sf):
+    """chunk_padded_rect of every map."""
+    m = d.maps(spark, sf).select("map_ord", "width", "height")
+    grid = m.withColumn("y", F.explode(F.expr("sequence(0L, (height + 31) div 32 * 32 - 1)"))).withColumn("x", F.explode(F.expr("sequence(0L, (width + 31) div 32 * 32 - 1)")))
+    own = r.cells_of(d.runs(spark, sf), "map_ord")
+    return grid.join(own, ["map_ord", "x", "y"], "left").select("map_ord", "x", "y", F.coalesce("code", F.lit(0)).cast("bigint").alias("code"), ((F.col("x") >= F.col("width")) | (F.col("y") >= F.col("height"))).alias("padding"))
+
+
 @query("map_union", "maps", "SELECT (map_ord % 2) * 4294967296 + map_ord AS map_ord, west, south FROM maps")
 def map_union(spark, sf):
     m, n = d.maps(spark, sf), d.runs(spark, sf)
@@ -109,6 +124,15 @@ def raster_equal(spark, sf):
     return r.same_raster(a, a).select(F.col("equal").alias("same")).join(r.same_raster(a, b).select(F.col("equal").alias("other")))
 
 
+@query("raster_equal_all", "cells", "WITH n AS (SELECT map_ord, count(*) AS n FROM cells GROUP BY 1), s AS (SELECT a.map_ord, b.map_ord - a.map_ord AS step, count(*) AS k FROM cells a JOIN cells b ON b.map_ord - a.map_ord IN (0, 1) AND a.x = b.x AND a.y = b.y AND a.code = b.code GROUP BY ALL) SELECT n.map_ord, coalesce(s0.k = n.n, false) AS same, coalesce(s1.k = n.n AND n.n = n1.n, false) AS other FROM n LEFT JOIN s s0 ON s0.map_ord = n.map_ord AND s0.step = 0 LEFT JOIN s s1 ON s1.map_ord = n.map_ord AND s1.step = 1 LEFT JOIN n n1 ON n1.map_ord = n.map_ord + 1")
+def raster_equal_all(spark, sf):
+    """Every map against itself and against the map of the next number; a missing one has no cells."""
+    c = r.cells_of(d.runs(spark, sf), "map_ord")
+    own = c.select("map_ord").distinct()
+    same, other = (r.same_rasters(c, c.withColumn("map_ord", F.col("map_ord") - k), "map_ord").withColumnRenamed("equal", name) for k, name in enumerate(("same", "other")))
+    return own.join(same, "map_ord").join(other, "map_ord").select("map_ord", "same", "other")
+
+
 ZONE = "floor(sum(x)/count(*))::BIGINT AS cx, floor(sum(y)/count(*))::BIGINT AS cy, min(x)::BIGINT AS x, min(y)::BIGINT AS y, (max(x)-min(x))::BIGINT AS width, (max(y)-min(y))::BIGINT AS height"
 
 
@@ -208,6 +232,16 @@ def raster_tiles(spark, sf):
     return r.tiles(r.cells_of(d.runs(spark, sf).where("map_ord = 0")), 10)
 
 
+@query("raster_pad_all", "cells maps", "SELECT g.map_ord, g.x, g.y, coalesce(c.code, 7)::BIGINT AS code FROM (SELECT map_ord, x, unnest(generate_series(0, height + 2)) AS y FROM (SELECT map_ord, height, unnest(generate_series(0, width + 4)) AS x FROM maps) a) g LEFT JOIN (SELECT map_ord, x+2 AS x, y+1 AS y, code FROM cells) c ON c.map_ord = g.map_ord AND c.x = g.x AND c.y = g.y")
+def raster_pad_all(spark, sf):
+    return r.padded_maps(r.cells_of(d.runs(spark, sf), "map_ord"), d.maps(spark, sf), 2, 1, 3, 2, 7)
+
+
+@query("raster_tiles_all", "cells", "SELECT map_ord, (x//10)::BIGINT AS tx, (y//10)::BIGINT AS ty, (x % 10)::BIGINT AS x, (y % 10)::BIGINT AS y, code FROM cells")
+def raster_tiles_all(spark, sf):
+    return r.tiles(r.cells_of(d.runs(spark, sf), "map_ord"), 10, "map_ord")
+
+
 def _quad_sql(levels: int, within: str = " WHERE x < 32 AND y < 32") -> str:
     ctes = [f"q0 AS (SELECT map_ord, x AS qx, y AS qy, code FROM cells{within})"]
     out = []
