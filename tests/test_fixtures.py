@@ -105,6 +105,16 @@ def test_token_merging(spark):
     assert [list(r.tokens) for r in arrays.orderBy("text_code").collect()] == rows
 
 
+def test_token_merging_to_its_end(spark):
+    from loomgrid.plans import lexicon_queries as q
+
+    sf = "/root/testdata/sf0.001"
+    texts = [r["text"] for r in q.codes(spark, sf).orderBy("text_code").collect()]
+    want = brute_merge(texts, 1000)[1]
+    assert 5 < len(want) < 1000
+    assert [tuple(r) for r in q.lex_bpe_report(spark, sf).orderBy("step").collect()] == want
+
+
 def test_page_palette():
     writes = tm._page_slots([[1, 2], [3, 2], [4]])
     assert writes == [(-1, 1, 1), (-1, 2, 2), (-1, 3, 3), (-1, 4, 4)]
