@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 ROUNDINGS = ("half_even", "half_away", "half_up")
 ANCHORS = ("SOUTHWEST", "CENTER", "NORTHWEST", "NORTHEAST", "SOUTHEAST")
@@ -132,11 +134,31 @@ def hsv_to_rgb(h: Column, s: Column, v: Column) -> Column:
     return F.struct(*out)
 
 
+#: Names of encodings that Spark writes itself.
 ENCODINGS = {"utf8": "UTF-8", "utf-8": "UTF-8", "utf-16-le": "UTF-16LE", "utf16le": "UTF-16LE"}
+#: Names of the one that it doesn't.
+CP932 = frozenset({"cp932", "shift_jis", "sjis", "windows-31j"})
+
+
+@F.pandas_udf(BinaryType())
+def _cp932(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t.encode("cp932"), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _from_cp932(data: pd.Series) -> pd.Series:
+    return data.map(lambda b: bytes(b).decode("cp932"), na_action="ignore")
 
 
 def encoded(text: Column, encoding: str) -> Column:
-    return F.encode(text, ENCODINGS[encoding.lower()])
+    """Bytes of a text; an error for a character that the encoding lacks (CP932) and for an unknown encoding."""
+    name = encoding.lower()
+    return _cp932(text) if name in CP932 else F.encode(text, ENCODINGS[name])
+
+
+def decoded(data: Column, encoding: str) -> Column:
+    name = encoding.lower()
+    return _from_cp932(data) if name in CP932 else F.decode(data, ENCODINGS[name])
 
 
 # ---- scan orders of a size x size square. NAME(i, size) is the scan position of row-major cell i; NAME_cell is the inverse.

@@ -83,6 +83,8 @@ class Atlas:
         rows = some.select(key, F.col("x").alias("rx"), "w", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("y"))
         strips = rows.withColumn("b", F.explode(F.sequence(floor_div(F.col("rx"), n), floor_div(F.col("rx") + F.col("w") - 1, n))))
         strips = strips.select(key, "y", "b", F.greatest("rx", F.col("b") * n).alias("xa"), (F.least(F.col("rx") + F.col("w"), (F.col("b") + 1) * n) - 1).alias("xz"))
+        # one request may be the whole grid: its strips are dealt before they are expanded
+        strips = strips.repartition(int(rects.sparkSession.conf.get("spark.sql.shuffle.partitions")), "y", "b")
         j = strips.join(small(self.index(self.touching(rects))), (F.col("y") == F.col("iy")) & (F.col("b") == F.col("ib")), "left")
         none = F.array().cast("array<struct<o:bigint,a:bigint,z:bigint,c:bigint>>")
         j = j.withColumn("set", F.coalesce(F.filter("pieces", lambda p: p["c"] != 0), none))
@@ -97,11 +99,22 @@ class Atlas:
         # one row on the right
         return self.maps.join(F.broadcast(around), meets, "left_semi")
 
-    def touching_each(self, rects: DataFrame, key: str = "rect_id") -> DataFrame:
-        """(key, map_ord) of the maps that each request meets."""
-        some = rects.where((F.col("w") > 0) & (F.col("h") > 0)).select(key, "x", "y", "w", "h")
+    def touching_each(self, rects: DataFrame, key: str = "rect_id", square: int = 128) -> DataFrame:
+        """(key, map_ord) of the maps that each request meets, by an equi-join on squares of the grid.
+
+        A pair may meet in several squares; it counts in the one that holds their common part's first cell.
+        """
+
+        def dealt(df: DataFrame, x: str, y: str, w: str, h: str) -> DataFrame:
+            some = df.where((F.col(w) > 0) & (F.col(h) > 0))
+            some = some.withColumn("gx", F.explode(F.sequence(floor_div(F.col(x), square), floor_div(F.col(x) + F.col(w) - 1, square))))
+            return some.withColumn("gy", F.explode(F.sequence(floor_div(F.col(y), square), floor_div(F.col(y) + F.col(h) - 1, square))))
+
+        asked = dealt(rects.select(key, "x", "y", "w", "h"), "x", "y", "w", "h")
+        j = dealt(self.maps.select("map_ord", "west", "south", "width", "height"), "west", "south", "width", "height").join(asked, ["gx", "gy"])
         meets = (F.col("west") < F.col("x") + F.col("w")) & (F.col("x") < F.col("west") + F.col("width")) & (F.col("south") < F.col("y") + F.col("h")) & (F.col("y") < F.col("south") + F.col("height"))
-        return self.maps.join(small(some), meets).select(key, "map_ord")
+        first = (floor_div(F.greatest("x", "west"), square) == F.col("gx")) & (floor_div(F.greatest("y", "south"), square) == F.col("gy"))
+        return j.where(meets & first).select(key, "map_ord")
 
     def full(self) -> DataFrame:
         """(x, y, code) of the rectangle around all maps."""

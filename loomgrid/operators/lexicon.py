@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomgrid.plans.ranks import running, with_global_index
+from loomgrid.plans.ranks import running, with_global_index, within_groups
 
 PAGE = 128
 LEVELS = ("l1", "l2", "l3", "l4")
@@ -71,14 +71,15 @@ def merge_gain(n: Column, merged: Column) -> Column:
 
 
 def merge_pair(array: Column, left: Column, right: Column) -> Column:
-    """An array of tokens with each (left, right) made one, from the left, none used twice."""
-    def step(acc: Column, t: Column) -> Column:
-        joins = (t == right) & F.coalesce(F.get(acc["out"], F.size(acc["out"]) - 1) == left, F.lit(False)) & acc["free"]
-        cut = F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0)))
-        return F.struct(F.when(joins, F.concat(cut, F.array(F.concat(left, right)))).otherwise(F.concat(acc["out"], F.array(t))).alias("out"), (~joins).alias("free"))
+    """An array of tokens with each (left, right) made one, from the left, none used twice.
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(True).alias("free"))
-    return F.aggregate(array, start, step, lambda acc: acc["out"])
+    Each token's part in the pair is one letter of a string, where a regular expression finds the pairs from the left:
+    one pass for an array of any length.
+    """
+    part = F.transform(array, lambda t: F.when((t == left) & (t == right), "B").when(t == left, "L").when(t == right, "R").otherwise("."))
+    marks = F.split(F.regexp_replace(F.array_join(part, ""), "LR|BB", "mx"), "")
+    merged = F.zip_with(array, marks, lambda t, m: F.when(m == "m", F.concat(left, right)).when(m == "x", F.lit(None).cast("string")).otherwise(t))
+    return F.filter(merged, lambda t: t.isNotNull())
 
 
 def containers(paths: DataFrame, levels: Sequence[str] = LEVELS) -> DataFrame:
@@ -95,22 +96,25 @@ def containers(paths: DataFrame, levels: Sequence[str] = LEVELS) -> DataFrame:
         changed = changed | ~F.col(c).eqNullSafe(F.col(f"p_{c}")) | F.col(f"p_{c}").isNull()
         starts.append(F.when(changed, F.struct(F.lit(d).alias("depth"), F.col(c).alias("name"))))
     heads = j.select("idx", F.explode(F.filter(F.array(*starts), lambda s: s.isNotNull())).alias("s")).select(F.col("s.depth").alias("depth"), F.col("s.name").alias("name"), F.col("idx").alias("first_idx"))
-    w = Window.partitionBy("depth").orderBy("first_idx")
     end = paths.agg(F.max("code").alias("end"))
-    out = heads.withColumn("next", F.lead("first_idx").over(w)).withColumn("ord", (F.row_number().over(w) - 1).cast("bigint"))
+    placed = within_groups(heads, ["depth"], ["first_idx"], "ord")
+    after = placed.select("depth", (F.col("ord") - 1).alias("ord"), F.col("first_idx").alias("next"))
+    out = placed.join(after, ["depth", "ord"], "left")
+    # one row on the right
     return out.join(F.broadcast(end)).select("depth", "ord", "name", "first_idx", (F.coalesce("next", "end") - F.col("first_idx")).alias("leaf_count"))
 
 
 def index_walk(requests: DataFrame, conts: DataFrame, paths: DataFrame, block: int = 1024) -> DataFrame:
     """(seq, idx, d1..d3, leaf): the container of each depth that holds an index, and the leaf's own name.
 
-    Ranges are met by an equi-join on blocks of the index that a container touches.
+    Containers are laid over the leaves, by an equi-join on blocks of the index that a container touches, so a request
+    meets one row however many containers hold it.
     """
-    some = requests.where(F.col("idx") >= 0).withColumn("blk", F.floor(F.col("idx") / block))
+    leaves = paths.select((F.col("code") - 1).alias("idx"), F.col("l4").alias("leaf")).withColumn("blk", F.expr(f"idx div {block}"))
     spread = conts.withColumn("blk", F.explode(F.sequence(F.floor(F.col("first_idx") / block), F.floor((F.col("first_idx") + F.col("leaf_count") - 1) / block))))
-    j = some.join(spread, "blk").where((F.col("idx") >= F.col("first_idx")) & (F.col("idx") < F.col("first_idx") + F.col("leaf_count")))
-    g = j.groupBy("seq", "idx").agg(*[F.max(F.when(F.col("depth") == d, F.col("name"))).alias(f"d{d}") for d in (1, 2, 3)])
-    return g.join(paths.select((F.col("code") - 1).alias("idx"), F.col("l4").alias("leaf")), "idx").select("seq", "idx", "d1", "d2", "d3", "leaf")
+    j = leaves.join(spread, "blk").where((F.col("idx") >= F.col("first_idx")) & (F.col("idx") < F.col("first_idx") + F.col("leaf_count")))
+    g = j.groupBy("idx").agg(*[F.max(F.when(F.col("depth") == d, F.col("name"))).alias(f"d{d}") for d in (1, 2, 3)], F.first("leaf").alias("leaf"))
+    return requests.where(F.col("idx") >= 0).join(g, "idx").select("seq", "idx", "d1", "d2", "d3", "leaf")
 
 
 def lookup(requests: DataFrame, paths: DataFrame) -> DataFrame:
@@ -146,8 +150,8 @@ def rare_order(toks: DataFrame, codes: DataFrame) -> DataFrame:
     freq = toks.join(codes.select("text_code", "n_tokens"), "text_code").groupBy("n_tokens", "token").agg(F.count(F.lit(1)).alias("f"))
     score = each.join(freq, ["n_tokens", "token"]).groupBy("n_tokens", "text_code").agg(F.min("f").alias("rare"), F.round(F.sum(F.lit(1.0) / F.col("f")), 9).alias("score"))
     all_texts = codes.select("text_code", "n_tokens").join(score, ["n_tokens", "text_code"], "left")
-    w = Window.partitionBy("n_tokens").orderBy(F.col("rare").asc_nulls_last(), F.col("score").desc(), "text_code")
-    return all_texts.select("n_tokens", "text_code", "rare", "score", (F.row_number().over(w) - 1).cast("bigint").alias("at"))
+    order = [F.col("rare").asc_nulls_last(), F.col("score").desc(), F.col("text_code")]
+    return within_groups(all_texts.select("n_tokens", "text_code", "rare", "score"), ["n_tokens"], order, "at")
 
 
 def cluster_order(toks: DataFrame, codes: DataFrame) -> DataFrame:
@@ -158,8 +162,8 @@ def cluster_order(toks: DataFrame, codes: DataFrame) -> DataFrame:
     s = sets.select("n_tokens", "text_code", F.get("s", 0).alias("rep"), F.slice("s", 1, 6).alias("rarest"), F.size("s").alias("size"))
     size = s.groupBy("n_tokens", "rep").agg(F.count(F.lit(1)).alias("members"))
     j = codes.select("text_code", "n_tokens").join(s.join(size, ["n_tokens", "rep"]), ["n_tokens", "text_code"], "left")
-    w = Window.partitionBy("n_tokens").orderBy(F.col("rep.f").asc_nulls_last(), F.desc("members"), F.col("rep.token"), F.col("rarest"), F.desc("size"), "text_code")
-    return j.select("n_tokens", "text_code", (F.row_number().over(w) - 1).cast("bigint").alias("at"))
+    order = [F.col("rep.f").asc_nulls_last(), F.desc("members"), F.col("rep.token"), F.col("rarest"), F.desc("size"), F.col("text_code")]
+    return within_groups(j, ["n_tokens"], order, "at").select("n_tokens", "text_code", "at")
 
 
 def tree_paths(trees: DataFrame, depth: int) -> DataFrame:

@@ -90,19 +90,20 @@ def tiles(cells: DataFrame, unit: int, *keys: str) -> DataFrame:
 def quadtree(cells: DataFrame, levels: int, *keys: str) -> DataFrame:
     """Squares of one code, as large as they get: (keys, level, qx, qy, code). Level k is 2**k cells wide.
 
-    Bottom up: four squares of one code become one; those that can't merge are emitted at their level. The number of
-    levels is the logarithm of the side, so the loop below is a plan of fixed depth.
+    A cell's square is the largest that is full and of one code, and its first cell stands for it. Cells are dealt once,
+    by their largest possible square, and sorted once, by the squares of all levels from the largest down, so the window
+    of each level finds its rows together: one shuffle and one sort for any number of levels.
     """
-    live = cells.select(*keys, F.col("x").alias("qx"), F.col("y").alias("qy"), "code")
-    out = None
-    for level in range(levels):
-        w = Window.partitionBy(*keys, floor_div(F.col("qx"), 2), floor_div(F.col("qy"), 2))
-        m = live.withColumn("ok", (F.count(F.lit(1)).over(w) == 4) & (F.min("code").over(w) == F.max("code").over(w)))
-        left = m.where(~F.col("ok")).select(*keys, F.lit(level).alias("level"), "qx", "qy", "code")
-        out = left if out is None else out.unionByName(left)
-        live = m.where("ok").groupBy(*keys, floor_div(F.col("qx"), 2).alias("qx"), floor_div(F.col("qy"), 2).alias("qy")).agg(F.min("code").alias("code"))
-    top = live.select(*keys, F.lit(levels).alias("level"), "qx", "qy", "code")
-    return top if out is None else out.unionByName(top)
+    squares = [f"__{axis}{k}" for k in range(levels, 0, -1) for axis in "xy"]
+    c = cells.select(*keys, "x", "y", "code", *[F.expr(f"shiftright({axis}, {k})").alias(f"__{axis}{k}") for k in range(levels, 0, -1) for axis in "xy"])
+    level = F.lit(0)
+    for k in range(1, levels + 1):
+        w = Window.partitionBy(*keys, *squares[: 2 * (levels - k + 1)])
+        c = c.withColumn(f"__ok{k}", (F.count(F.lit(1)).over(w) == 4**k) & (F.min("code").over(w) == F.max("code").over(w)))
+        level = F.when(F.col(f"__ok{k}"), k).otherwise(level)
+    side = F.expr("shiftleft(1L, level)")
+    first = c.withColumn("level", level).where((F.pmod("x", side) == 0) & (F.pmod("y", side) == 0))
+    return first.select(*keys, "level", F.expr("shiftright(x, level)").alias("qx"), F.expr("shiftright(y, level)").alias("qy"), "code")
 
 
 def quad_cells(quads: DataFrame, *keys: str) -> DataFrame:

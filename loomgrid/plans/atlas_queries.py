@@ -81,29 +81,15 @@ def rect_full(spark, sf):
     return atlas(spark, sf).full().groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("rect_prune", "sw_rects maps", "WITH q AS (SELECT min(x) AS qx, min(y) AS qy, max(x+w) AS qx2, max(y+h) AS qy2 FROM sw_rects WHERE rect_id < 5 AND w > 0 AND h > 0) SELECT map_ord FROM maps, q WHERE west < qx2 AND qx < west + width AND south < qy2 AND qy < south + height")
+@query("rect_prune", "sw_rects maps", "SELECT rect_id, map_ord FROM maps JOIN sw_rects ON west < x + w AND x < west + width AND south < y + h AND y < south + height WHERE w > 0 AND h > 0")
 def rect_prune(spark, sf):
-    return atlas(spark, sf).touching(sw_rects(spark, sf).where("rect_id < 5")).select("map_ord")
-
-
-@query("rect_prune_all", "sw_rects maps", "SELECT rect_id, map_ord FROM maps JOIN sw_rects ON west < x + w AND x < west + width AND south < y + h AND y < south + height WHERE w > 0 AND h > 0")
-def rect_prune_all(spark, sf):
     """The maps that each request meets."""
     return atlas(spark, sf).touching_each(sw_rects(spark, sf))
 
 
-@query("chunk_padded_rect", "maps cells", "SELECT g.x, g.y, coalesce(c.code, 0)::BIGINT AS code, (g.x >= width OR g.y >= height) AS padding FROM (SELECT i % 96 AS x, i // 96 AS y FROM (SELECT unnest(generate_series(0, 96*64 - 1)) AS i) a) g CROSS JOIN (SELECT width, height FROM maps WHERE map_ord = 1) m LEFT JOIN (SELECT x, y, code FROM cells WHERE map_ord = 1) c ON c.x = g.x AND c.y = g.y WHERE g.x < (width + 31)//32*32 AND g.y < (height + 31)//32*32")
+@query("chunk_padded_rect", "maps cells", "SELECT g.map_ord, g.x, g.y, coalesce(c.code, 0)::BIGINT AS code, (g.x >= width OR g.y >= height) AS padding FROM (SELECT map_ord, width, height, x, unnest(generate_series(0, (height + 31)//32*32 - 1)) AS y FROM (SELECT map_ord, width, height, unnest(generate_series(0, (width + 31)//32*32 - 1)) AS x FROM maps) a) g LEFT JOIN cells c ON c.map_ord = g.map_ord AND c.x = g.x AND c.y = g.y")
 def chunk_padded_rect(spark, sf):
-    """One map's image with its edge blocks of 32 filled up, as the chunk level reads it."""
-    m = d.maps(spark, sf).where("map_ord = 1").select("width", "height")
-    grid = m.withColumn("y", F.explode(F.expr("sequence(0L, (height + 31) div 32 * 32 - 1)"))).withColumn("x", F.explode(F.expr("sequence(0L, (width + 31) div 32 * 32 - 1)")))
-    own = r.cells_of(d.runs(spark, sf).where("map_ord = 1"))
-    return grid.join(own, ["x", "y"], "left").select("x", "y", F.coalesce("code", F.lit(0)).cast("bigint").alias("code"), ((F.col("x") >= F.col("width")) | (F.col("y") >= F.col("height"))).alias("padding"))
-
-
-@query("chunk_padded_rect_all", "maps cells", "SELECT g.map_ord, g.x, g.y, coalesce(c.code, 0)::BIGINT AS code, (g.x >= width OR g.y >= height) AS padding FROM (SELECT map_ord, width, height, x, unnest(generate_series(0, (height + 31)//32*32 - 1)) AS y FROM (SELECT map_ord, width, height, unnest(generate_series(0, (width + 31)//32*32 - 1)) AS x FROM maps) a) g LEFT JOIN cells c ON c.map_ord = g.map_ord AND c.x = g.x AND c.y = g.y")
-def chunk_padded_rect_all(spark, sf):
-    """chunk_padded_rect of every map."""
+    """Every map's image with its edge blocks of 32 filled up, as the chunk level reads it."""
     m = d.maps(spark, sf).select("map_ord", "width", "height")
     grid = m.withColumn("y", F.explode(F.expr("sequence(0L, (height + 31) div 32 * 32 - 1)"))).withColumn("x", F.explode(F.expr("sequence(0L, (width + 31) div 32 * 32 - 1)")))
     own = r.cells_of(d.runs(spark, sf), "map_ord")
@@ -117,15 +103,8 @@ def map_union(spark, sf):
     return union(*parts).maps.select("map_ord", "west", "south")
 
 
-@query("raster_equal", "cells", "SELECT (SELECT count(*) FROM (SELECT x, y, code FROM cells WHERE map_ord = 0 EXCEPT ALL SELECT x, y, code FROM cells WHERE map_ord = 0) a) = 0 AS same, (SELECT count(*) FROM (SELECT x, y, code FROM cells WHERE map_ord = 0 EXCEPT ALL SELECT x, y, code FROM cells WHERE map_ord = 1) b) = 0 AS other")
+@query("raster_equal", "cells", "WITH n AS (SELECT map_ord, count(*) AS n FROM cells GROUP BY 1), s AS (SELECT a.map_ord, b.map_ord - a.map_ord AS step, count(*) AS k FROM cells a JOIN cells b ON b.map_ord - a.map_ord IN (0, 1) AND a.x = b.x AND a.y = b.y AND a.code = b.code GROUP BY ALL) SELECT n.map_ord, coalesce(s0.k = n.n, false) AS same, coalesce(s1.k = n.n AND n.n = n1.n, false) AS other FROM n LEFT JOIN s s0 ON s0.map_ord = n.map_ord AND s0.step = 0 LEFT JOIN s s1 ON s1.map_ord = n.map_ord AND s1.step = 1 LEFT JOIN n n1 ON n1.map_ord = n.map_ord + 1")
 def raster_equal(spark, sf):
-    c = r.cells_of(d.runs(spark, sf), "map_ord")
-    a, b = c.where("map_ord = 0"), c.where("map_ord = 1")
-    return r.same_raster(a, a).select(F.col("equal").alias("same")).join(r.same_raster(a, b).select(F.col("equal").alias("other")))
-
-
-@query("raster_equal_all", "cells", "WITH n AS (SELECT map_ord, count(*) AS n FROM cells GROUP BY 1), s AS (SELECT a.map_ord, b.map_ord - a.map_ord AS step, count(*) AS k FROM cells a JOIN cells b ON b.map_ord - a.map_ord IN (0, 1) AND a.x = b.x AND a.y = b.y AND a.code = b.code GROUP BY ALL) SELECT n.map_ord, coalesce(s0.k = n.n, false) AS same, coalesce(s1.k = n.n AND n.n = n1.n, false) AS other FROM n LEFT JOIN s s0 ON s0.map_ord = n.map_ord AND s0.step = 0 LEFT JOIN s s1 ON s1.map_ord = n.map_ord AND s1.step = 1 LEFT JOIN n n1 ON n1.map_ord = n.map_ord + 1")
-def raster_equal_all(spark, sf):
     """Every map against itself and against the map of the next number; a missing one has no cells."""
     c = r.cells_of(d.runs(spark, sf), "map_ord")
     own = c.select("map_ord").distinct()
@@ -221,29 +200,18 @@ def raster_sub(spark, sf):
     return r.cells_of(r.clip_runs(d.runs(spark, sf), 10, 5, 40, 20), "map_ord")
 
 
-@query("raster_pad", "cells maps", "SELECT g.x, g.y, coalesce(c.code, 7)::BIGINT AS code FROM (SELECT i % (w+5) AS x, i // (w+5) AS y FROM (SELECT w, unnest(generate_series(0, (w+5)*(h+3) - 1)) AS i FROM (SELECT width AS w, height AS h FROM maps WHERE map_ord = 0) a) b) g LEFT JOIN (SELECT x+2 AS x, y+1 AS y, code FROM cells WHERE map_ord = 0) c ON c.x = g.x AND c.y = g.y")
+@query("raster_pad", "cells maps", "SELECT g.map_ord, g.x, g.y, coalesce(c.code, 7)::BIGINT AS code FROM (SELECT map_ord, x, unnest(generate_series(0, height + 2)) AS y FROM (SELECT map_ord, height, unnest(generate_series(0, width + 4)) AS x FROM maps) a) g LEFT JOIN (SELECT map_ord, x+2 AS x, y+1 AS y, code FROM cells) c ON c.map_ord = g.map_ord AND c.x = g.x AND c.y = g.y")
 def raster_pad(spark, sf):
-    # map 0 is 64 x 48 by its definition
-    return r.padded(r.cells_of(d.runs(spark, sf).where("map_ord = 0")), 64, 48, 2, 1, 3, 2, 7)
-
-
-@query("raster_tiles", "cells", "SELECT (x//10)::BIGINT AS tx, (y//10)::BIGINT AS ty, (x % 10)::BIGINT AS x, (y % 10)::BIGINT AS y, code FROM cells WHERE map_ord = 0")
-def raster_tiles(spark, sf):
-    return r.tiles(r.cells_of(d.runs(spark, sf).where("map_ord = 0")), 10)
-
-
-@query("raster_pad_all", "cells maps", "SELECT g.map_ord, g.x, g.y, coalesce(c.code, 7)::BIGINT AS code FROM (SELECT map_ord, x, unnest(generate_series(0, height + 2)) AS y FROM (SELECT map_ord, height, unnest(generate_series(0, width + 4)) AS x FROM maps) a) g LEFT JOIN (SELECT map_ord, x+2 AS x, y+1 AS y, code FROM cells) c ON c.map_ord = g.map_ord AND c.x = g.x AND c.y = g.y")
-def raster_pad_all(spark, sf):
     return r.padded_maps(r.cells_of(d.runs(spark, sf), "map_ord"), d.maps(spark, sf), 2, 1, 3, 2, 7)
 
 
-@query("raster_tiles_all", "cells", "SELECT map_ord, (x//10)::BIGINT AS tx, (y//10)::BIGINT AS ty, (x % 10)::BIGINT AS x, (y % 10)::BIGINT AS y, code FROM cells")
-def raster_tiles_all(spark, sf):
+@query("raster_tiles", "cells", "SELECT map_ord, (x//10)::BIGINT AS tx, (y//10)::BIGINT AS ty, (x % 10)::BIGINT AS x, (y % 10)::BIGINT AS y, code FROM cells")
+def raster_tiles(spark, sf):
     return r.tiles(r.cells_of(d.runs(spark, sf), "map_ord"), 10, "map_ord")
 
 
-def _quad_sql(levels: int, within: str = " WHERE x < 32 AND y < 32") -> str:
-    ctes = [f"q0 AS (SELECT map_ord, x AS qx, y AS qy, code FROM cells{within})"]
+def _quad_sql(levels: int) -> str:
+    ctes = [f"q0 AS (SELECT map_ord, x AS qx, y AS qy, code FROM cells)"]
     out = []
     for k in range(levels):
         ctes.append(f"g{k} AS (SELECT map_ord, qx//2 AS px, qy//2 AS py, min(code) AS code FROM q{k} GROUP BY 1, 2, 3 HAVING count(*) = 4 AND min(code) = max(code))")
@@ -253,33 +221,19 @@ def _quad_sql(levels: int, within: str = " WHERE x < 32 AND y < 32") -> str:
     return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(out)
 
 
-def _square(spark, sf):
-    return r.cells_of(r.clip_runs(d.runs(spark, sf), 0, 0, 32, 32), "map_ord")
-
-
-@query("quad_build", "cells", _quad_sql(5))
-def quad_build(spark, sf):
-    return r.quadtree(_square(spark, sf), 5, "map_ord")
-
-
-@query("quad_expand", "cells", "SELECT map_ord, x, y, code FROM cells WHERE x < 32 AND y < 32")
-def quad_expand(spark, sf):
-    return r.quad_cells(r.quadtree(_square(spark, sf), 5, "map_ord"), "map_ord")
-
-
 #: Maps are 128 wide at most, by their definition; in a larger one the squares would just stop growing there.
 QUAD_LEVELS = 7
 
 
-@query("quad_build_all", "cells", _quad_sql(QUAD_LEVELS, ""))
-def quad_build_all(spark, sf):
+@query("quad_build", "cells", _quad_sql(QUAD_LEVELS))
+def quad_build(spark, sf):
     """All cells of every map; squares that a map's edge cuts stay apart."""
     return r.quadtree(r.cells_of(d.runs(spark, sf), "map_ord"), QUAD_LEVELS, "map_ord")
 
 
-@query("quad_expand_all", "cells", "SELECT map_ord, x, y, code FROM cells")
-def quad_expand_all(spark, sf):
-    return r.quad_cells(quad_build_all(spark, sf), "map_ord")
+@query("quad_expand", "cells", "SELECT map_ord, x, y, code FROM cells")
+def quad_expand(spark, sf):
+    return r.quad_cells(quad_build(spark, sf), "map_ord")
 
 
 @query("encoding_choice", "runs", "WITH s AS (SELECT map_ord, y, 2*count(*) AS rle, sum(len) AS raw, 1 + count(DISTINCT code) + (sum(len)+1)//2 AS pal FROM runs GROUP BY map_ord, y), c AS (SELECT map_ord, y, 'raw' AS kind, 0 AS t, raw AS size FROM s UNION ALL SELECT map_ord, y, 'rle', 1, rle FROM s UNION ALL SELECT map_ord, y, 'palette', 2, pal FROM s) SELECT map_ord, y, arg_min(kind, size*10 + t) AS kind, min(size)::BIGINT AS size FROM c GROUP BY map_ord, y")

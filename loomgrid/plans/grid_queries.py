@@ -85,12 +85,12 @@ def rect_from_float(spark, sf):
 
 
 def rects_and_maps(spark, sf):
-    m = d.maps(spark, sf).withColumn("slot", F.col("map_ord") % 10)
-    r = sw_rects(spark, sf).withColumn("slot", F.col("rect_id") % 10)
-    return r.join(m, "slot")
+    """Each rectangle beside ten maps."""
+    r = sw_rects(spark, sf).withColumn("map_ord", F.explode(F.sequence(F.expr("rect_id div 20"), F.expr("rect_id div 20 + 9"))))
+    return r.join(d.maps(spark, sf), "map_ord")
 
 
-RM = "rm AS (SELECT r.*, m.map_ord, m.west, m.south, m.width, m.height FROM sw_rects r JOIN maps m ON r.rect_id % 10 = m.map_ord % 10)"
+RM = "rm AS (SELECT r.*, m.map_ord, m.west, m.south, m.width, m.height FROM (SELECT *, rect_id//20 + unnest(generate_series(0, 9)) AS near FROM sw_rects) r JOIN maps m ON m.map_ord = r.near)"
 
 
 def sides():
@@ -194,10 +194,12 @@ def hsv_ramp(spark, sf):
     return k.select("k", g.hsv_to_rgb(F.col("k") / 60.0, F.lit(0.75), F.lit(0.9)).alias("c")).select("k", "c.*")
 
 
-@query("text_encoding", "paths", "SELECT code, strlen(l4)::BIGINT AS utf8_bytes, (length(l4)*2)::BIGINT AS utf16_bytes, hex(encode(l4)) AS utf8_hex FROM paths")
+@query("text_encoding", "paths", "SELECT code, strlen(l4)::BIGINT AS utf8_bytes, (length(l4)*2)::BIGINT AS utf16_bytes, hex(encode(l4)) AS utf8_hex, hex(encode(l4)) AS cp932_hex FROM paths")
 def text_encoding(spark, sf):
-    p = d.paths(spark, sf)
-    return p.select("code", F.length(g.encoded(F.col("l4"), "utf8")).cast("bigint").alias("utf8_bytes"), F.length(g.encoded(F.col("l4"), "utf-16-le")).cast("bigint").alias("utf16_bytes"), F.hex(g.encoded(F.col("l4"), "utf8")).alias("utf8_hex"))
+    """Names in three encodings; these names are ASCII, which two of them write alike."""
+    p, l4 = d.paths(spark, sf), F.col("l4")
+    sizes = [F.length(g.encoded(l4, e)).cast("bigint").alias(n) for e, n in (("utf8", "utf8_bytes"), ("utf-16-le", "utf16_bytes"))]
+    return p.select("code", *sizes, *[F.hex(g.encoded(l4, e)).alias(n) for e, n in (("utf8", "utf8_hex"), ("cp932", "cp932_hex"))])
 
 
 @query("block_index", "gpts", "SELECT event_id, (x//16)::BIGINT AS bx, (y//16)::BIGINT AS by_, (x//16 + (y//16)*1000)::BIGINT AS block FROM gpts")

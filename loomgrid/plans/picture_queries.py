@@ -14,20 +14,10 @@ from .atlas_queries import OVER, atlas
 from .grid_queries import sw_rects
 from .registry import query
 
-#: Map 0 is 64 x 48 by its definition.
-W, H = 64, 48
-ONE = "one AS (SELECT x, y, code FROM cells WHERE map_ord = 0)"
-EDGE = "en AS (SELECT *, lead(code) OVER (PARTITION BY y ORDER BY x) AS e, lead(code) OVER (PARTITION BY x ORDER BY y) AS n FROM one)"
-MASK = f"{ONE}, {EDGE}, mask AS (SELECT x AS img_x, {H - 1} - y AS img_y FROM en WHERE coalesce(e <> code, false) OR coalesce(n <> code, false))"
-MASK0 = f"{ONE}, {EDGE}, mask AS (SELECT x AS img_x, {H - 1} - y AS img_y FROM en WHERE coalesce(e <> code AND e <> 0 AND code <> 0, false) OR coalesce(n <> code AND n <> 0 AND code <> 0, false))"
 COLORS = {0: (0, 0, 255, 255), 12: (10, 20, 30, 255), 27: (200, 100, 50, 128)}
 DEFAULT = (60, 160, 60, 255)
 
 
-def one(spark, sf):
-    return r.cells_of(d.runs(spark, sf).where("map_ord = 0"))
-
-
 def _fill_sql(k: int) -> str:
     return "CASE code " + " ".join(f"WHEN {c} THEN {rgba[k]}" for c, rgba in COLORS.items()) + f" ELSE {DEFAULT[k]} END"
 
@@ -35,73 +25,29 @@ def _fill_sql(k: int) -> str:
 FILL_COLS = ", ".join(f"({_fill_sql(k)})::INTEGER AS {c}" for k, c in enumerate("rgba"))
 
 
-@query("edge_mask", "cells", f"WITH {MASK} SELECT img_x, img_y::BIGINT AS img_y FROM mask")
-def edge_mask(spark, sf):
-    return v.edge_mask(one(spark, sf), W, H, v.Edge(include_zero=True))
-
-
-@query("edge_nozero", "cells", f"WITH {MASK0} SELECT img_x, img_y::BIGINT AS img_y FROM mask")
-def edge_nozero(spark, sf):
-    return v.edge_mask(one(spark, sf), W, H, v.Edge())
-
-
 @query("edge_overlay", "sw_rects maps cells", f"WITH {OVER}, en AS (SELECT rect_id, x, y, code, lead(code) OVER (PARTITION BY rect_id, y ORDER BY x) AS e, lead(code) OVER (PARTITION BY rect_id, x ORDER BY y) AS n FROM ov) SELECT rect_id, x, y FROM en WHERE coalesce(e <> code, false) OR coalesce(n <> code, false)")
 def edge_overlay(spark, sf):
     return r.edges(atlas(spark, sf).rect_codes(sw_rects(spark, sf)), "rect_id")
 
 
-def _grown(width: int) -> str:
-    steps = f"generate_series({-((width - 1) // 2)}, {width // 2})"
-    return f"grown AS (SELECT DISTINCT img_x + dx AS img_x, img_y + dy AS img_y FROM (SELECT img_x, img_y, dx, unnest({steps}) AS dy FROM (SELECT img_x, img_y, unnest({steps}) AS dx FROM mask) a) b WHERE img_x + dx BETWEEN 0 AND {W - 1} AND img_y + dy BETWEEN 0 AND {H - 1})"
-
-
-for _w in (2, 3):
-
-    def _dilated(spark, sf, w=_w):
-        return v.edge_mask(one(spark, sf), W, H, v.Edge(width=w, include_zero=True))
-
-    query(f"edge_dilate_{_w}", "cells", f"WITH {MASK}, {_grown(_w)} SELECT img_x::BIGINT AS img_x, img_y::BIGINT AS img_y FROM grown")(_dilated)
-
-
-@query("edge_image", "cells", f"WITH {MASK} SELECT o.x AS img_x, ({H - 1} - o.y)::BIGINT AS img_y, 0::INTEGER AS r, 0::INTEGER AS g, 0::INTEGER AS b, (CASE WHEN m.img_x IS NULL THEN 0 ELSE 255 END)::INTEGER AS a FROM one o LEFT JOIN mask m ON m.img_x = o.x AND m.img_y = {H - 1} - o.y")
-def edge_image(spark, sf):
-    return v.edge_image(one(spark, sf), W, H, v.Edge(include_zero=True))
-
-
-@query("fill_color", "cells", f"WITH {ONE} SELECT x AS img_x, ({H - 1} - y)::BIGINT AS img_y, {FILL_COLS} FROM one")
-def fill_color(spark, sf):
-    return v.fill(one(spark, sf), H, v.Fill(COLORS, None, DEFAULT))
-
-
 def resolve(code, x, y):
     """A callback that makes columns of code, x and y stands between the palette and the default."""
     return F.when(code % 2 == 0, F.struct(((code + x) % 256).cast("int").alias("r"), y.cast("int").alias("g"), F.lit(7).alias("b"), F.lit(255).alias("a")))
 
 
-@query("fill_resolver", "cells", f"WITH {ONE} SELECT x AS img_x, ({H - 1} - y)::BIGINT AS img_y, (CASE WHEN code = 0 THEN 0 WHEN code % 2 = 0 THEN (code + x) % 256 ELSE 60 END)::INTEGER AS r, (CASE WHEN code = 0 THEN 0 WHEN code % 2 = 0 THEN y ELSE 160 END)::INTEGER AS g, (CASE WHEN code = 0 THEN 255 WHEN code % 2 = 0 THEN 7 ELSE 60 END)::INTEGER AS b, 255::INTEGER AS a FROM one")
-def fill_resolver(spark, sf):
-    return v.fill(one(spark, sf), H, v.Fill({0: (0, 0, 255, 255)}, resolve, DEFAULT))
-
-
-@query("image_compose", "cells", f"WITH {MASK}, {_grown(2)} SELECT o.x AS img_x, ({H - 1} - o.y)::BIGINT AS img_y, " + ", ".join(f"(CASE WHEN m.img_x IS NOT NULL THEN {e} ELSE {_fill_sql(k)} END)::INTEGER AS {c}" for k, (c, e) in enumerate(zip("rgba", (64, 64, 64, 255)))) + f" FROM one o LEFT JOIN grown m ON m.img_x = o.x AND m.img_y = {H - 1} - o.y")
-def image_compose(spark, sf):
-    return v.image(one(spark, sf), W, H, v.Fill(COLORS, None, DEFAULT), v.Edge((64, 64, 64, 255), v.CLEAR, 2, True))
-
-
-# The same of every map, by its own size.
 SIZED = ("map_ord", "width", "height")
 ALL = "one AS (SELECT map_ord, width, height, x, y, code FROM cells JOIN maps USING (map_ord))"
-EDGE_ALL = "en AS (SELECT *, lead(code) OVER (PARTITION BY map_ord, y ORDER BY x) AS e, lead(code) OVER (PARTITION BY map_ord, x ORDER BY y) AS n FROM one)"
+EDGE = "en AS (SELECT *, lead(code) OVER (PARTITION BY map_ord, y ORDER BY x) AS e, lead(code) OVER (PARTITION BY map_ord, x ORDER BY y) AS n FROM one)"
 MASK_OF = "mask AS (SELECT map_ord, width, height, x AS img_x, height - 1 - y AS img_y FROM en WHERE "
-MASK_ALL = f"{ALL}, {EDGE_ALL}, {MASK_OF}coalesce(e <> code, false) OR coalesce(n <> code, false))"
-MASK0_ALL = f"{ALL}, {EDGE_ALL}, {MASK_OF}coalesce(e <> code AND e <> 0 AND code <> 0, false) OR coalesce(n <> code AND n <> 0 AND code <> 0, false))"
+MASK = f"{ALL}, {EDGE}, {MASK_OF}coalesce(e <> code, false) OR coalesce(n <> code, false))"
+MASK0 = f"{ALL}, {EDGE}, {MASK_OF}coalesce(e <> code AND e <> 0 AND code <> 0, false) OR coalesce(n <> code AND n <> 0 AND code <> 0, false))"
 
 
 def every(spark, sf):
     return r.cells_of(d.runs(spark, sf), "map_ord").join(small(d.maps(spark, sf).select(*SIZED)), "map_ord")
 
 
-def _grown_all(width: int) -> str:
+def _grown(width: int) -> str:
     steps = f"generate_series({-((width - 1) // 2)}, {width // 2})"
     return f"grown AS (SELECT DISTINCT map_ord, img_x + dx AS img_x, img_y + dy AS img_y FROM (SELECT *, unnest({steps}) AS dy FROM (SELECT *, unnest({steps}) AS dx FROM mask) a) b WHERE img_x + dx BETWEEN 0 AND width - 1 AND img_y + dy BETWEEN 0 AND height - 1)"
 
@@ -110,41 +56,41 @@ def _masks(spark, sf, options):
     return v.edge_mask(every(spark, sf), F.col("width"), F.col("height"), options, *SIZED).drop("width", "height")
 
 
-@query("edge_mask_all", "maps cells", f"WITH {MASK_ALL} SELECT map_ord, img_x, img_y FROM mask")
-def edge_mask_all(spark, sf):
+@query("edge_mask", "maps cells", f"WITH {MASK} SELECT map_ord, img_x, img_y FROM mask")
+def edge_mask(spark, sf):
     return _masks(spark, sf, v.Edge(include_zero=True))
 
 
-@query("edge_nozero_all", "maps cells", f"WITH {MASK0_ALL} SELECT map_ord, img_x, img_y FROM mask")
-def edge_nozero_all(spark, sf):
+@query("edge_nozero", "maps cells", f"WITH {MASK0} SELECT map_ord, img_x, img_y FROM mask")
+def edge_nozero(spark, sf):
     return _masks(spark, sf, v.Edge())
 
 
 for _w in (2, 3):
 
-    def _dilated_all(spark, sf, w=_w):
+    def _dilated(spark, sf, w=_w):
         return _masks(spark, sf, v.Edge(width=w, include_zero=True))
 
-    query(f"edge_dilate_{_w}_all", "maps cells", f"WITH {MASK_ALL}, {_grown_all(_w)} SELECT map_ord, img_x, img_y FROM grown")(_dilated_all)
+    query(f"edge_dilate_{_w}", "maps cells", f"WITH {MASK}, {_grown(_w)} SELECT map_ord, img_x, img_y FROM grown")(_dilated)
 
 
-@query("edge_image_all", "maps cells", f"WITH {MASK_ALL} SELECT o.map_ord, o.x AS img_x, o.height - 1 - o.y AS img_y, 0::INTEGER AS r, 0::INTEGER AS g, 0::INTEGER AS b, (CASE WHEN m.img_x IS NULL THEN 0 ELSE 255 END)::INTEGER AS a FROM one o LEFT JOIN mask m ON m.map_ord = o.map_ord AND m.img_x = o.x AND m.img_y = o.height - 1 - o.y")
-def edge_image_all(spark, sf):
+@query("edge_image", "maps cells", f"WITH {MASK} SELECT o.map_ord, o.x AS img_x, o.height - 1 - o.y AS img_y, 0::INTEGER AS r, 0::INTEGER AS g, 0::INTEGER AS b, (CASE WHEN m.img_x IS NULL THEN 0 ELSE 255 END)::INTEGER AS a FROM one o LEFT JOIN mask m ON m.map_ord = o.map_ord AND m.img_x = o.x AND m.img_y = o.height - 1 - o.y")
+def edge_image(spark, sf):
     return v.edge_image(every(spark, sf), F.col("width"), F.col("height"), v.Edge(include_zero=True), *SIZED).drop("width", "height")
 
 
-@query("fill_color_all", "maps cells", f"WITH {ALL} SELECT map_ord, x AS img_x, height - 1 - y AS img_y, {FILL_COLS} FROM one")
-def fill_color_all(spark, sf):
+@query("fill_color", "maps cells", f"WITH {ALL} SELECT map_ord, x AS img_x, height - 1 - y AS img_y, {FILL_COLS} FROM one")
+def fill_color(spark, sf):
     return v.fill(every(spark, sf), F.col("height"), v.Fill(COLORS, None, DEFAULT), "map_ord")
 
 
-@query("fill_resolver_all", "maps cells", f"WITH {ALL} SELECT map_ord, x AS img_x, height - 1 - y AS img_y, (CASE WHEN code = 0 THEN 0 WHEN code % 2 = 0 THEN (code + x) % 256 ELSE 60 END)::INTEGER AS r, (CASE WHEN code = 0 THEN 0 WHEN code % 2 = 0 THEN y ELSE 160 END)::INTEGER AS g, (CASE WHEN code = 0 THEN 255 WHEN code % 2 = 0 THEN 7 ELSE 60 END)::INTEGER AS b, 255::INTEGER AS a FROM one")
-def fill_resolver_all(spark, sf):
+@query("fill_resolver", "maps cells", f"WITH {ALL} SELECT map_ord, x AS img_x, height - 1 - y AS img_y, (CASE WHEN code = 0 THEN 0 WHEN code % 2 = 0 THEN (code + x) % 256 ELSE 60 END)::INTEGER AS r, (CASE WHEN code = 0 THEN 0 WHEN code % 2 = 0 THEN y ELSE 160 END)::INTEGER AS g, (CASE WHEN code = 0 THEN 255 WHEN code % 2 = 0 THEN 7 ELSE 60 END)::INTEGER AS b, 255::INTEGER AS a FROM one")
+def fill_resolver(spark, sf):
     return v.fill(every(spark, sf), F.col("height"), v.Fill({0: (0, 0, 255, 255)}, resolve, DEFAULT), "map_ord")
 
 
-@query("image_compose_all", "maps cells", f"WITH {MASK_ALL}, {_grown_all(2)} SELECT o.map_ord, o.x AS img_x, o.height - 1 - o.y AS img_y, " + ", ".join(f"(CASE WHEN m.img_x IS NOT NULL THEN {e} ELSE {_fill_sql(k)} END)::INTEGER AS {c}" for k, (c, e) in enumerate(zip("rgba", (64, 64, 64, 255)))) + " FROM one o LEFT JOIN grown m ON m.map_ord = o.map_ord AND m.img_x = o.x AND m.img_y = o.height - 1 - o.y")
-def image_compose_all(spark, sf):
+@query("image_compose", "maps cells", f"WITH {MASK}, {_grown(2)} SELECT o.map_ord, o.x AS img_x, o.height - 1 - o.y AS img_y, " + ", ".join(f"(CASE WHEN m.img_x IS NOT NULL THEN {e} ELSE {_fill_sql(k)} END)::INTEGER AS {c}" for k, (c, e) in enumerate(zip("rgba", (64, 64, 64, 255)))) + " FROM one o LEFT JOIN grown m ON m.map_ord = o.map_ord AND m.img_x = o.x AND m.img_y = o.height - 1 - o.y")
+def image_compose(spark, sf):
     options = v.Fill(COLORS, None, DEFAULT), v.Edge((64, 64, 64, 255), v.CLEAR, 2, True)
     return v.image(every(spark, sf), F.col("width"), F.col("height"), *options, *SIZED).drop("width", "height")
 

@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import materialize
+
 
-def with_global_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
+def with_global_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -> DataFrame:
     """df with its 0-based place in the order. The order must be total.
 
-    Rows are sorted in ranges; a row's place is its range's base and its place in the range. Only the counts of the
-    ranges, one row each, meet in one task.
+    Rows are sorted in ranges, and written with their place in the range: the bounds of ranges are sampled, so the
+    counts must come from the very rows that are numbered and not from a second run of the sort. A row's place is its
+    range's base and its place there. Only the counts of the ranges, one row each, meet in one task.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    placed = placed.withColumn("__range", F.expr("shiftright(__id, 33)")).withColumn("__at", F.expr("__id & 8589934591L"))
+    placed = placed.withColumn("__range", F.expr("shiftright(__id, 33)")).withColumn("__at", F.expr("__id & 8589934591L")).drop("__id")
+    placed = materialize(placed, "ranks")
     counts = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     bases = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__base"))
-    return placed.join(F.broadcast(bases), "__range").withColumn(name, (F.col("__base") + F.col("__at")).cast("bigint")).drop("__id", "__range", "__at", "__base")
+    # one row a range
+    return placed.join(F.broadcast(bases), "__range").withColumn(name, (F.col("__base") + F.col("__at")).cast("bigint")).drop("__range", "__at", "__base")
+
+
+def within_groups(df: DataFrame, keys: list[str], order: Sequence[str | Column], name: str) -> DataFrame:
+    """df with each row's 0-based place in its group. keys and order together must be total.
+
+    Groups are consecutive in one global order, so a group of any size is spread over ranges.
+    """
+    numbered = with_global_index(df, [*keys, *order], "__global")
+    firsts = numbered.groupBy(*keys).agg(F.min("__global").alias("__first")).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return numbered.join(firsts, same).withColumn(name, F.col("__global") - F.col("__first")).drop("__global", "__first", *(f"__{k}" for k in keys))
 
 
 def running(df: DataFrame, seq: str, value: str, name: str, how: str = "sum", block: int = 100_000) -> DataFrame:

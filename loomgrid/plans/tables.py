@@ -1,13 +1,38 @@
-"""Cutting lineage through the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share: lineage is cut there, and a lost executor loses nothing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. One is set here only where all runs on this machine (tests); a cluster must name its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgrid-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path for one table of this application. Its folder goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/loomgrid/{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the checkpoint folder (spark.checkpoint.dir; set here only where none is)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/loomgrid-checkpoints")
-    return df.checkpoint()
+    return materialize(df, "cut")

@@ -44,7 +44,7 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def req_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     anchors = F.array(*[F.lit(a) for a in ("SOUTHWEST", "CENTER", "NORTHWEST", "NORTHEAST", "SOUTHEAST")])
-    return read(spark, sf_dir, "part").where(k < 50).select(k.alias("rect_id"), (12150 + (k * 37) % 700).alias("x"), (1960 + (k * 53) % 480).alias("y"), (F.col("p_size") % 17).cast("bigint").alias("w"), (F.col("p_size") % 13).cast("bigint").alias("h"), F.get(anchors, (k % 5).cast("int")).alias("anchor"))
+    return read(spark, sf_dir, "part").select(k.alias("rect_id"), (12150 + (k * 37) % 700).alias("x"), (1960 + (k * 53) % 480).alias("y"), (F.col("p_size") % 17).cast("bigint").alias("w"), (F.col("p_size") % 13).cast("bigint").alias("h"), F.get(anchors, (k % 5).cast("int")).alias("anchor"))
 
 
 def seq_vals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ SQL = {
     "pts": "SELECT event_id, (121950000 + (event_id*7919 + user_id*104729) % 7400000) / 1000000.0::DOUBLE AS lon, (19950000 + (event_id*1299709 + user_id*15485863) % 5200000) / 1000000.0::DOUBLE AS lat FROM events",
     "gpts": "SELECT event_id, round_even(lon*100, 0)::BIGINT AS x, round_even(lat*100, 0)::BIGINT AS y FROM pts",
     "paths": "SELECT row_number() OVER (ORDER BY l1, l2, l3, c_custkey) AS code, l1, l2, l3, l4 FROM (SELECT r_name AS l1, n_name AS l2, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END AS l3, c_name AS l4, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) a",
-    "req_rects": "SELECT p_partkey AS rect_id, (12150 + (p_partkey*37) % 700)::BIGINT AS x, (1960 + (p_partkey*53) % 480)::BIGINT AS y, (p_size % 17)::BIGINT AS w, (p_size % 13)::BIGINT AS h, CASE p_partkey % 5 WHEN 0 THEN 'SOUTHWEST' WHEN 1 THEN 'CENTER' WHEN 2 THEN 'NORTHWEST' WHEN 3 THEN 'NORTHEAST' ELSE 'SOUTHEAST' END AS anchor FROM part WHERE p_partkey < 50",
+    "req_rects": "SELECT p_partkey AS rect_id, (12150 + (p_partkey*37) % 700)::BIGINT AS x, (1960 + (p_partkey*53) % 480)::BIGINT AS y, (p_size % 17)::BIGINT AS w, (p_size % 13)::BIGINT AS h, CASE p_partkey % 5 WHEN 0 THEN 'SOUTHWEST' WHEN 1 THEN 'CENTER' WHEN 2 THEN 'NORTHWEST' WHEN 3 THEN 'NORTHEAST' ELSE 'SOUTHEAST' END AS anchor FROM part",
     "sw_rects": "SELECT rect_id, (x - CASE anchor WHEN 'CENTER' THEN w//2 WHEN 'NORTHEAST' THEN w WHEN 'SOUTHEAST' THEN w ELSE 0 END)::BIGINT AS x, (y - CASE anchor WHEN 'CENTER' THEN h//2 WHEN 'NORTHWEST' THEN h WHEN 'NORTHEAST' THEN h ELSE 0 END)::BIGINT AS y, w, h FROM req_rects",
     "seq_vals": "SELECT o_custkey AS seq_id, o_orderkey AS pos, o_orderstatus AS val FROM orders",
     "code_requests": "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq, (l_partkey % 160 - 5)::BIGINT AS code FROM lineitem",
