@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrid.plans.tables import materialize, new_path, shared_dir  # noqa: F401
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: The two characters beyond ASCII whose lower case holds an ASCII letter.
@@ -45,20 +46,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return found or "/tmp/loomgrid-shared"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loomgrid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that df reads, 0 if it has none; used only to size partitions."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -68,15 +55,33 @@ def input_bytes(df: DataFrame) -> int:
 def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Partitions such that each gets about bytes_each of df's input, and no fewer than the session's own count."""
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(conf, -(-input_bytes(df) // bytes_each)), 200_000)
+    return max(conf, -(-input_bytes(df) // bytes_each))
 
 
-def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """df if it has `most` rows or fewer, else about that many, by a hash of key alone. It is counted by key only."""
-    n = df.select(key).count()
-    if n <= most:
-        return df
-    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(most / n * (1 << 40)))
+def bounded_rows(df: DataFrame, most: int, most_bytes: int = 1 << 40, text: str | None = None) -> list[Row]:
+    """Rows of df, chosen and ordered by a hash of all their columns: at most `most`, of at most most_bytes in column text.
+
+    Equal rows count once. What is too long for the bytes that are left is passed over. Only hashes and sizes of about
+    `most` rows come to the driver before the rows themselves do.
+    """
+    spark = df.sparkSession
+    n = df.count()
+    if not n:
+        return []
+    hashed = df.withColumn("__h", F.xxhash64(*df.columns))
+    if n > most:
+        hashed = hashed.where(F.pmod("__h", F.lit(1 << 40)) < int(most / n * (1 << 40)))
+    size = F.octet_length(text) if text else F.lit(0)
+    left, picked = most_bytes, []
+    for r in hashed.groupBy("__h").agg(F.max(size).alias("n")).orderBy("__h").limit(most).collect():
+        if (r["n"] or 0) <= left:
+            picked.append((r["__h"],))
+            left -= r["n"] or 0
+    if not picked:
+        return []
+    # at most `most` numbers
+    chosen = hashed.join(F.broadcast(spark.createDataFrame(picked, "__h long")), "__h", "left_semi").dropDuplicates(["__h"])
+    return sorted(chosen.collect(), key=lambda r: r["__h"])
 
 
 def let(value: Column, body) -> Column:

@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 
-def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """links: (a, b) of any orderable type. (node, root) of every linked node; root is one node for each component.
+def components(links: DataFrame) -> DataFrame:
+    """links: (a, b) of any orderable type. (node, root) of every linked node; root is the least node of the component.
 
     Each round gives a node the least of itself and its neighbours and maps links to those; links inside one node go.
-    Least-of aggregates combine on the map side, so a node with very many links is no task of its own.
+    Rounds take turns at what is least: a node's own order settles stars at once, a hash that is new each time settles a
+    part of any chain. Every round takes away nodes, so the loop ends. Least-of aggregates combine on the map side, so a
+    node with very many links is no task of its own.
     """
     edges = materialize(links.select("a", "b").where(F.col("a") != F.col("b")).distinct(), "edges")
-    labels = None
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
+    labels, turn = None, 0
+    while not edges.isEmpty():
+
+        def key(node: str, turn: int = turn) -> Column:
+            return F.struct((F.xxhash64(node, F.lit(turn)) if turn % 2 else F.lit(0).cast("long")).alias("h"), F.col(node).alias("n"))
+
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")), "least")
+        least = materialize(both.groupBy("a").agg(F.min(key("b")).alias("b")).select(F.col("a").alias("node"), F.least(key("a"), "b")["n"].alias("up")), "least")
         if labels is None:
             labels = least.select("node", F.col("up").alias("root"))
         else:
             labels = materialize(labels.join(least.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "labels")
         moved = edges.join(least.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(least.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
         edges = materialize(moved.where(F.col("ua") != F.col("ub")).select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
-    else:
-        raise RuntimeError("components did not settle")
-    return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+        turn += 1
+    if labels is None:
+        return links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    if turn < 2:
+        return labels
+    names = labels.groupBy("root").agg(F.min("node").alias("least"))
+    return labels.join(names, "root").select("node", F.col("least").alias("root"))

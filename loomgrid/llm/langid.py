@@ -4,16 +4,19 @@ Each language has a codeword; each bit of it is predicted by a linear classifier
 Decoding sums each bit's logistic loss, weighted by how well that bit was learned for that language, and takes the
 codeword of the least loss. Where the runner-up is nearly as near, the text is marked ambiguous.
 
-Learned on the driver in numpy from at most max_labelled labelled rows, chosen by a hash of doc_id; every text is scored
-in Arrow batches, in slices of bounded size.
+Learned on the driver in numpy from at most max_labelled labelled rows of at most max_bytes of text, chosen by a hash of
+the row; every text is scored in Arrow batches, in slices of bounded size.
 
 Defined results: a null text or one without a letter is 'und' with score 0; labels that are null don't teach; repeated
-rows each get a row; null doc_id stays null and counts as the empty string in the fold; other columns are dropped; if
-nothing can be learned, every text is 'und'.
+rows each get a row and teach once; null doc_id stays null and counts as the empty string in the fold; other columns are
+dropped, also those named like a result; if nothing can be learned, every text is 'und'. A very long text is one slice of
+its own, scored whole, in memory of some times its size. Of equally near codewords the language first in the alphabet is
+taken; its gap is 0, so the text is ambiguous.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, gathered, hash_sample, text_bytes, tidy
+from .common import bounded_rows, fold, gathered, text_bytes, tidy
 
 DIMS = 4096
 UNDEFINED = "und"
@@ -91,12 +94,17 @@ class LanguageModel:
         return loss.argmin(1), p.max(1), order[:, -1] - (order[:, -2] if p.shape[1] > 1 else 0)
 
 
-def train(x: np.ndarray, labels: list[str], *, bits: int = 15, steps: int = 150, rate: float = 8.0, l2: float = 1e-5) -> LanguageModel | None:
+def code_bits(classes: int) -> int:
+    """Bits of a codeword: they grow with the logarithm of the classes, so that codewords stay about a quarter of them apart."""
+    return max(15, math.ceil(10 * math.log2(classes)))
+
+
+def train(x: np.ndarray, labels: list[str], *, bits: int | None = None, steps: int = 150, rate: float = 8.0, l2: float = 1e-5) -> LanguageModel | None:
     langs = tuple(sorted(set(labels)))
     if not langs:
         return None
     y = np.array([langs.index(v) for v in labels])
-    codes = codewords(len(langs), bits)
+    codes = codewords(len(langs), bits or code_bits(len(langs)))
     target = codes[y].astype(np.float32)
     share = np.bincount(y, minlength=len(langs))
     sample = (1 / share[y]).astype(np.float32)[:, None]
@@ -115,11 +123,10 @@ def train(x: np.ndarray, labels: list[str], *, bits: int = 15, steps: int = 150,
     return LanguageModel(langs, codes, w, b, trust / trust.sum(1, keepdims=True))
 
 
-def labelled_texts(docs: DataFrame, max_labelled: int) -> tuple[list[str], list[str]]:
-    """At most max_labelled labelled texts outside the held-out fold, chosen by a hash of doc_id; no task sends more than its share."""
-    teach = hash_sample(docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2)), "doc_id", max_labelled)
-    rows = teach.where(F.col("text").isNotNull()).select("doc_id", "text", "lang").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))[:max_labelled]
+def labelled_texts(docs: DataFrame, max_labelled: int, max_bytes: int) -> tuple[list[str], list[str]]:
+    """Labelled texts outside the held-out fold, at most max_labelled and max_bytes of them, chosen by a hash of the row."""
+    teach = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2)).select("doc_id", "text", "lang")
+    rows = bounded_rows(teach, max_labelled, max_bytes, "text")
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
@@ -133,10 +140,10 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return out
 
 
-def language_id(docs: DataFrame, *, max_labelled: int = 3000, ambiguous_gap: float = 0.2, carry: Sequence[str] = ()) -> DataFrame:
+def language_id(docs: DataFrame, *, max_labelled: int = 3000, max_bytes: int = 64 << 20, ambiguous_gap: float = 0.2, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous, and columns of docs named in carry."""
     spark = docs.sparkSession
-    texts, labels = labelled_texts(docs.select("doc_id", "text", "lang"), max_labelled)
+    texts, labels = labelled_texts(docs, max_labelled, max_bytes)
     model = train(np.concatenate([ngram_features(pa.array(texts[i : i + 500], pa.string())) for i in range(0, len(texts), 500)]), labels) if texts else None
     sent = spark.sparkContext.broadcast(model)  # DIMS x bits floats, at any input size
 

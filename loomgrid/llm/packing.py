@@ -3,12 +3,13 @@
 Tokens never move: a piece's length decides its place. Lengths form a histogram of at most `capacity` counts, which is
 packed on the driver in runs of equal bins: pieces above a third of the capacity are matched greedily, at most two in a
 bin, the largest with the largest that still fits; smaller ones, longest first, go where the least gap remains. Runs of
-equal bins stay together, so the plan has a bounded number of rows at any input size. A piece then finds its bin by its
+equal bins stay together, so the plan's rows follow the capacity and not the input. A piece then finds its bin by its
 length and its rank among pieces of that length. Ranks are counted in hash buckets of each length, so a length that
 holds most pieces is not one task.
 
 Defined results: null or empty text is one piece of the end id; a repeated row has its own pieces; null doc_id stays
-null; other columns are dropped; an empty table gives an empty result.
+null; other columns are dropped, also those named like a result; an empty table gives an empty result. Of pieces of one
+length any may lie in any of that length's places. A very long text is encoded whole, in one task.
 """
 
 from __future__ import annotations
@@ -27,15 +28,17 @@ from .common import gathered, materialize, tidy
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: A plan of more rows than this is joined by shuffle; below, it is some MB.
+#: A plan of more rows than this (40 bytes each) is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Ranks of a length that such a join puts together: 2 to this.
+RANK_BITS = 16
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> DataFrame:
     """Each document's ids and the end id, cut into pieces of at most capacity; the ids' checksum stands for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, False)
+        enc = encoder(tokenizer)
         for part in gathered(batches):
             ids, offs = enc.encode(part["text"].combine_chunks())
             rows: list[tuple[int, int, int, int]] = []
@@ -135,22 +138,28 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """pieces with sequence_id and offset. pieces must read from a table (it is read twice)."""
+def pack(pieces: DataFrame, capacity: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """pieces with sequence_id and offset. pieces must read from a table (it is read twice) and have a unique key."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     rows = plan(counts, capacity)
     slots = spark.createDataFrame(rows or [(0, 0, 0, 0, 0)], "slot_length long, first_rank long, n long, first_sequence long, offset long")
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), sum(counts.values()) // 1_000_000)
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
     before = keyed.groupBy("length", "bucket").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    own = keyed.withColumn("own", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    own = keyed.withColumn("own", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("key")) - 1)
     ranked = own.join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("own"))
-    side = F.broadcast(slots) if len(rows) <= BROADCAST_ROWS else slots
-    placed = ranked.join(side, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n")))
+    same = (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n"))
+    if len(rows) <= broadcast_rows:
+        placed = ranked.join(F.broadcast(slots), same)
+    else:  # by length and block of ranks, so that no length is one task
+        block = 1 << RANK_BITS
+        slots = slots.withColumn("slot_block", F.explode(F.sequence(F.floor(F.col("first_rank") / block), F.floor((F.col("first_rank") + F.col("n") - 1) / block)))) if rows else slots.withColumn("slot_block", F.lit(0).cast("long"))
+        placed = ranked.join(slots, same & (F.floor(F.col("rank") / block) == F.col("slot_block")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(materialize(token_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    pieces = token_pieces(docs, tokenizer, capacity, end_id).withColumn("key", F.monotonically_increasing_id())
+    return pack(materialize(pieces, "pieces"), capacity)

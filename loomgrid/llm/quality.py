@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, let
+from .common import bounded_rows, let
 
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
@@ -192,14 +192,15 @@ def verdict(rules: list[Rule], features: dict[str, Column]) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> list[tuple[bool, dict[str, float]]]:
-    """At most max_labelled labelled documents, chosen by a hash of doc_id; only those texts are measured."""
+    """At most max_labelled labelled documents, chosen by hashes of ids and rows; only those texts are measured."""
     picked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = hash_sample(picked, "doc_id", max_labelled)
+    picked = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["quality"])) for r in bounded_rows(picked, max_labelled)], "doc_id long, quality int")
+    # at most max_labelled ids
     joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("s", text_stats(F.col("text"))).select("doc_id", "quality", "s.*")
     features = feature_columns()
-    got = joined.select("doc_id", "quality", *[c.alias(k) for k, c in features.items()]).collect()
+    got = bounded_rows(joined.select("doc_id", "quality", *[c.alias(k) for k, c in features.items()]), max_labelled)
     got.sort(key=lambda r: (r["doc_id"], tuple(r[k] for k in features)))
-    return [(r["quality"] == 0, {k: r[k] for k in features}) for r in got[:max_labelled]]
+    return [(r["quality"] == 0, {k: r[k] for k in features}) for r in got]
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:

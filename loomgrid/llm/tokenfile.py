@@ -5,12 +5,12 @@ and pages small, with page indexes, so a reader takes the numbers without the id
 The ids before a document are its file's base and its local start; bases are sums of one number a file.
 
 Defined results: null or empty text is the end id alone; a null doc_id sorts first; a repeated doc_id has a row each
-time, one after the other; other columns are dropped; an empty table writes no rows.
+time, one after the other in the table's order; other columns are dropped, also those named like a result; an empty table
+writes no rows. A very long text is one row of one file.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import gathered, partitions_for, shared_dir, tidy
+from .common import gathered, new_path, partitions_for, tidy
 from .tokens import encoder
 
 FILE = "doc_id long, shard int, local_start long, n_tokens long, ids array<int>"
@@ -29,7 +29,7 @@ FILE = "doc_id long, shard int, local_start long, n_tokens long, ids array<int>"
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, bytes_each: int = 32 << 20, row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10, page_rows: int = 500) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, before = encoder(tokenizer, True), TaskContext.get().partitionId(), 0
+        enc, shard, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for part in gathered(batches, most=4 << 20):
             ids, offs = enc.encode(part["text"].combine_chunks())
             n = np.diff(offs) + 1
@@ -40,7 +40,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(all_ids))
             yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks().cast(pa.int64()), pa.array(np.full(len(n), shard, np.int32)), pa.array(starts), pa.array(n), lists], ["doc_id", "shard", "local_start", "n_tokens", "ids"])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions_for(docs, bytes_each), "doc_id").sortWithinPartitions("doc_id")
+    # rows of one id keep the table's order, and many of them are cut into ranges as well
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange(partitions_for(docs, bytes_each), "doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
     out = ordered.mapInArrow(tidy(run), FILE).write.option("compression", "zstd").option("parquet.enable.dictionary", "true").option("parquet.block.size", row_group_bytes)
     out.option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", page_rows).option("parquet.dictionary.page.size", 4 << 20).parquet(path)
 
@@ -71,6 +73,6 @@ def token_digests(tokens: DataFrame) -> DataFrame:
 def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, **options) -> DataFrame:
     """Writes token files and reads them back as token_digests."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark).rstrip('/')}/loomgrid/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
+    path = path or new_path(spark, "tokens")
     write_token_files(docs, path, tokenizer, **options)
     return token_digests(read_token_files(spark, path))

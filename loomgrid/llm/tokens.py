@@ -2,17 +2,22 @@
 
 A text is cut where neither tokenizer's pre-token can reach across: before a run of white space, after one that the next
 pre-token cannot take in, and between a letter and ASCII punctuation. Pieces then encode alone exactly as in the text,
-so a batch encodes its distinct pieces and gathers their ids. A text with white space beyond ASCII is not cut at all.
-Strings of special tokens in a text are ordinary text.
+so a batch encodes its distinct pieces and gathers their ids. A text with white space beyond ASCII, or with the string of
+a special token, is not cut at all: the library's own call on the whole text gives its ids.
+
+Where to cut follows from the tokenizer file's normalizer and pre-tokenizer. A file with others than the two forms known
+here is encoded by the library alone, text by text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import text_bytes
 
@@ -48,17 +53,42 @@ def odd_space(raw: np.ndarray) -> np.ndarray:
     return at[two | ogham | punct | wide]
 
 
+#: What a file must say for its texts to be cut: forms of public tokenizers.
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_WORDS = [{"type": "Split", "pattern": {"Regex": _WORD_SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+_WORD_FORM = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def _has(given: dict | None, wanted: dict) -> bool:
+    return given is not None and all(given.get(k) == v for k, v in wanted.items())
+
+
+def keeps_space(form: dict) -> bool | None:
+    """Whether white space is part of a file's ids (byte-level) or dropped (word-level); None for a file of another form."""
+    before, split = form.get("normalizer"), form.get("pre_tokenizer")
+    if form.get("model", {}).get("type") != "BPE" or any(t.get("lstrip") or t.get("rstrip") or t.get("normalized") or t.get("single_word") or t["content"].isalpha() for t in form.get("added_tokens", [])):
+        return None
+    if before is None and _has(split, _BYTES):
+        return True
+    steps = (split or {}).get("pretokenizers", [])
+    if before == {"type": "Sequence", "normalizers": _WORD_FORM} and len(steps) == 2 and all(map(_has, steps, _WORDS)):
+        return False
+    return None
+
+
 class PieceEncoder:
-    """keeps_space: whether white space is part of the ids (byte-level) or dropped (word-level)."""
+    """Ids of a tokenizer file as the library gives them for whole texts with its default settings."""
 
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model = self.tok.model
-        self.keeps_space = keeps_space
+        form = json.loads(self.tok.to_str())
+        self.specials = [t["content"] for t in form.get("added_tokens", [])]
+        self.keeps_space = keeps_space(form)
         self.symbols = str.maketrans({chr(b): c for b, c in byte_symbols().items()})
         self.blank = chr(32).translate(self.symbols)
         self.young: dict[bytes, bytes] = {}
@@ -130,6 +160,9 @@ class PieceEncoder:
         n = len(offs) - 1
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
+        if self.keeps_space is None:
+            found = self.tok.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)
+            return np.array([i for e in found for i in e.ids], np.uint32), np.concatenate([[0], np.cumsum([len(e.ids) for e in found])]).astype(np.int64)
         space, prev = _SPACE[raw], np.empty(len(raw), np.uint8)
         prev[0], prev[1:] = 0, raw[:-1]
         was_space = _SPACE[prev]
@@ -144,10 +177,11 @@ class PieceEncoder:
         two = np.zeros(len(raw), bool)
         two[2:] = (raw[:-2] == 0xC3) & (prev[2:] != 0x97) & (prev[2:] != 0xB7)
         start |= _PUNCT[raw] & (letter | two)
-        odd = odd_space(raw)
-        if len(odd):
-            for r in np.unique(np.searchsorted(offs, odd, "right") - 1):
-                start[offs[r] : offs[r + 1]] = False
+        odd = np.searchsorted(offs, odd_space(raw), "right") - 1
+        for s in self.specials:
+            odd = np.append(odd, np.flatnonzero(pc.fill_null(pc.match_substring(column, s), False).to_numpy(zero_copy_only=False)))
+        for r in np.unique(odd):
+            start[offs[r] : offs[r + 1]] = False
         first = offs[:-1][np.diff(offs) > 0]
         start[first] = True
         at = np.flatnonzero(start)
@@ -170,11 +204,11 @@ class PieceEncoder:
         return flat[gather], total[row_piece]
 
 
-_made: dict[tuple[str, bool], PieceEncoder] = {}
+_made: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str, keeps_space: bool) -> PieceEncoder:
+def encoder(path: str) -> PieceEncoder:
     """One encoder for each Python worker, kept between batches."""
-    if (path, keeps_space) not in _made:
-        _made[path, keeps_space] = PieceEncoder(path, keeps_space)
-    return _made[path, keeps_space]
+    if path not in _made:
+        _made[path] = PieceEncoder(path)
+    return _made[path]

@@ -6,7 +6,9 @@ frequent n-gram weighing less, and a softmax over two classes reads that mean. V
 
 As the softmax is linear, an n-gram's share of a text's score is one number, so a batch scores its distinct words once.
 
-Learned on the driver from at most max_labelled labelled rows, chosen by a hash of doc_id; every text is scored whole.
+Learned on the driver from at most max_labelled labelled rows of at most max_bytes of text, chosen by hashes; every text
+is scored whole. The score is calibrated on texts that a part of the training left out, so that the least-cost line
+between the two kinds of labelled texts lies at the threshold.
 
 Defined results: null, empty or wordless texts get the score of the bias alone; repeated rows each get a row; null
 doc_id stays null; other columns are dropped; without labels of both kinds every score is the share of toxic labels (0
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, gathered, hash_sample, text_bytes, tidy
+from .common import bounded_rows, fold, gathered, text_bytes, tidy
 
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5)
@@ -166,19 +168,20 @@ def train(texts: list[str], toxic: np.ndarray, *, dims: int = 8, epochs: int = 1
     return ToxicityModel((vec @ line) * weight, weight, float(bias[1] - bias[0]))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[list[str], np.ndarray]:
-    """At most max_labelled labelled texts outside the held-out fold, chosen by a hash of doc_id."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, max_labelled: int, max_bytes: int) -> tuple[list[str], np.ndarray]:
+    """Labelled texts outside the held-out fold, at most max_labelled and max_bytes of them, chosen by hashes of ids and rows."""
     teach = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = hash_sample(teach, "doc_id", max_labelled)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))[:max_labelled]
+    picked = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in bounded_rows(teach, max_labelled)], "doc_id long, toxic int")
+    # at most max_labelled ids
+    known = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    rows = bounded_rows(known, max_labelled, max_bytes, "text")
     return [r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 3000, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 3000, max_bytes: int = 64 << 20, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
-    texts, toxic = labelled_texts(docs, labels, max_labelled)
+    texts, toxic = labelled_texts(docs, labels, max_labelled, max_bytes)
     sent = spark.sparkContext.broadcast(train(texts, toxic))  # two numbers a bucket, at any input size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -7,20 +8,39 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from loomgrid.llm.packing import best_fit_packing, plan
+from loomgrid.llm.packing import best_fit_packing, pack, plan
 from loomgrid.llm.tokenfile import read_token_files, token_files
-from loomgrid.llm.tokens import PieceEncoder
+from loomgrid.llm.tokens import PieceEncoder, keeps_space
 
-ODD = ["", None, "  a  b ", "it's ok, I'll  go\n\nnow \n x", "été, É×y …, áb", "<|endoftext|> x <|startoftext|>", "a\tb\t c\x1cd", "12 345a6'd 's 'S", "\n", "é ́x ΣΣ İx", "x　y z", "don't.\"quoted\"(x)[y]", "ªºµ ½2 ×÷,"]
+NAMES = {"word_bpe_49k.json": False, "byte_bpe_50k.json": True}
+ODD = ["", None, "  a  b ", "it's ok, I'll  go\n\nnow \n x", "été, É×y …, áb", "<|endoftext|> x <|startoftext|>", "a<|endoftext|>b it's, x<|end", "a\tb\t c\x1cd", "12 345a6'd 's 'S", "\n", "é ́x ΣΣ İx", "x　y z", "don't.\"quoted\"(x)[y]", "ªºµ ½2 ×÷,"]
 
 
-@pytest.mark.parametrize("name, keeps", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
-def test_pieces_encode_as_in_the_text(name, keeps):
+def test_forms():
+    """Only files of the two known forms are cut; a changed one goes through the library whole."""
+    for name, keeps in NAMES.items():
+        form = json.loads(Tokenizer.from_file(P.path(name)).to_str())
+        assert keeps_space(form) is keeps
+        assert keeps_space(form | {"pre_tokenizer": {"type": "Whitespace"}}) is None and keeps_space(form | {"normalizer": {"type": "NFKC"}}) is None
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_other_form(name, tmp_path):
+    form = json.loads(open(P.path(name)).read()) | {"pre_tokenizer": {"type": "Whitespace"}}
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(form))
+    ids, offs = PieceEncoder(str(path)).encode(pa.array(ODD))
+    for i, t in enumerate(ODD):
+        assert ids[offs[i] : offs[i + 1]].tolist() == Tokenizer.from_file(str(path)).encode(t or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_pieces_encode_as_in_the_text(name):
     rng = random.Random(1)
-    texts = ODD + ["".join(rng.choice("ab'sSt .,\n\té×… 12 <|é") for _ in range(30)) for _ in range(1500)]
-    enc = PieceEncoder(P.path(name), keeps)
+    texts = ODD + ["".join(rng.choice([*"ab'sSt .,\n\té×… 12 <|é", "<|endoftext|>"] if k % 5 == 0 else "ab'sSt .,\n\té×… 12 <|é") for _ in range(30)) for k in range(1500)]
+    enc = PieceEncoder(P.path(name))
     ids, offs = enc.encode(pa.array(texts))
-    for i, e in enumerate(enc.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)):
+    for i, e in enumerate(Tokenizer.from_file(P.path(name)).encode_batch([t or "" for t in texts], add_special_tokens=False)):
         assert ids[offs[i] : offs[i + 1]].tolist() == e.ids, texts[i]
 
 
@@ -77,7 +97,6 @@ def frame(spark):
 
 def ids_of(name, text):
     tok = Tokenizer.from_file(P.path(name))
-    tok.encode_special_tokens = True
     return np.array([*tok.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -119,3 +138,24 @@ def test_token_files(spark, tmp_path):
     one = read_token_files(spark, path).where("doc_id = 200").first()
     assert one.ids == ids_of("byte_bpe_50k.json", "very long, " * 3000).tolist()
     assert token_files(docs.limit(0), P.path("byte_bpe_50k.json")).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 10**6])
+def test_pack_by_either_join(spark, broadcast_rows, monkeypatch):
+    """Many pieces of one null id and one length; each lies once in a place of its own."""
+    monkeypatch.setattr("loomgrid.llm.packing.RANK_BITS", 6)
+    pieces = spark.range(5000).selectExpr("CAST(NULL AS LONG) AS doc_id", "0 AS piece", "0L AS start", "CASE WHEN id % 3 = 0 THEN 7L + id % 40 ELSE 64L END AS length", "1L AS ids_crc32", "id AS key")
+    got = pack(pieces, 64, broadcast_rows).collect()
+    assert len(got) == 5000
+    taken = {(r.sequence_id, k) for r in got for k in range(r.offset, r.offset + r.length)}
+    assert len(taken) == sum(r.length for r in got) and max(k for _, k in taken) < 64
+
+
+def test_token_files_of_one_id(spark, tmp_path):
+    """Rows of one id are spread over files and stay whole."""
+    docs = spark.range(2000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('text ', id) AS text")
+    path = str(tmp_path / "one")
+    got = token_files(docs, P.path("byte_bpe_50k.json"), path).orderBy("start").collect()
+    assert len(got) == 2000 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    assert read_token_files(spark, path).select("start").distinct().count() == 2000
+    assert spark.read.parquet(path).select("shard").distinct().count() > 1
