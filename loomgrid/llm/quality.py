@@ -5,8 +5,10 @@ from a bounded sample of labelled rows: rules are grown one threshold at a time
 the last third, and kept while they are precise enough.
 
 Defined results: a null or blank text has no words and every statistic 0, so it fails the base rule; repeated rows each
-get their own row; null doc_id stays null; other columns of the input are dropped; without labels of both kinds the
-list is empty and only the base rule decides.
+get their own row; null doc_id stays null; other columns of the input are dropped, also those named like a result; without
+labels of both kinds the list is empty and only the base rule decides. A very long text costs n log n in one task. A
+document of several labels counts as bad if one says so; of equal gains the condition that comes first by feature name
+and threshold is taken.
 """
 
 from __future__ import annotations
@@ -22,15 +24,16 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 
 
-def repeated_trigram_words(words: Column) -> Column:
+def repeated_trigram_words(words: Column, least_bits: int = 0) -> Column:
     """Words of an array that lie in a window of three found twice or more.
 
-    Windows are hashed, and (hash prefix, position) packed into one long is sorted, so equal windows become neighbours:
-    n log n for any text. Where a prefix meets two different hashes, the full hashes are compared instead.
+    Windows are hashed, and (hash prefix, position) packed into one long is sorted, so equal windows become neighbours.
+    Where a prefix meets two different hashes, as in texts of millions of words, whole (hash, position) pairs are sorted
+    instead, which costs more for each: n log n for any text.
     """
 
     def over_hashes(tri: Column) -> Column:
-        bits = F.ceil(F.log2(F.size(tri) + F.lit(1.0))).cast("int")
+        bits = F.greatest(F.ceil(F.log2(F.size(tri) + F.lit(1.0))).cast("int"), F.lit(least_bits))
         # the shift's operand order is (value, places)
         return let(F.struct(tri.alias("tri"), F.expr("1").alias("one"), bits.alias("bits")), with_bits)
 
@@ -49,7 +52,12 @@ def repeated_trigram_words(words: Column) -> Column:
         near = F.filter(packed, lambda x, j: same(x, F.get(packed, j - 1)) | same(x, F.get(packed, j + 1)))
         found = F.sort_array(F.transform(near, lambda x: x.bitwiseAND(F.bitwise_not(m)).cast("int")))
         clash = F.exists(F.transform(packed, lambda x, j: F.coalesce((x.bitwiseAND(m) == F.get(packed, j + 1).bitwiseAND(m)) & (at(x) != at(F.get(packed, j + 1))), F.lit(False))), lambda b: b)
-        slow = F.filter(F.transform(tri, lambda h, i: F.when(F.size(F.filter(tri, lambda g: g == h)) > 1, i)), lambda p: p.isNotNull())
+        pairs = F.sort_array(F.transform(tri, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+        def again(s: Column, x: Column, j: Column) -> Column:
+            return F.coalesce(x["h"] == F.get(s, j - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, j + 1)["h"], F.lit(False))
+
+        slow = let(pairs, lambda s: F.sort_array(F.transform(F.filter(s, lambda x, j: again(s, x, j)), lambda x: x["i"])))
         start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("total"))
         return F.aggregate(
             F.when(clash, slow).otherwise(found),

@@ -10,9 +10,10 @@ Learned on the driver from at most max_labelled labelled rows of at most max_byt
 is scored whole. The score is calibrated on texts that a part of the training left out, so that the least-cost line
 between the two kinds of labelled texts lies at the threshold.
 
-Defined results: null, empty or wordless texts get the score of the bias alone; repeated rows each get a row; null
-doc_id stays null; other columns are dropped; without labels of both kinds every score is the share of toxic labels (0
-if there are none).
+Defined results: null, empty or wordless texts get the score of the bias alone; repeated rows each get a row and teach
+once; null doc_id stays null; other columns are dropped, also those named like a result; without labels of both kinds every
+score is the share of toxic labels (0 if there are none). A very long text is one slice of its own, scored whole. A text
+of several labels is toxic if one says so; of equally good lines between the kinds the highest is taken.
 """
 
 from __future__ import annotations
@@ -88,6 +89,9 @@ class ToxicityModel:
     bias: float
 
     def score(self, column: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.log_odds(column), -40, 40)))
+
+    def log_odds(self, column: pa.Array) -> np.ndarray:
         found, rows = words(column)
         coded = found.dictionary_encode()
         bucket, word = subwords(coded.dictionary.to_pylist())
@@ -100,7 +104,7 @@ class ToxicityModel:
         a, b = rows[:-1], rows[1:]
         mean = (top[b] - top[a]) / np.maximum(below[b] - below[a], 1e-9)
         mean[a == b] = 0
-        return 1 / (1 + np.exp(-np.clip(mean + self.bias, -40, 40)))
+        return mean + self.bias
 
 
 def bags(texts: list[str], block: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,6 +172,32 @@ def train(texts: list[str], toxic: np.ndarray, *, dims: int = 8, epochs: int = 1
     return ToxicityModel((vec @ line) * weight, weight, float(bias[1] - bias[0]))
 
 
+def cut_line(score: np.ndarray, toxic: np.ndarray, clean_weight: float) -> float:
+    """The score (log odds) above which the share of toxic texts, less the weighted share of clean ones, is largest."""
+    order = np.argsort(-score, kind="stable")
+    s, t = score[order], toxic[order]
+    gain = np.cumsum(t) / t.sum() - clean_weight * np.cumsum(~t) / (~t).sum()
+    gain[:-1][s[:-1] == s[1:]] = -np.inf  # equal scores are on one side
+    k = int(np.argmax(gain))
+    return float((s[k] + s[min(k + 1, len(s) - 1)]) / 2)
+
+
+def calibrated(texts: list[str], toxic: np.ndarray, threshold: float, *, folds: int = 3, clean_weight: float = 5.0, least: int = 12) -> ToxicityModel:
+    """A model of all texts, its bias moved so that the line found on texts left out of training has score threshold.
+
+    With fewer than `least` texts of a kind the bias stays as it was trained.
+    """
+    model = train(texts, toxic)
+    if min(toxic.sum(), (~toxic).sum()) < least:
+        return model
+    fold_of, found = np.arange(len(texts)) % folds, np.zeros(len(texts))
+    for k in range(folds):
+        part = train([t for t, f in zip(texts, fold_of) if f != k], toxic[fold_of != k])
+        found[fold_of == k] = part.log_odds(pa.array([t for t, f in zip(texts, fold_of) if f == k], pa.string()))
+    move = float(np.log(threshold / (1 - threshold))) - cut_line(found, toxic, clean_weight)
+    return ToxicityModel(model.value, model.weight, model.bias + move)
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, max_labelled: int, max_bytes: int) -> tuple[list[str], np.ndarray]:
     """Labelled texts outside the held-out fold, at most max_labelled and max_bytes of them, chosen by hashes of ids and rows."""
     teach = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -175,14 +205,14 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, max_labelled: int, max_by
     # at most max_labelled ids
     known = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
     rows = bounded_rows(known, max_labelled, max_bytes, "text")
-    return [r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows])
+    return [r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], bool)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 3000, max_bytes: int = 64 << 20, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
     texts, toxic = labelled_texts(docs, labels, max_labelled, max_bytes)
-    sent = spark.sparkContext.broadcast(train(texts, toxic))  # two numbers a bucket, at any input size
+    sent = spark.sparkContext.broadcast(calibrated(texts, toxic, threshold))  # two numbers a bucket, at any input size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

@@ -3,9 +3,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from loomgrid.llm.common import table
-from loomgrid.llm.langid import codewords, language_id, ngram_features
-from loomgrid.llm.toxicity import subwords, toxicity, train, words
+from loomgrid.llm.common import bounded_rows, table
+from loomgrid.llm.langid import code_bits, codewords, language_id, ngram_features
+from loomgrid.llm.langid import train as train_languages
+from loomgrid.llm.toxicity import cut_line, subwords, toxicity, train, words
 
 SF = "/root/testdata/sf0.01"
 
@@ -22,6 +23,52 @@ def test_codewords_are_apart():
         assert not (np.abs(m.sum(0)) == k).any()
 
 
+def test_codewords_of_many_languages():
+    for k in (30, 100, 176):
+        m = codewords(k, code_bits(k)).astype(int)
+        assert min((m[i] != m[j]).sum() for i in range(k) for j in range(i)) >= m.shape[1] // 6
+
+
+def test_decoding_by_hand():
+    """Losses against a plain loop over bits and languages."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 4096)).astype(np.float32) / 64
+    m = train_languages(x, [f"l{i % 5}" for i in range(40)], steps=3)
+    f = x @ m.weights + m.bias
+    for i in range(40):
+        want = [sum(np.log1p(np.exp(-f[i, b] * m.codes[k, b])) * m.trust[k, b] for b in range(m.codes.shape[1])) for k in range(5)]
+        assert np.allclose(m.losses(x[i : i + 1])[0], want, rtol=1e-4)
+        assert m.predict(x[i : i + 1])[0][0] == int(np.argmin(want))
+
+
+def test_sample_is_bounded(spark):
+    """Rows of one null id, equal ones and very long ones: never more than is asked for."""
+    df = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "IF(id % 3 = 0, 'same', concat(id, repeat('x', 90))) AS text")
+    got = bounded_rows(df, 500, 20_000, "text")
+    assert 0 < len(got) <= 500 and sum(len(r.text) for r in got) <= 20_000 and sum(r.text == "same" for r in got) <= 1
+    assert got == bounded_rows(df.repartition(7), 500, 20_000, "text")
+    assert len(bounded_rows(df, 10_000)) == 2001 and bounded_rows(df.limit(0), 5) == []
+
+
+def test_cut_line():
+    s = np.array([3.0, 2, 1, 0, -1, -2])
+    assert cut_line(s, np.array([True, True, False, False, False, False]), 5.0) == 1.5
+    assert cut_line(np.zeros(6), np.array([True] * 3 + [False] * 3), 5.0) == 0.0
+
+
+def test_log_odds_by_hand():
+    """Against a plain loop over words and their n-grams."""
+    texts = ["you are horrible", "a kind word", "horrible horrible", "what a day"] * 5
+    m = train(texts, np.array([t.count("horrible") > 0 for t in texts]))
+    for t in ["horrible day", "kind", "", "x " * 50 + "horribl"]:
+        top = below = 0.0
+        for w in t.split():
+            b, _ = subwords([w.encode()])
+            top, below = top + m.value[b].sum(), below + m.weight[b].sum()
+        want = m.bias + (top / below if below else 0.0)
+        assert np.allclose(m.log_odds(pa.array([t])), want)
+
+
 def test_features_do_not_cross_rows():
     a = ngram_features(pa.array(["abc", None, "", "de", "x"]))
     assert np.allclose(a[0], ngram_features(pa.array(["abc"]))[0]) and np.allclose(a[3], ngram_features(pa.array(["DE"]))[0])
@@ -72,6 +119,7 @@ def test_toxicity(spark):
     assert len(got) == docs.count() and all(r.held_out == held(i) and r.predicted == (r.score >= 0.3) for i, r in got.items())
     test = [(got[r.doc_id].score, r.toxic) for r in labels.collect() if held(r.doc_id)]
     pos, neg = [s for s, t in test if t], [s for s, t in test if not t]
+    assert sum(s >= 0.3 for s in pos) >= 0.5 * len(pos) and sum(s < 0.3 for s in neg) >= 0.85 * len(neg)
     assert sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg)) > 0.75
 
 
