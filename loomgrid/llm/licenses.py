@@ -1,26 +1,29 @@
 """License scans by diagonal voting.
 
-Every rolling k-gram of words is hashed and joined to the positions of the templates' own k-grams. A match votes for the
-diagonal (position in the text minus position in the template). Votes on one diagonal are a run of the template's words;
-neighbouring diagonals are one span with words put in or left out. A span counts if it holds enough of its template's
-k-grams. The fixed base phrases are templates whose every k-gram must be on one diagonal.
+Every rolling k-gram of words is hashed and joined to the positions of the templates' own k-grams; a match counts if its
+words are the template's, too. It votes for the diagonal (position in the text minus position in the template). Votes on
+one diagonal are a run of the template's words; neighbouring diagonals are one span with words put in or left out. A span
+is verified by the share of its template's k-grams that it holds, each counted once. The fixed base phrases are templates
+whose every k-gram must be on one diagonal.
 
-The template side of the join is a constant of the plan. Each text sends one row and its matches to the aggregate, keyed
-by row, so no phrase gathers the corpus.
+The template side of the join is a constant of the plan. Each text sends one row and its matches to the aggregates, keyed
+by row, so no phrase gathers the corpus; windows and aggregates of a row's matches are sorted, never held in an array.
 
 Defined results: null or wordless text has 0 words, empty labels and score 0; a repeated row is scanned on its own; null
-doc_id stays null; other columns are dropped.
+doc_id stays null; other columns are dropped, also those named like a result. A very long text costs its words once and its
+matches n log n in one task. Spans of several templates may share words; each counts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import let, lower_ascii
+from .common import let, lower_ascii, partitions_for
 
 BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 K = 3
@@ -49,72 +52,61 @@ def gram_hash(a: Column, b: Column, c: Column) -> Column:
     return F.xxhash64(a, b, c)
 
 
-def template_grams(spark: SparkSession, phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str]]) -> tuple[DataFrame, dict[int, tuple[str, bool, int]]]:
-    """The templates' k-grams (h, tmpl, tpos) and by tmpl: label, whether it is a base phrase, number of k-grams."""
-    rows, info = [], {}
+def template_rows(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str]]) -> list[tuple[int, str, bool, int, list[str]]]:
+    """(number from 1, label, whether it is a base phrase, k-grams, words) of each template; base phrases come first."""
+    rows = []
     for n, (label, text, base) in enumerate([*((lb, t, True) for t, lb in phrases), *((lb, t, False) for lb, t in templates)], 1):
         w = words_of(text)
         if len(w) < K:
             raise ValueError(f"a template needs {K} words: {text!r}")
-        info[n] = (label, base, len(w) - K + 1)
-        rows += [(n, i, *w[i : i + K]) for i in range(len(w) - K + 1)]
-    df = spark.createDataFrame(rows, "tmpl int, tpos int, a string, b string, c string")
-    return df.select(gram_hash(F.col("a"), F.col("b"), F.col("c")).alias("h"), "tmpl", "tpos"), info
+        rows.append((n, label, base, len(w) - K + 1, w))
+    return rows
+
+
+def template_grams(spark: SparkSession, phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str]]) -> DataFrame:
+    """The templates' k-grams: h, t_gram, tmpl, label, base, need, tpos."""
+    rows = [(n, label, base, need, i, *w[i : i + K]) for n, label, base, need, w in template_rows(phrases, templates) for i in range(need)]
+    df = spark.createDataFrame(rows, "tmpl int, label string, base boolean, need int, tpos int, a string, b string, c string")
+    words = [F.col(c) for c in "abc"]
+    return df.select(gram_hash(*words).alias("h"), F.concat_ws(" ", *words).alias("t_gram"), "tmpl", "label", "base", "need", "tpos")
 
 
 def license_scan(docs: DataFrame, *, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, min_share: float = 0.7, max_shift: int = 3) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans (label, first, last, share)."""
-    spark = docs.sparkSession
-    grams, info = template_grams(spark, phrases, templates)
+    grams = template_grams(docs.sparkSession, phrases, templates)
     t = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(lower_ascii(t), BREAKS), "")
-    hashed = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.when(F.size(w) >= K, F.transform(F.slice(w, K, F.greatest(F.size(w), F.lit(K))), lambda c, i: gram_hash(F.get(w, i), F.get(w, i + 1), c))).otherwise(F.array().cast("array<bigint>")).alias("g")))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", hashed.alias("s")).select("row", "doc_id", F.col("s.n").alias("n_words"), F.col("s.g").alias("g"))
+
+    def rolling(w: Column) -> Column:
+        each = F.transform(F.slice(w, K, F.greatest(F.size(w), F.lit(K))), lambda c, i: F.struct(gram_hash(F.get(w, i), F.get(w, i + 1), c).alias("h"), F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), c).alias("gram")))
+        none = F.array().cast("array<struct<h:bigint,gram:string>>")
+        return F.struct(F.size(w).cast("long").alias("n"), F.when(F.size(w) >= K, each).otherwise(none).alias("g"))
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", let(words, rolling).alias("s")).select("row", "doc_id", F.col("s.n").alias("n_words"), F.col("s.g").alias("g"))
     # position -1 stands for the row itself, so that a text without a match is not lost
-    each = rows.select("row", "doc_id", "n_words", F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), F.col("g"))).alias("p", "h"))
-    voted = each.join(F.broadcast(grams), "h", "left").where((F.col("p") == 0) | F.col("tmpl").isNotNull())
-    votes = voted.select("row", "doc_id", "n_words", F.coalesce("tmpl", F.lit(0)).alias("tmpl"), (F.col("p") - 1 - F.coalesce("tpos", F.lit(0))).alias("diag"), (F.col("p") - 1).alias("at"), "tpos")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = votes.repartition(n, "row")  # both aggregates below use this partitioning
-    diagonals = dealt.groupBy("row", "doc_id", "n_words", "tmpl", "diag").agg(F.count("tpos").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"))
-    perdoc = diagonals.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sort_array(F.collect_list(F.when(F.col("tmpl") > 0, F.struct("tmpl", "diag", "votes", "first", "last")))).alias("d"))
-
-    need = {k: v[2] for k, v in info.items()}
-    of_base = [k for k, v in info.items() if v[1]]
-
-    def lookup(values: Mapping[int, object], key: Column) -> Column:
-        out = F.lit(None)
-        for k, v in values.items():
-            out = F.when(key == k, F.lit(v)).otherwise(out)
-        return out
-
-    # base: every k-gram of the phrase on one diagonal is one place, which starts at the diagonal
-    places = F.filter("d", lambda x: x["tmpl"].isin(of_base) & (x["votes"] == lookup(need, x["tmpl"])))
-
-    # the method: diagonals of one template within max_shift of the one before and near it are one span
-    def merge(acc: Column, x: Column) -> Column:
-        joins = (F.size(acc) > 0) & F.coalesce((F.get(acc, F.size(acc) - 1)["tmpl"] == x["tmpl"]) & (x["diag"] - F.get(acc, F.size(acc) - 1)["diag"] <= max_shift) & (x["first"] - F.get(acc, F.size(acc) - 1)["last"] <= K + max_shift), F.lit(False))
-        prev = F.get(acc, F.size(acc) - 1)
-        merged = F.struct(x["tmpl"].alias("tmpl"), x["diag"].alias("diag"), (prev["votes"] + x["votes"]).alias("votes"), F.least(prev["first"], x["first"]).alias("first"), F.greatest(prev["last"], x["last"]).alias("last"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(acc, F.array(x)))
-
-    kind = "array<struct<tmpl:int,diag:int,votes:bigint,first:int,last:int>>"
-    method = F.filter("d", lambda x: ~x["tmpl"].isin(of_base))
-    clusters = F.aggregate(method.cast(kind), F.array().cast(kind), merge)
-    spans = F.transform(clusters, lambda x: F.struct(lookup({k: v[0] for k, v in info.items()}, x["tmpl"]).alias("label"), x["first"].cast("long").alias("first"), (x["last"] + K - 1).cast("long").alias("last"), F.least(F.lit(1.0), x["votes"] / lookup(need, x["tmpl"])).alias("share")))
-    out = perdoc.select("doc_id", "n_words", places.alias("places"), spans.alias("all_spans"))
-    out = out.withColumn("spans", F.filter("all_spans", lambda x: x["share"] >= min_share))
-    base = F.array_sort(F.array_distinct(F.transform("places", lambda x: lookup({k: v[0] for k, v in info.items()}, x["tmpl"]))))
-    labels = F.array_sort(F.array_distinct(F.concat(base, F.transform("spans", lambda x: x["label"]))))
-    score = F.greatest(F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.lit(0.0)), F.coalesce(F.array_max(F.transform("all_spans", lambda x: x["share"])), F.lit(0.0)))
-    return out.select(
-        "doc_id",
-        "n_words",
-        F.size("places").cast("long").alias("n_base"),
-        F.array_min(F.transform("places", lambda x: x["diag"])).cast("long").alias("first_word"),
-        F.array_max(F.transform("places", lambda x: x["diag"])).cast("long").alias("last_word"),
-        F.array_join(base, ",").alias("base_labels"),
-        F.array_join(labels, ",").alias("labels"),
-        score.alias("score"),
-        "spans",
+    lead = F.array(F.lit(None).cast("struct<h:bigint,gram:string>"))
+    each = rows.select("row", "doc_id", "n_words", F.posexplode(F.concat(lead, F.col("g"))).alias("p", "x")).select("row", "doc_id", "n_words", (F.col("p") - 1).alias("at"), "x.h", "x.gram")
+    # some hundred rows of constants
+    voted = each.join(F.broadcast(grams), "h", "left").where((F.col("at") < 0) | (F.col("gram") == F.col("t_gram")))
+    votes = voted.select("row", "doc_id", "n_words", F.coalesce("tmpl", F.lit(0)).alias("tmpl"), "label", "base", "need", "tpos", "at", (F.col("at") - F.coalesce("tpos", F.lit(0))).alias("diag"))
+    # the window and both aggregates use this partitioning
+    dealt = votes.repartition(partitions_for(docs, 64 << 20), "row")
+    w = Window.partitionBy("row", "tmpl").orderBy("diag", "at")
+    near = (F.col("diag") - F.lag("diag").over(w) <= max_shift) & (F.col("at") - F.lag("at").over(w) <= K + max_shift)
+    new = F.when(F.col("diag") == F.lag("diag").over(w), 0).when(F.col("base"), 1).otherwise(F.when(near, 0).otherwise(1))
+    spans = dealt.withColumn("new", new).withColumn("span", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("row", "doc_id", "n_words", "tmpl", "label", "base", "need", "span").agg(F.count_distinct("tpos").alias("hits"), F.min("diag").cast("long").alias("diag"), F.min("at").cast("long").alias("first"), (F.max("at") + K - 1).cast("long").alias("last"))
+    share = F.when(F.col("tmpl") > 0, F.col("hits") / F.col("need"))
+    place, found = F.col("base") & (F.col("hits") == F.col("need")), ~F.col("base") & (share >= min_share)
+    out = spans.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("n_words").alias("n_words"),
+        F.count_if(place).alias("n_base"),
+        F.min(F.when(place, F.col("diag"))).alias("first_word"),
+        F.max(F.when(place, F.col("diag"))).alias("last_word"),
+        F.array_join(F.sort_array(F.collect_set(F.when(place, F.col("label")))), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.collect_set(F.when(place | found, F.col("label")))), ",").alias("labels"),
+        F.coalesce(F.max(F.when(place, 1.0).when(~F.col("base"), share)), F.lit(0.0)).alias("score"),
+        F.sort_array(F.collect_list(F.when(found, F.struct("label", "first", "last", share.alias("share"))))).alias("spans"),
     )
+    return out.drop("row")
