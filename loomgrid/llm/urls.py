@@ -3,10 +3,16 @@
 The universe is every host of the corpus and every parent domain of one. Level 1 holds the listed keys, level 2 the
 universe's keys that level 1 wrongly lets through, level 3 the listed keys that level 2 lets through, and so on until a
 level lets nothing through wrongly. Membership of any key of the universe is then exact: the first level that rejects a
-key decides by its parity. Filters are arrays of longs inside one projection; no join, no Python.
+key decides by its parity.
+
+A filter's words are one row of a table: Spark fills them by an aggregate over keys, and they reach the pages as a
+broadcast row, not through the driver or the plan. A list whose filters would outgrow ROW_BYTES is dealt by hash over several
+cascades, each of which is asked in turn. Pages are never shuffled and no key is joined.
 
 Defined results: a null url or one without '://' has empty host and path, fits no rule and no key, and is allowed;
-repeated rows each get a row; other columns are dropped; an empty list gives a cascade without levels.
+repeated rows each get a row; other columns are dropped, also those named like a result; an empty list lists nothing; null
+and empty keys of a list are passed over. A very long url is one string of one row. Of equally long rules that of the
+longer host is taken, then a block.
 """
 
 from __future__ import annotations
@@ -21,10 +27,12 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, ASCII_UPPER, materialize
 
 #: Domains that are listed as unwanted. A listed key covers its subdomains.
-LISTED = tuple(f"{name}.example.{top}" for name in ("ads-track", "casino-win", "spam-farm") for top in ("com", "net", "org"))
+LISTED = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: A cascade's filters are literals of the plan; a longer list is refused rather than sent in one.
-MAX_LISTED = 100_000
+#: The words of one cascade's filters are one broadcast row of at most about this size.
+ROW_BYTES = 32 << 20
+#: Words are put together in pieces of this many.
+PIECE = 4096
 
 
 def url_parts(url: Column) -> Column:
@@ -47,7 +55,6 @@ def suffixes(host: Column) -> Column:
 class Level:
     bits: int
     hashes: int
-    words: tuple[int, ...]
 
     def position(self, key: Column, level: int, j: int) -> Column:
         return F.pmod(F.xxhash64(key, F.lit(level), F.lit(j)), F.lit(self.bits).cast("long"))
@@ -61,59 +68,67 @@ class Level:
         return out
 
 
-def fill(keys: DataFrame, level: int, bits: int, hashes: int) -> Level:
-    """A filter over the column key. What comes to the driver is its words: bits / 64 at most."""
-    empty = Level(bits, hashes, ())
-    at = keys.select(F.explode(F.array(*[empty.position(F.col("key"), level, j) for j in range(hashes)])).alias("p"))
+def fill(keys: DataFrame, level: int, shape: Level, name: str) -> DataFrame:
+    """One row, column name: the words of a filter over the column key. Words without a bit are 0."""
+    at = keys.select(F.explode(F.array(*[shape.position(F.col("key"), level, j) for j in range(shape.hashes)])).alias("p"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
-    got = at.groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(one).alias("b")).collect()
-    words = [0] * -(-bits // 64)
-    for r in got:
-        words[r["w"]] = r["b"]
-    return Level(bits, hashes, tuple(words))
+    set_ = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(one).alias("b"))
+    every = keys.sparkSession.range(-(-shape.bits // 64)).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
+    words = every.unionByName(set_).groupBy("w").agg(F.bit_or("b").alias("b"))
+    pieces = words.groupBy(F.floor(F.col("w") / PIECE).alias("piece")).agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words"))
+    return pieces.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "words"))), lambda x: x["words"])).alias(name))
+
+
+def beside(df: DataFrame, row: DataFrame) -> DataFrame:
+    """df with the columns of a table of one row, whose size ROW_BYTES bounds."""
+    return df.join(F.broadcast(row))
 
 
 @dataclass(frozen=True)
 class Cascade:
+    """row: one row, an array of words for each level (level1, level2, ...)."""
+
     levels: tuple[Level, ...]
+    row: DataFrame | None
 
     def member(self, key: Column) -> Column:
-        """Whether a key of the universe is listed; exact."""
+        """Whether a key of the universe is listed; exact. Needs the columns of row."""
         out = F.lit(len(self.levels) % 2 == 1)
         for n in range(len(self.levels), 0, -1):
-            lv = self.levels[n - 1]
-            held = lv.holds(key, n, F.array(*[F.lit(w).cast("long") for w in lv.words]))
-            out = F.when(~held, F.lit(n % 2 == 0)).otherwise(out)
+            out = F.when(~self.levels[n - 1].holds(key, n, F.col(f"level{n}")), F.lit(n % 2 == 0)).otherwise(out)
         return out
 
 
-def build_cascade(universe: DataFrame, listed: Sequence[str], max_levels: int = 64) -> Cascade:
-    """universe: distinct strings in column key, null excluded."""
-    keys = sorted(set(listed))
-    if len(keys) > MAX_LISTED:
-        raise ValueError(f"{len(keys)} listed keys; a cascade in a plan's literals takes {MAX_LISTED} at most")
-    if not keys:
-        return Cascade(())
-    spark = universe.sparkSession
-    inside = spark.createDataFrame([(k,) for k in keys], "key string")
-    outside = universe.where(~F.col("key").isin(keys)) if len(keys) <= 1000 else universe.join(F.broadcast(inside), "key", "left_anti")
-    r, s = len(keys), max(1, outside.count())
-    rate = min(0.5, r / (math.sqrt(2) * s))
+def build_cascade(universe: DataFrame, inside: DataFrame) -> Cascade:
+    """universe and inside: distinct strings in column key, null excluded. Levels end when one lets nothing through wrongly."""
+    r = inside.count()
+    if not r:
+        return Cascade((), None)
+    outside = materialize(universe.join(inside, "key", "left_anti"), "outside")
+    rate = min(0.5, r / (math.sqrt(2) * max(1, outside.count())))
     levels: list[Level] = []
-    include, exclude, n_in = inside, outside, r
-    while True:
+    include, exclude, n_in, row = inside, outside, r, None
+    while n_in:
         n = len(levels) + 1
-        hashes = max(1, round(math.log2(1 / rate)))
-        level = fill(include, n, max(64, math.ceil(n_in * math.log2(1 / rate) / math.log(2) + 1)), hashes)
-        levels.append(level)
-        if n > max_levels:
-            raise RuntimeError("the cascade does not end")
-        held = level.holds(F.col("key"), n, F.array(*[F.lit(w).cast("long") for w in level.words]))
-        wrong = materialize(exclude.where(held), f"cascade{n}")
+        # a level's hash differs from the last one's, so what is let through is halved each time
+        shape = Level(max(64, math.ceil(n_in * math.log2(1 / rate) / math.log(2) + 1)), max(1, round(math.log2(1 / rate))))
+        levels.append(shape)
+        words = materialize(fill(include, n, shape, f"level{n}"), f"filter{n}")
+        row = words if row is None else beside(row, words)
+        wrong = materialize(beside(exclude, words).where(shape.holds(F.col("key"), n, F.col(f"level{n}"))).select("key"), f"cascade{n}")
         n_in = wrong.count()
-        if not n_in:
-            return Cascade(tuple(levels))
         include, exclude, rate = wrong, include, 0.5
+    return Cascade(tuple(levels), row)
+
+
+def cascade_parts(universe_keys: int, listed_keys: int) -> int:
+    """Cascades that a list is dealt over, so that the words of each stay in ROW_BYTES."""
+    if not listed_keys:
+        return 1
+    rate = min(0.5, listed_keys / (math.sqrt(2) * max(1, universe_keys)))
+    # a first level, and later ones that together hold about three bits a listed key
+    bits = listed_keys * (math.log2(1 / rate) / math.log(2) + 3)
+    return max(1, math.ceil(bits / 8 / ROW_BYTES))
 
 
 def rule_text(rule: tuple[str, str, str]) -> str:
@@ -129,13 +144,27 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return out
 
 
-def url_filter(pages: DataFrame, *, listed: Sequence[str] = LISTED, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and listed (whether the cascade holds the host or a parent of it)."""
-    parts = pages.select("page_id", url_parts(F.col("url")).alias("u")).select("page_id", "u.host", "u.path")
-    hosts = parts.select("host").where(F.col("host") != "").distinct()
+def url_filter(pages: DataFrame, *, listed: Sequence[str] | DataFrame = LISTED, rules: Sequence[tuple[str, str, str]] = RULES, parts: int | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict and listed (whether a cascade holds the host or a parent of it).
+
+    listed: domains, as strings or as a table with one column. parts: cascades, if not as many as the list needs.
+    """
+    spark = pages.sparkSession
+    keys = listed.toDF("key") if isinstance(listed, DataFrame) else spark.createDataFrame([(k,) for k in listed], "key string")
+    keys = materialize(keys.where(F.length("key") > 0).distinct(), "listed")
+    split = pages.select("page_id", url_parts(F.col("url")).alias("u")).select("page_id", "u.host", "u.path")
+    hosts = split.select("host").where(F.col("host") != "").distinct()
     universe = materialize(hosts.select(F.explode(suffixes(F.col("host"))).alias("key")).distinct(), "hosts")
-    cascade = build_cascade(universe, listed)
-    is_listed = F.exists(suffixes(F.col("host")), cascade.member) if cascade.levels else F.lit(False)
-    out = parts.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("listed", is_listed)
+    parts = parts or cascade_parts(universe.count(), keys.count())
+    out = split.withColumn("listed", F.lit(False))
+    for k in range(parts):
+        mine = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(parts)) == k
+        cascade = build_cascade(universe.where(mine), keys.where(mine))
+        if cascade.row is None:
+            continue
+        own = F.filter(suffixes(F.col("host")), lambda s: F.pmod(F.xxhash64(s, F.lit(-1)), F.lit(parts)) == k)
+        out = beside(out, cascade.row).withColumn("listed", F.col("listed") | F.exists(own, cascade.member)).select("page_id", "host", "path", "listed")
+        if parts > 1:
+            out = materialize(out, "pages")
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
-    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "listed")
+    return out.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "listed")

@@ -1,10 +1,11 @@
 import random
 
 import pytest
-from brute import licenses, stats, url
+from brute import WORD, licenses, low, stats, url
+from pyspark.sql import functions as F
 
-from loomgrid.llm.licenses import license_scan
-from loomgrid.llm.quality import learn_rules, quality_rules
+from loomgrid.llm.licenses import K, PHRASES, TEMPLATES, license_scan, template_rows
+from loomgrid.llm.quality import feature_columns, labelled_sample, learn_rules, quality_rules, repeated_trigram_words
 from loomgrid.llm.urls import LISTED, url_filter
 
 CASES = [None, "", " \t\n", "a", "a b c", "a b c a b c", "x y z\nx y z\n \nq", "UNDER the MIT license! Under\x00the-mit license", "Apache License, Version 2.0 cc-by nc cc by\u00e9 nc", "# * $ a|b <c>\x0b\x0cd", "\u212aelvin under the mit license \u0130 cc by nc", "na " * 4000, "licensed  under the Apache  License (Version 2)"]
@@ -31,6 +32,34 @@ def test_quality(spark):
     assert got == want
 
 
+def test_long_text_with_clashing_prefixes(spark):
+    """A prefix of four bits meets many hashes, so that whole pairs are sorted; a text of 200,000 words is one row."""
+    rng = random.Random(3)
+    own = [f"w{rng.randrange(40_000)}" for _ in range(200_000)]
+    docs = spark.createDataFrame([("a b c d a b c x y",), (" ".join(own),)], "text string")
+    for bits in (0, 60):
+        got = [r[0] for r in docs.select(repeated_trigram_words(F.split("text", " "), bits)).collect()]
+        assert got == [stats("a b c d a b c x y")[4], stats(" ".join(own))[4]]
+
+
+def test_quality_verdict(spark):
+    """kept and rule against the learned list, applied row by row in Python."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        bad = i % 3 == 0
+        rows.append((i, " ".join(rng.choice(["#$%&|", "ok", "fine"] if bad else ["good", "word", "ok"]) + str(rng.randrange(500)) for _ in range(rng.randint(60, 90)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(0, 400, 2)], "doc_id long, quality int")
+    rules = learn_rules(labelled_sample(docs, labels, 20_000))
+    assert rules
+    got = {r.doc_id: r for r in quality_rules(docs, labels).withColumns({f"f_{k}": c for k, c in feature_columns().items()}).collect()}
+    for i, r in got.items():
+        fits = [n for n, rule in enumerate(rules, 1) if all((r[f"f_{name}"] > at) if side == ">" else (r[f"f_{name}"] <= at) for name, side, at in rule.conditions)]
+        assert r.rule == (fits[0] if fits else None) and r.kept == (not r.base_failed and not fits)
+    assert sum(r.kept != bool(i % 3) for i, r in got.items()) < 20
+
+
 def test_quality_learns():
     rng = random.Random(1)
     rows = [(v > 0.7, {"a": v, "b": rng.random()}) for v in (rng.random() for _ in range(600))]
@@ -50,6 +79,43 @@ def test_licenses(spark):
     assert got == sorted(([i, *licenses(t)] for i, t, *_ in rows), key=str)
 
 
+def brute_spans(text, min_share=0.7, max_shift=3):
+    """All matches of k-grams as votes, put together diagonal by diagonal."""
+    w, found, labels = WORD.findall(low(text or "")), 0.0, set()
+    for _, label, base, need, own in template_rows(PHRASES, TEMPLATES):
+        votes = sorted((i - j, i, j) for i in range(len(w) - K + 1) for j in range(need) if w[i : i + K] == own[j : j + K])
+        spans = []
+        for k, (diag, at, tpos) in enumerate(votes):
+            same = k and diag == votes[k - 1][0]
+            near = k and not base and diag - votes[k - 1][0] <= max_shift and at - votes[k - 1][1] <= K + max_shift
+            if not (same or near):
+                spans.append(set())
+            spans[-1].add(tpos)
+        shares = [len(s) / need for s in spans]
+        ok = [x for x in shares if x >= (1 if base else min_share)]
+        labels |= {label} if ok else set()
+        found = max([found, *(ok if base else shares)])
+    return ",".join(sorted(labels)), found
+
+
+def test_license_spans(spark):
+    rng = random.Random(12)
+    cases = texts() + ["licensed under cc " * 4, "licensed under cc by nc 4 0", "Licensed under CC BY-NC 4.0 and more"]
+    parts = [w for _, t in TEMPLATES for w in (" ".join(t.split()[:4]), " ".join(t.split()[3:9]), t)]
+    cases += [" ".join(rng.choice([*parts, "word", "and"]) for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(cases):
+        labels, score = brute_spans(t)
+        assert got[i][0] == labels and abs(got[i][1] - score) < 1e-12, t
+    assert got[len(texts())] == ("", 0.2)
+
+
+def test_very_long_text(spark):
+    text = "licensed under cc " * 100_000 + "apache license version 2"
+    r = license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, r.labels) == (300_004, 1, 300_000, "apache-2")
+
+
 def test_license_method(spark):
     text = "foo bar. This work is licensed under the GNU General Public License, version 3. And permission is hereby granted free of charge to any nice person obtaining a copy of this software and associated documentation files"
     r = license_scan(spark.createDataFrame([(1, text), (2, "general public")], "doc_id long, text string")).orderBy("doc_id").collect()
@@ -69,5 +135,20 @@ def test_urls(spark, listed):
         assert r.verdict == (verdict or ("block" if held else "allow"))
 
 
+@pytest.mark.parametrize("n, parts", [(200_000, None), (9000, 2)])
+def test_long_list(spark, n, parts):
+    """Listed keys as a table, in one cascade and in several."""
+    keys = spark.range(n).selectExpr("concat('h', id, '.net') AS domain")
+    pages = spark.range(3000).selectExpr("id AS page_id", f"concat('http://www.h', id * {n // 2000}, '.net/x') AS url")
+    got = url_filter(pages, listed=keys, parts=parts)
+    assert got.where(f"listed <> (page_id * {n // 2000} < {n}) OR (verdict = 'block') <> listed").count() == 0 and got.count() == 3000
+
+
+def test_long_url(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a." * 5000 + "spam-farm.example.com/" + "p" * 100_000)], "page_id long, url string")
+    r = url_filter(pages).first()
+    assert (len(r.path), r.listed, r.verdict) == (100_001, True, "block")
+
+
 def test_urls_empty(spark):
     assert url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0

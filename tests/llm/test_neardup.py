@@ -79,6 +79,11 @@ def test_components(spark):
     assert got == want
 
 
+def test_long_chain_in_order(spark):
+    got = components(spark.range(300).selectExpr("id AS a", "id + 1 AS b")).collect()
+    assert len(got) == 301 and {r.root for r in got} == {0}
+
+
 def test_bounds():
     least = least_matches(0.75, 104, 1e-6)
     assert (np.diff(least) >= 0).all() and 40 < least[104] < 78 and least[16] < 8
