@@ -1,25 +1,29 @@
 """Exact removal of repeated byte strings by suffix arrays of shards.
 
-A byte goes if a string of `window` bytes over it also starts earlier: in a smaller doc_id, or earlier in the same text.
-
-Suffix arrays of all text would spend nearly all their work on strings that occur once, so shards are formed by content:
-
-1. Each window has an anchor, its least hashed k-gram. Neighbouring windows with one anchor are a piece. Equal windows
-   have equal anchors, so only pieces of one anchor can hold equal windows. Pieces of a task that equal an earlier one of
-   the task are settled there and do not travel, so a text copied a million times sends one piece from each task.
-2. By anchor, pieces that equal an earlier piece are settled. Pieces of an anchor with one content are done; those of an
-   anchor with several contents are asked for, one of each content.
-3. The asked pieces' bytes are cut from their texts and dealt to shards by anchor. A shard sorts its windows by
-   Larsson-Sadakane refinement, measures common prefixes by Kasai's rule with one lane for each piece, and settles
-   windows whose prefixes reach the window length.
-4. An anchor of very many contents is dealt over several shards. Each of those sends its distinct windows, sorted; these
-   runs are merged by binary search, in ranges of their digests, which settles what lies in different shards.
+A byte goes if a string of `window` bytes over it also starts earlier: in an earlier row, or earlier in the same text. Rows
+are ordered by doc_id, null first; rows of one doc_id by their place in the table.
+
+Strings that occur once are most of any text and need no sorting. Each window has an anchor, its least hashed k-gram;
+neighbouring windows of one anchor are a piece. Equal windows have equal anchors, so only pieces of an anchor that occurs
+more than once can hold equal windows:
+
+1. Shards are some MB of documents of a task. A shard's pieces of repeated anchors go into suffix arrays: suffixes are
+   sorted by Larsson-Sadakane refinement, common prefixes are measured by Kasai's rule, and of windows whose prefixes reach
+   the window length all but the earliest are settled. What is left of a shard goes on: a text copied a million times
+   sends its pieces once from each shard.
+2. By anchor, pieces that several shards hold are asked for.
+3. Their bytes are cut from the texts and dealt to shards by anchor, which are sorted and settled in the same way.
+4. An anchor of many pieces is dealt over several shards. Each of those sends its distinct windows, sorted, with their
+   bytes; these runs are merged two at a time by binary search, which settles what lies in different shards.
 5. Settled windows are spans of their texts; spans meet their text and merge.
 
-What is dealt travels as packed arrays, one row for each task and partition, so no key gathers rows.
+Hashes only choose what is compared: every window is settled by its bytes. What is dealt travels as packed arrays, one row
+for each task and partition, so no key gathers rows. Rows are written once with a key of their own, which keeps rows of
+equal or null doc_id apart.
 
-Defined results: null or empty text has 0 bytes and nothing removed; a null doc_id is smaller than any; rows that repeat
-a doc_id must repeat its text, are equally early, and do not remove each other; other columns are dropped.
+Defined results: null or empty text has 0 bytes and nothing removed; a null doc_id is smaller than any; of rows that repeat
+a doc_id or a text the later ones lose what the earlier ones hold; other columns are dropped. A very long text is cut into
+pieces in bounded segments, and is one row of the last step. Of equal windows the earliest stays, so there are no ties.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +44,18 @@ from .decontaminate import powers, ranges
 GRAM = 32
 SEGMENT = 1 << 19
 POSITION_BITS = 21
-#: Pieces of a task wait until they come from this many bytes of text.
+#: Windows of a piece at most.
+PIECE_WINDOWS = 512
+#: A shard of a task is made of about this many bytes of text.
 HELD_BYTES = 16 << 20
-#: Contents of one anchor that one shard takes.
-SHARD_PIECES = 4096
+#: Pieces of one anchor that one shard takes.
+SHARD_PIECES = 64
+#: Bytes that one suffix array takes, whole anchors together.
 SHARD_BYTES = 1 << 20
 NO_DOC = -(1 << 63)
 
-#: Rows that travel: dealt by part; a text or a packed array.
-ROW = "part int, kind int, doc_id long, text string, blob binary"
+#: Rows that travel: dealt by __part; a text or a packed array.
+ROW = "__part int, __kind int, __row long, doc_id long, text string, __blob binary"
 SPANS, ASKED, PIECES, RUNS, TEXT = 1, 2, 3, 4, 9
 
 
@@ -73,10 +81,9 @@ def joined(blobs: list[bytes], kinds: str) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts)]
 
 
-SPAN_KINDS = "i8 i4 i4"  # doc, first byte, bytes
-PIECE_KINDS = "u8 u8 i8 i4 u1"  # anchor, content, doc, first byte, windows
-ASK_KINDS = "i8 i4 u1 u8 u8 i4"  # doc, first byte, windows, anchor, content, shards of the anchor
-RUN_KINDS = "u8 u8 i8 i4"  # digest (two words), doc, first byte
+SPAN_KINDS = "i8 i4 i4"  # row, first byte, bytes
+PIECE_KINDS = "u8 u8 i8 i8 i4 i4 i8"  # anchor, content, doc, row, first byte, windows, shard
+ASK_KINDS = "u8 u8 i8 i8 i4 i4 i4"  # anchor, content, doc, row, first byte, windows, shards of the anchor
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -101,8 +108,8 @@ def spark_hash(doc: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def doc_part(doc: np.ndarray, parts: int) -> np.ndarray:
-    return spark_hash(np.ascontiguousarray(doc, np.int64)).view(np.int64) % parts
+def row_part(row: np.ndarray, parts: int) -> np.ndarray:
+    return spark_hash(np.ascontiguousarray(row, np.int64)).view(np.int64) % parts
 
 
 def by_part(part: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -119,8 +126,8 @@ def by_part(part: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[tuple
 def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     n = len(rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array([r[2] for r in rows], pa.binary())],
-        ["part", "kind", "doc_id", "text", "blob"],
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array([r[2] for r in rows], pa.binary())],
+        [c.split()[0] for c in ROW.split(", ")],
     )
 
 
@@ -148,7 +155,7 @@ def content_hash(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
 
 
 def cut_pieces(raw: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Of all rows: (row, first byte in the row, windows, anchor, content) of each piece."""
+    """Of all rows: (row, first byte in the row, windows, anchor, content, whether the anchor comes again in it) of each piece."""
     out = []
     span = window - GRAM + 1
     ends = np.repeat(offs[1:], np.diff(offs))
@@ -172,31 +179,26 @@ def cut_pieces(raw: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarr
         at = (np.minimum(tail[:n], head[span - 1 : span - 1 + n]) & low).astype(np.int64)
         valid = np.arange(s, s + n) + window <= ends[s : s + n]
         new = np.ones(n, bool)
-        new[1:] = (at[1:] != at[:-1]) | (valid[1:] != valid[:-1])
+        new[1:] = at[1:] != at[:-1]
+        moved = np.flatnonzero(new)[1:]
+        new[moved] = h[at[moved]] != h[at[moved - 1]]  # a k-gram that comes again is the same anchor
+        new[1:] |= valid[1:] != valid[:-1]
         first = np.flatnonzero(new)
         windows = np.diff(np.append(first, n))
         keep = valid[first]
         first, windows = first[keep], windows[keep]
+        several = -(-windows // PIECE_WINDOWS)
+        inner = ranges(np.zeros(len(first), np.int64), several) * PIECE_WINDOWS
+        first, windows = np.repeat(first, several) + inner, np.minimum(np.repeat(windows, several) - inner, PIECE_WINDOWS)
         size = windows + window - 1
         content = spread((total[first + size] - total[first]) * down[first])
         row = np.searchsorted(offs, first + s, "right") - 1
-        out.append((row, first + s - offs[row], windows, h[at[first]], content))
+        out.append((row, first + s - offs[row], windows, h[at[first]], content, at[first] != at[first + windows - 1]))
     if not out:
-        return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def settle(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pieces sorted into (anchor, content, doc, start): the order, where a content begins, and which repeat an earlier piece."""
-    order = np.lexsort((start, doc, content, anchor))
-    a, c, d, s = anchor[order], content[order], doc[order], start[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    later = (d != d[lead]) | (s != s[lead])
-    return order, new, later
-
-
 def repeated(values: np.ndarray) -> np.ndarray:
     """Which of the values occur more than once."""
     s = np.sort(values)
@@ -210,28 +212,40 @@ def repeated(values: np.ndarray) -> np.ndarray:
 def refine(text: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
     """Larsson-Sadakane: all positions in suffix order; suffixes that are equal to their ends keep text order.
 
-    end: where each position's piece ends; a suffix stops there. depth: the longest piece.
+    end: where each position's piece ends; a suffix stops there. depth: the longest piece. Each sort is of one number that
+    holds what is compared and the place before, so ties keep their order.
     """
     n = len(text)
     left = end - np.arange(n)
+    place = max(1, (n - 1).bit_length())
+    used = np.flatnonzero(np.bincount(text, minlength=256))
+    bits = len(used).bit_length()
+    take = max(1, (64 - place) // bits)
+    symbol = np.zeros(256, np.uint64)
+    symbol[used] = np.arange(1, len(used) + 1, dtype=np.uint64)
+    padded = np.append(symbol[text], np.zeros(take, np.uint64))
     key = np.zeros(n, np.uint64)
-    padded = np.append(text, np.zeros(8, np.uint8)).astype(np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | np.where(j < left, padded[j : j + n], 0)
-    sa = np.argsort(key, kind="stable")
-    k = key[sa]
+    for j in range(take):
+        key = (key << np.uint64(bits)) | np.where(j < left, padded[j : j + n], np.uint64(0))
+    packed = np.sort((key << np.uint64(place)) | np.arange(n, dtype=np.uint64))
+    sa = (packed & np.uint64((1 << place) - 1)).astype(np.int64)
+    k = packed >> np.uint64(place)
     new = np.ones(n, bool)
     new[1:] = k[1:] != k[:-1]
     rank = np.zeros(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
-    h = 8
-    alone = new & np.append(new[1:], True)
-    active = np.flatnonzero(~alone)
+    h = take
+    active = np.flatnonzero(~(new & np.append(new[1:], True)))
     while len(active) and h < depth:
         step = min(h, depth - h)
         at = sa[active]
         group, after = rank[at], np.where(left[at] > step, rank[np.minimum(at + step, n - 1)], 0)
-        by = np.argsort(group * np.int64(n + 2) + after, kind="stable")
+        dense = np.cumsum(np.append(False, group[1:] != group[:-1]))
+        low = max(1, (len(active) - 1).bit_length())
+        if int(dense[-1] + 1).bit_length() + (n + 1).bit_length() + low < 63:
+            by = np.sort(((dense * np.int64(n + 2) + after) << low) | np.arange(len(active))) & ((1 << low) - 1)
+        else:
+            by = np.lexsort((after, dense))
         sa[active] = at[by]
         group, after = group[by], after[by]
         new = np.ones(len(active), bool)
@@ -290,53 +304,103 @@ def equal_windows(text: np.ndarray, first: np.ndarray, windows: np.ndarray, wind
     return owner[at], inner[at], group[keep]
 
 
-def spans_of(piece: np.ndarray, inner: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def settle(text: np.ndarray, n: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard's pieces, one after the other in text: (piece, window in the piece, whether it is the earliest of its equals), in suffix order."""
+    size = n.astype(np.int64) + window - 1
+    piece, inner, group = equal_windows(text, np.cumsum(size) - size, n.astype(np.int64), window)
+    place = np.empty(len(n), np.int64)
+    place[np.lexsort((start, row, doc))] = np.arange(len(n))
+    at = place[piece] * np.int64(PIECE_WINDOWS) + inner
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
+    least = np.minimum.reduceat(at, begin) if len(begin) else at
+    return piece, inner, at == np.repeat(least, np.diff(np.append(begin, len(group))))
+
+
+def shards_of(anchor: np.ndarray, salt: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Pieces in order of their anchors, cut into suffix arrays of about SHARD_BYTES, whole anchors together."""
+    order = np.lexsort((salt, anchor))
+    a, s = anchor[order], salt[order]
+    heads = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1]))[: len(a)])
+    if not len(heads):
+        return
+    total = np.cumsum(size[order])
+    shard = (total[heads] // SHARD_BYTES).astype(np.int64)
+    cuts = np.append(heads[np.append(True, shard[1:] != shard[:-1])], len(order))
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        yield order[x:y]
+
+
+def spans_of(piece: np.ndarray, inner: np.ndarray, row: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Settled windows as spans of bytes, neighbours joined."""
     if not len(piece):
         return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    order = np.lexsort((inner, piece))
-    p, k = piece[order], inner[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (p[1:] != p[:-1]) | (k[1:] != k[:-1] + 1)
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(p)))
-    return doc[p[first]], (start[p[first]] + k[first]).astype(np.int32), (n + window - 1).astype(np.int32)
-
-
-def suffix_dedup(docs: DataFrame, *, window: int = 100, with_text: bool = False, carry: Sequence[str] = (), shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    at = np.sort(piece * np.int64(2 * PIECE_WINDOWS) + inner)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
+    p, k = at[first] // (2 * PIECE_WINDOWS), at[first] % (2 * PIECE_WINDOWS)
+    n = np.diff(np.append(first, len(at)))
+    return row[p], (start[p] + k).astype(np.int32), (n + window - 1).astype(np.int32)
+
+
+Run = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # sorted windows, and the doc, row and first byte of each
+Lost = tuple[np.ndarray, np.ndarray]  # row, first byte
+
+
+def merge(a: Run, b: Run) -> tuple[Run, Lost]:
+    """Two sorted runs of distinct windows as one: each window of b is looked up in a by binary search; of equals the earlier stays."""
+    if len(a[0]) < len(b[0]):
+        a, b = b, a
+    at = np.searchsorted(a[0], b[0])
+    met = a[0][np.minimum(at, len(a[0]) - 1)] == b[0]
+    i, j = at[met], np.flatnonzero(met)
+    earlier = (b[1][j] < a[1][i]) | ((b[1][j] == a[1][i]) & ((b[2][j] < a[2][i]) | ((b[2][j] == a[2][i]) & (b[3][j] < a[3][i]))))
+    lost = np.where(earlier, a[2][i], b[2][j]), np.where(earlier, a[3][i], b[3][j])
+    kept = [x.copy() for x in a]
+    for k in (1, 2, 3):
+        kept[k][i[earlier]] = b[k][j[earlier]]
+    fresh = np.flatnonzero(~met)
+    return tuple(np.insert(x, at[fresh], y[fresh]) for x, y in zip(kept, b)), lost
+
+
+def suffix_dedup(docs: DataFrame, *, window: int = 100, with_text: bool = False, carry: Sequence[str] = (), shard_pieces: int = SHARD_PIECES, held_bytes: int = HELD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text also kept_text; and columns of docs named in carry.
 
     Where a removal cuts a character of several bytes, the kept text has its remaining bytes replaced by nothing; sizes
-    and the digest are of the bytes. carry takes no name that this result or ROW uses.
+    and the digest are of the bytes.
     """
     parts = partitions_for(docs)
-    own = docs.select("doc_id", "text")
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), "text", *carry), "keyed")
+    run_kinds = f"S{window} i8 i8 i4"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        texts: list[np.ndarray] = []
+        size, flushes = 0, 0
 
         def flush() -> Iterator[tuple[int, int, bytes]]:
-            anchor, content, doc, start, n = (np.concatenate(x) for x in zip(*held))
-            twice = repeated(anchor ^ spread(content))
-            some = np.flatnonzero(twice)
-            order, new, later = settle(anchor[some], content[some], doc[some], start[some])
-            gone = some[order[later]]
-            spans = (doc[gone], start[gone], n[gone].astype(np.int32) + np.int32(window - 1))
-            yield from by_part(doc_part(spans[0], parts), SPANS, *spans)
-            send = ~twice
-            send[some[order[new]]] = True
-            at = np.flatnonzero(send)
-            yield from by_part((anchor[at] % np.uint64(parts)).astype(np.int64), PIECES, anchor[at], content[at], doc[at], start[at], n[at])
+            anchor, content, again, doc, row, start, n, at = (np.concatenate(x) for x in zip(*held))
+            raw = np.concatenate(texts)
+            source = np.int64(TaskContext.get().partitionId()) << 20 | flushes
+            some = np.flatnonzero(repeated(anchor) | again)
+            send = np.ones(len(anchor), bool)
+            bytes_of = n.astype(np.int64) + window - 1
+            for k in shards_of(anchor[some], np.zeros(len(some), np.uint64), bytes_of[some]):
+                k = some[k]
+                piece, inner, earliest = settle(raw[ranges(at[k], bytes_of[k])], n[k], doc[k], row[k], start[k], window)
+                yield from by_rows(*spans_of(piece[~earliest], inner[~earliest], row[k], start[k], window))
+                send[k] = np.bincount(piece[earliest], minlength=len(k)) > 0
+            own = np.flatnonzero(send)
+            yield from by_part((anchor[own] % np.uint64(parts)).astype(np.int64), PIECES, anchor[own], content[own], doc[own], row[own], start[own], n[own], np.full(len(own), source))
 
         for part in gathered(batches):
             raw, offs = text_bytes(part["text"].combine_chunks())
-            row, start, n, anchor, content = cut_pieces(raw, offs, window)
-            held.append((anchor, content, doc_ids(part)[row], start.astype(np.int32), n.astype(np.uint8)))
+            r, start, n, anchor, content, again = cut_pieces(raw, offs, window)
+            doc = part["doc_id"].combine_chunks().fill_null(NO_DOC).to_numpy()
+            held.append((anchor, content, again, doc[r], part["__row"].to_numpy()[r], start.astype(np.int32), n.astype(np.int32), size + offs[r] + start))
+            texts.append(raw)
             size += len(raw)
-            if size >= HELD_BYTES:
+            if size >= held_bytes:
                 yield from batches_of(flush())
-                held, size = [], 0
+                held, texts, size, flushes = [], [], 0, flushes + 1
         if held:
             yield from batches_of(flush())
 
@@ -347,30 +411,23 @@ def suffix_dedup(docs: DataFrame, *, window: int = 100, with_text: bool = False,
             passed = batch.filter(pa.array(kind == SPANS))
             if passed.num_rows:
                 yield passed
-            blobs += batch.column(4).filter(pa.array(kind == PIECES)).to_pylist()
-        anchor, content, doc, start, n, _ = joined(blobs, PIECE_KINDS)
+            blobs += batch.column(5).filter(pa.array(kind == PIECES)).to_pylist()
+        columns = joined(blobs, PIECE_KINDS)[:-1]
         del blobs
-        keep = repeated(anchor)
-        anchor, content, doc, start, n = (x[keep] for x in (anchor, content, doc, start, n))
-
-        def rows() -> Iterator[tuple[int, int, bytes]]:
-            order, new, later = settle(anchor, content, doc, start)
-            gone = order[later]
-            yield from by_part(doc_part(doc[gone], parts), SPANS, doc[gone], start[gone], n[gone].astype(np.int32) + np.int32(window - 1))
-            lead = order[new]
-            a = anchor[lead]
-            edges = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])[: len(a)]), len(a))
-            contents = np.repeat(np.diff(edges), np.diff(edges))
-            ask = lead[contents > 1]
-            shards = (-(-contents[contents > 1] // shard_pieces)).astype(np.int32)
-            yield from by_part(doc_part(doc[ask], parts), ASKED, doc[ask], start[ask], n[ask], anchor[ask], content[ask], shards)
-
-        yield from batches_of(rows())
+        columns = [x[repeated(columns[0])] for x in columns]
+        order = np.lexsort((columns[6], columns[0]))
+        anchor, content, doc, row, start, n, source = (x[order] for x in columns)
+        head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)])
+        pieces = np.diff(np.append(head, len(anchor)))
+        last = head + pieces - 1
+        ask = np.flatnonzero(np.repeat(source[head] != source[last], pieces))  # shards have settled what they alone hold
+        shards = np.repeat(-(-pieces // shard_pieces), pieces).astype(np.int32)
+        yield from batches_of(by_part(row_part(row[ask], parts), ASKED, *(x[ask] for x in (anchor, content, doc, row, start, n, shards))))
 
     def with_docs(arrays: DataFrame, also: Sequence[str] = ()) -> DataFrame:
-        """Texts and packed arrays dealt by document; in a partition, arrays come first."""
-        texts = docs.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_DOC))), F.lit(parts)).cast("int").alias("part"), F.lit(TEXT).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("blob"), *also)
-        return texts.unionByName(arrays, allowMissingColumns=True).repartitionById(parts, F.col("part")).sortWithinPartitions("kind")
+        """Texts and packed arrays dealt by row; in a partition, arrays come first."""
+        texts = keyed.select(F.pmod(F.xxhash64("__row"), F.lit(parts)).cast("int").alias("__part"), F.lit(TEXT).alias("__kind"), "__row", "doc_id", "text", F.lit(None).cast("binary").alias("__blob"), *also)
+        return texts.unionByName(arrays, allowMissingColumns=True).repartitionById(parts, F.col("__part")).sortWithinPartitions("__kind")
 
     def first_arrays(batches: Iterator[pa.RecordBatch], kind: int) -> tuple[list[bytes], Iterator[pa.RecordBatch]]:
         blobs: list[bytes] = []
@@ -382,131 +439,96 @@ def suffix_dedup(docs: DataFrame, *, window: int = 100, with_text: bool = False,
 
         for batch in batches:
             kinds = batch.column(1).to_numpy()
-            blobs += batch.column(4).filter(pa.array(kinds == kind)).to_pylist()
+            blobs += batch.column(5).filter(pa.array(kinds == kind)).to_pylist()
             if (kinds == TEXT).any():
                 return blobs, rest(batch.filter(pa.array(kinds == TEXT)))
         return blobs, iter(())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs, texts = first_arrays(iter(batches), ASKED)
-        doc, start, n, anchor, content, shards, _ = joined(blobs, ASK_KINDS)
-        order = np.argsort(doc, kind="stable")
-        doc, start, n, anchor, content, shards = (x[order] for x in (doc, start, n, anchor, content, shards))
+        columns = joined(blobs, ASK_KINDS)[:-1]
+        del blobs
+        order = np.argsort(columns[3], kind="stable")
+        anchor, content, doc, row, start, n, shards = (x[order] for x in columns)
 
         def rows() -> Iterator[tuple[int, int, bytes]]:
             for part in gathered(texts):
-                ids = doc_ids(part)
-                a, b = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
+                ids = part["__row"].to_numpy()
+                a, b = np.searchsorted(row, ids, "left"), np.searchsorted(row, ids, "right")
                 if not (b > a).any():
                     continue
                 raw, offs = text_bytes(part["text"].combine_chunks())
-                ask, row = ranges(a, b - a), np.repeat(np.arange(len(ids)), b - a)
+                ask, own = ranges(a, b - a), np.repeat(np.arange(len(ids)), b - a)
                 size = n[ask].astype(np.int64) + window - 1
-                at = offs[row] + start[ask]
-                fits = at + size <= offs[row + 1]
-                ask, row, size, at = ask[fits], row[fits], size[fits], at[fits]
-                mine = content_hash(raw, at, size) == content[ask]
-                ask, size, at = ask[mine], size[mine], at[mine]
-                if not len(ask):
-                    continue
-                salt = np.where(shards[ask] > 1, content[ask] % shards[ask].astype(np.uint64), 0).astype(np.uint64)
-                to = (spread(anchor[ask] ^ spread(salt + np.uint64(1))) % np.uint64(parts)).astype(np.int64)
+                at = offs[own] + start[ask]
+                to = (spread(anchor[ask] ^ spread(salted(content[ask], shards[ask]) + np.uint64(1))) % np.uint64(parts)).astype(np.int64)
                 by = np.lexsort((anchor[ask], to))
-                ask, size, at, to, salt = ask[by], size[by], at[by], to[by], salt[by]
+                ask, size, at, to = ask[by], size[by], at[by], to[by]
                 edges = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
                 for x, y in zip(edges[:-1], edges[1:]):
                     k = ask[x:y]
-                    body = raw[ranges(at[x:y], size[x:y])]
-                    head = pack_with(body, doc[k], start[k], n[k], anchor[k], content[k], shards[k])
-                    yield int(to[x]), PIECES, head
+                    yield int(to[x]), PIECES, pack_with(raw[ranges(at[x:y], size[x:y])], *(c[k] for c in (anchor, content, doc, row, start, n, shards)))
 
         yield from batches_of(rows())
 
+    def salted(content: np.ndarray, shards: np.ndarray) -> np.ndarray:
+        """Which of its anchor's shards takes a piece; equal pieces go to one."""
+        return np.where(shards > 1, content % np.maximum(shards, 1).astype(np.uint64), 0).astype(np.uint64)
+
     def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: list[bytes] = []
         for batch in batches:
-            blobs += batch.column(4).to_pylist()
-        doc, start, n, anchor, content, shards, body = joined(blobs, ASK_KINDS)
+            blobs += batch.column(5).to_pylist()
+        anchor, content, doc, row, start, n, shards, body = joined(blobs, ASK_KINDS)
         del blobs
-        if not len(doc):
-            return
         size = n.astype(np.int64) + window - 1
         at = np.cumsum(size) - size
-        salt = np.where(shards > 1, content % np.maximum(shards, 1).astype(np.uint64), 0).astype(np.uint64)
-        order = np.lexsort((start, doc, content, salt, anchor))
-        a, s = anchor[order], salt[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1]))
-        heads = np.flatnonzero(new)
-        # whole anchors are put together up to SHARD_BYTES
-        total = np.cumsum(size[order])
-        shard_of = (total[heads] // SHARD_BYTES).astype(np.int64)
-        cuts = np.append(heads[np.append(True, shard_of[1:] != shard_of[:-1])], len(order))
 
         def rows() -> Iterator[tuple[int, int, bytes]]:
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                k = order[x:y]
+            for k in shards_of(anchor, salted(content, shards), size):
                 text = body[ranges(at[k], size[k])]
-                first = np.cumsum(size[k]) - size[k]
-                windows = n[k].astype(np.int64)
-                piece, inner, group = equal_windows(text, first, windows, window)
-                d, p = doc[k][piece], start[k][piece] + inner
-                by = np.lexsort((p, d, group))
-                piece, inner, group, d, p = piece[by], inner[by], group[by], d[by], p[by]
-                head = np.append(True, group[1:] != group[:-1])
-                lead = np.maximum.accumulate(np.where(head, np.arange(len(group)), 0))
-                later = (d != d[lead]) | (p != p[lead])
-                yield from by_part_spans(*spans_of(piece[later], inner[later], doc[k], start[k], window))
-                several = head & (shards[k][piece] > 1)
-                if several.any():
-                    w = first[piece[several]] + inner[several]
-                    one = content_hash(text, w, np.full(len(w), window))
-                    two = content_hash(text[::-1], len(text) - w - window, np.full(len(w), window))
-                    run = np.lexsort((two, one))
-                    to = (spread(one[run]) % np.uint64(parts)).astype(np.int64)
-                    yield from by_part(to, RUNS, one[run], two[run], d[several][run], p[several][run].astype(np.int32))
+                piece, inner, earliest = settle(text, n[k], doc[k], row[k], start[k], window)
+                yield from by_rows(*spans_of(piece[~earliest], inner[~earliest], row[k], start[k], window))
+                several = np.flatnonzero(earliest & (shards[k][piece] > 1))  # in suffix order
+                if len(several):
+                    p, i = piece[several], inner[several]
+                    first = (np.cumsum(size[k]) - size[k])[p] + i
+                    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, window)[first]).view(f"S{window}").ravel()
+                    to = (content_hash(text, first, np.full(len(first), window)) % np.uint64(parts)).astype(np.int64)
+                    yield from by_part(to, RUNS, windows, doc[k][p], row[k][p], (start[k][p] + i).astype(np.int32))
 
         yield from batches_of(rows())
 
-    def by_part_spans(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        yield from by_part(doc_part(doc, parts), SPANS, doc, start, size)
+    def by_rows(row: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        yield from by_part(row_part(row, parts), SPANS, row, start, size)
 
     def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = [unpack(b, RUN_KINDS)[:4] for batch in batches for b in batch.column(4).to_pylist()]
-        if not runs:
-            return
-        kept = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        lost: list[tuple[np.ndarray, np.ndarray]] = []
-        for one, two, doc, start in runs:  # by binary search of each run in what is merged so far
-            at = np.searchsorted(kept[0], one)
-            inside = np.minimum(at, max(len(kept[0]) - 1, 0))
-            met = (kept[0][inside] == one) & (kept[1][inside] == two) if len(kept[0]) else np.zeros(len(one), bool)
-            i, j = inside[met], np.flatnonzero(met)
-            first = (doc[j] < kept[2][i]) | ((doc[j] == kept[2][i]) & (start[j] < kept[3][i]))
-            equal = (doc[j] == kept[2][i]) & (start[j] == kept[3][i])
-            lost.append((np.where(first, kept[2][i], doc[j])[~equal], np.where(first, kept[3][i], start[j])[~equal]))
-            kept[2][i[first]], kept[3][i[first]] = doc[j[first]], start[j[first]]
-            fresh = np.flatnonzero(~met)
-            kept = tuple(np.insert(x, at[fresh], y[fresh]) for x, y in zip(kept, (one, two, doc, start)))
-        doc, start = (np.concatenate(x) for x in zip(*lost))
-        yield from batches_of(by_part_spans(doc, start.astype(np.int32), np.full(len(doc), window, np.int32)))
+        runs: list[Run] = [tuple(unpack(b, run_kinds)[:4]) for batch in batches for b in batch.column(5).to_pylist()]
+        lost: list[Lost] = []
+        while len(runs) > 1:
+            pairs = [merge(a, b) for a, b in zip(runs[::2], runs[1::2])]
+            lost += [x for _, x in pairs]
+            runs = [x for x, _ in pairs] + runs[len(pairs) * 2 :]
+        if lost:
+            row, start = (np.concatenate(x) for x in zip(*lost))
+            yield from batches_of(by_rows(row, start.astype(np.int32), np.full(len(row), window, np.int32)))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text + "".join(f", `{c}` {kind}" for c in carry for name, kind in docs.dtypes if name == c)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs, texts = first_arrays(iter(batches), SPANS)
-        doc, start, size, _ = joined(blobs, SPAN_KINDS)
-        order = np.argsort(doc, kind="stable")
-        doc, start, size = doc[order], start[order], size[order]
+        row, start, size, _ = joined(blobs, SPAN_KINDS)
+        order = np.argsort(row, kind="stable")
+        row, start, size = row[order], start[order], size[order]
         for part in gathered(texts):
-            ids = doc_ids(part)
+            ids = part["__row"].to_numpy()
             raw, offs = text_bytes(part["text"].combine_chunks())
-            a, b = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
-            k, row = ranges(a, b - a), np.repeat(np.arange(len(ids)), b - a)
-            begin = np.minimum(offs[row] + start[k], offs[row + 1])
-            stop = np.minimum(begin + size[k], offs[row + 1])
+            a, b = np.searchsorted(row, ids, "left"), np.searchsorted(row, ids, "right")
+            k, own = ranges(a, b - a), np.repeat(np.arange(len(ids)), b - a)
+            begin = offs[own] + start[k]
             cover = np.zeros(len(raw) + 1, np.int32)
             np.add.at(cover, begin, 1)
-            np.add.at(cover, stop, -1)
+            np.add.at(cover, begin + size[k], -1)
             gone = np.cumsum(cover[:-1]) > 0
             edge = gone.copy()
             edge[1:] &= ~gone[:-1]
@@ -516,7 +538,7 @@ def suffix_dedup(docs: DataFrame, *, window: int = 100, with_text: bool = False,
             kept = raw[~gone]
             left = np.concatenate([[0], np.cumsum(np.diff(offs) - np.diff(removed[offs]))])
             body = [kept[x:y].tobytes() for x, y in zip(left[:-1], left[1:])]
-            columns = [part["doc_id"].combine_chunks().cast(pa.int64()), pa.array(np.diff(offs)), pa.array(np.diff(removed[offs])), pa.array(np.diff(spans[offs])), pa.array([hashlib.sha256(x).hexdigest() for x in body])]
+            columns = [part["doc_id"].combine_chunks(), pa.array(np.diff(offs)), pa.array(np.diff(removed[offs])), pa.array(np.diff(spans[offs])), pa.array([hashlib.sha256(x).hexdigest() for x in body])]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
                 columns.append(pa.array([x.decode(errors="ignore") for x in body], pa.string()))
@@ -525,17 +547,17 @@ def suffix_dedup(docs: DataFrame, *, window: int = 100, with_text: bool = False,
             names += carry
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    found = own.mapInArrow(tidy(find), ROW).repartitionById(parts, F.col("part")).mapInArrow(tidy(by_anchor), ROW)
+    found = keyed.select("__row", "doc_id", "text").mapInArrow(tidy(find), ROW).repartitionById(parts, F.col("__part")).mapInArrow(tidy(by_anchor), ROW)
     settled = materialize(found, "settled")
-    asked = settled.where(F.col("kind") == ASKED)
-    spans = settled.where(F.col("kind") == SPANS)
+    asked = settled.where(F.col("__kind") == ASKED)
+    spans = settled.where(F.col("__kind") == SPANS)
     if not asked.isEmpty():
-        shards = with_docs(asked).mapInArrow(tidy(cut), ROW).repartitionById(parts, F.col("part")).mapInArrow(tidy(sort_shard), ROW)
+        shards = with_docs(asked).mapInArrow(tidy(cut), ROW).repartitionById(parts, F.col("__part")).mapInArrow(tidy(sort_shard), ROW)
         sorted_ = materialize(shards, "sorted")
-        spans = spans.unionByName(sorted_.where(F.col("kind") == SPANS))
-        runs = sorted_.where(F.col("kind") == RUNS)
+        spans = spans.unionByName(sorted_.where(F.col("__kind") == SPANS))
+        runs = sorted_.where(F.col("__kind") == RUNS)
         if not runs.isEmpty():
-            spans = spans.unionByName(runs.repartitionById(parts, F.col("part")).mapInArrow(tidy(merge_runs), ROW))
+            spans = spans.unionByName(runs.repartitionById(parts, F.col("__part")).mapInArrow(tidy(merge_runs), ROW))
     return with_docs(spans, carry).mapInArrow(tidy(finish), schema)
 
 
