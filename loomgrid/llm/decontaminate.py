@@ -6,11 +6,13 @@ Larsson-Sadakane refinement, the transformed text goes into a wavelet matrix, an
 at once by its ranks. Occurrences are located by walking back to sampled suffix positions; their spans of words merge.
 
 Documents aren't shuffled. The benchmark is the query set: it is sent whole while it is under block_bytes of text, and
-otherwise in hash blocks of that size, each searched in all documents, with spans merged by document row.
+otherwise in hash blocks of that size, each searched in all documents. Documents are then written once with a key, and
+what the blocks find is merged by it.
 
 Defined results: a null or wordless text has no words, no hits and is clean; null or wordless items have no windows; a
 repeated item id counts once and a null one is the empty string; repeated documents each get a row; null doc_id stays
-null; other columns are dropped.
+null; other columns are dropped, also those named like a result. A very long text is a shard of its own. Windows that
+several items share are hits of each.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import AT_END, gathered, text_bytes, tidy
+from .common import AT_END, gathered, materialize, text_bytes, tidy
 
 WINDOW = 13
 SAMPLE = 16
@@ -213,18 +216,20 @@ def phrases(items: list[tuple[str, str]], window: int = WINDOW) -> Phrases | Non
         return None
     vocabulary = Vocabulary(h)
     numbers = vocabulary.numbers(h)
-    names = sorted({n for n, _ in items})
-    place = {n: i for i, n in enumerate(names)}
-    found: dict[tuple[int, ...], set[int]] = {}
-    for i, (name, _) in enumerate(items):
-        own = tuple(numbers[rows[i] : rows[i + 1]].tolist())
-        for k in range(max(1, len(own) - window + 1) if own else 0):
-            found.setdefault(own[k : k + window], set()).add(place[name])
-    patterns = np.zeros((len(found), window), np.int32)
-    for i, p in enumerate(found):
-        patterns[i, window - len(p) :] = p
-    lists = [sorted(v) for v in found.values()]
-    return Phrases(vocabulary, patterns, np.array([len(p) for p in found]), np.concatenate([[0], np.cumsum([len(x) for x in lists])]), np.array([x for v in lists for x in v], np.int64), np.array(names, object))
+    names, item = np.unique(np.array([n for n, _ in items], object), return_inverse=True)
+    n_words = np.diff(rows)
+    count = np.where(n_words > 0, np.maximum(n_words - window + 1, 1), 0)
+    first = ranges(rows[:-1], count)
+    size = np.repeat(np.minimum(n_words, window), count)
+    owner = np.repeat(item, count)
+    patterns = np.zeros((len(first), window), np.int32)
+    for k in range(window):  # from the right; short items leave the left empty
+        has = size > k
+        patterns[has, window - 1 - k] = numbers[(first + size - 1 - k)[has]]
+    _, kept, which = np.unique(np.ascontiguousarray(patterns).view(f"V{4 * window}").ravel(), return_index=True, return_inverse=True)
+    pairs = np.unique(which * np.int64(len(names)) + owner)
+    item_first = np.searchsorted(pairs // len(names), np.arange(len(kept) + 1))
+    return Phrases(vocabulary, patterns[kept], size[kept], item_first, pairs % len(names), names)
 
 
 def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -302,28 +307,38 @@ def find_block(rows: DataFrame, block: Phrases | None, carry: Sequence[str] = ()
     return rows.mapInArrow(tidy(run), schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_percent: int = 5, block_bytes: int = 16 << 20, carry: Sequence[str] = ()) -> DataFrame:
+def merged(found: DataFrame) -> DataFrame:
+    """(row, spans, items) of what several blocks found: spans that meet are one, by gaps and islands in each row's spans."""
+    spans = found.select("row", F.explode("spans").alias("s")).select("row", "s.first", (F.col("s.first") + F.col("s.n")).alias("end"))
+    w = Window.partitionBy("row").orderBy("first", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    islands = spans.withColumn("new", F.when(F.col("first") <= before, 0).otherwise(1)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = islands.groupBy("row", "island").agg(F.min("first").alias("first"), F.max("end").alias("end"))
+    spans = islands.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", (F.col("end") - F.col("first")).alias("n")))).alias("spans"))
+    items = found.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.collect_set("item").alias("items"))
+    return spans.join(items, "row")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_percent: int = 5, block_bytes: int = 8 << 20, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (first word, words), items, and columns of docs named in carry."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").where(F.col("text").isNotNull())
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").where(F.col("text").isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *(c for c in carry if c != "text"))
-    found = None
-    for b in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == b)
-        part = find_block(rows, phrases([(r["name"], r["text"]) for r in own.collect()], window), carry)
-        found = part if found is None else found.unionByName(part)
-    if blocks > 1:
-        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), *(F.first(c).alias(c) for c in carry))
-        zero = F.array().cast("array<struct<first:bigint,n:bigint>>")
-
-        def merge(acc, x):
-            last = F.get(acc, F.size(acc) - 1)
-            end = F.greatest(last["first"] + last["n"], x["first"] + x["n"])
-            joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["first"].alias("first"), (end - last["first"]).alias("n"))))
-            return F.when(F.coalesce(x["first"] <= last["first"] + last["n"], F.lit(False)), joined).otherwise(F.concat(acc, F.array(x)))
-
-        found = found.withColumn("spans", F.aggregate(F.sort_array("spans"), zero, merge)).withColumn("items", F.array_distinct("items"))
+    if blocks == 1:
+        found = find_block(rows, phrases([(r["name"], r["text"]) for r in items.collect()], window), carry)
+    else:
+        rows = materialize(rows, "rows")
+        counted = find_block(rows, None, carry).drop("spans", "items")
+        parts = []
+        for b in range(blocks):
+            own = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == b).collect()
+            parts.append(materialize(find_block(rows, phrases([(r["name"], r["text"]) for r in own], window)).where(F.size("spans") > 0).select("row", "spans", "items"), "found"))
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.unionByName(part)
+        none = F.array().cast("array<struct<first:bigint,n:bigint>>"), F.array().cast("array<string>")
+        found = counted.join(merged(found), "row", "left").withColumns({c: F.coalesce(c, v) for c, v in zip(("spans", "items"), none)})
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
     out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), "spans", F.sort_array("items").alias("items"), *carry)
     dirty = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= min_percent * F.col("n_words"))
