@@ -12,7 +12,9 @@ more than once can hold equal windows:
    the window length all but the earliest are settled. What is left of a shard goes on: a text copied a million times
    sends its pieces once from each shard.
 2. By anchor, pieces that several shards hold are asked for.
-3. Their bytes are cut from the texts and dealt to shards by anchor, which are sorted and settled in the same way.
+3. Their bytes are cut from the texts and dealt to shards by anchor. Pieces that are copies of an earlier one, byte for
+   byte, are settled at once, which is the pre-aggregation that large groups of copies need; the others of an anchor are
+   sorted and settled in the same way as in a shard of documents.
 4. An anchor of many pieces is dealt over several shards. Each of those sends its distinct windows, sorted, with their
    bytes; these runs are merged two at a time by binary search, which settles what lies in different shards.
 5. Settled windows are spans of their texts; spans meet their text and merge.
@@ -82,8 +84,9 @@ def joined(blobs: list[bytes], kinds: str) -> list[np.ndarray]:
 
 
 SPAN_KINDS = "i8 i4 i4"  # row, first byte, bytes
-PIECE_KINDS = "u8 u8 i8 i8 i4 i4 i8"  # anchor, content, doc, row, first byte, windows, shard
-ASK_KINDS = "u8 u8 i8 i8 i4 i4 i4"  # anchor, content, doc, row, first byte, windows, shards of the anchor
+PIECE_KINDS = "u8 i8 i4 i4 i8"  # anchor, row, first byte, windows, shard
+ASK_KINDS = "u8 i8 i4 i4 i4"  # anchor, row, first byte, windows, shards of the anchor
+CUT_KINDS = "u8 u8 i8 i8 i4 i4 i4"  # anchor, content, doc, row, first byte, windows, shards of the anchor
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -155,7 +158,7 @@ def content_hash(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
 
 
 def cut_pieces(raw: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Of all rows: (row, first byte in the row, windows, anchor, content, whether the anchor comes again in it) of each piece."""
+    """Of all rows: (row, first byte in the row, windows, anchor, whether the anchor comes again in it) of each piece."""
     out = []
     span = window - GRAM + 1
     ends = np.repeat(offs[1:], np.diff(offs))
@@ -190,12 +193,10 @@ def cut_pieces(raw: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarr
         several = -(-windows // PIECE_WINDOWS)
         inner = ranges(np.zeros(len(first), np.int64), several) * PIECE_WINDOWS
         first, windows = np.repeat(first, several) + inner, np.minimum(np.repeat(windows, several) - inner, PIECE_WINDOWS)
-        size = windows + window - 1
-        content = spread((total[first + size] - total[first]) * down[first])
         row = np.searchsorted(offs, first + s, "right") - 1
-        out.append((row, first + s - offs[row], windows, h[at[first]], content, at[first] != at[first + windows - 1]))
+        out.append((row, first + s - offs[row], windows, h[at[first]], at[first] != at[first + windows - 1]))
     if not out:
-        return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
+        return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, bool))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -316,6 +317,24 @@ def settle(text: np.ndarray, n: np.ndarray, doc: np.ndarray, row: np.ndarray, st
     return piece, inner, at == np.repeat(least, np.diff(np.append(begin, len(group))))
 
 
+def copies(body: np.ndarray, at: np.ndarray, size: np.ndarray, anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which pieces equal an earlier one byte for byte. Hashes say what to compare; where bytes differ, suffix arrays decide."""
+    out = np.zeros(len(at), bool)
+    if not len(at):
+        return out
+    order = np.lexsort((start, row, doc, size, content, anchor))
+    a, c, n = anchor[order], content[order], size[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1]))
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    later = np.flatnonzero(~new)
+    for k in np.array_split(later, max(1, int(n[later].sum()) >> 20)):  # a MB at a time
+        x, y, m = order[k], lead[k], n[k]
+        same = body[ranges(at[x], m)] == body[ranges(at[y], m)]
+        if len(k):
+            out[x] = np.logical_and.reduceat(same, np.cumsum(m) - m)
+    return out
+
+
 def shards_of(anchor: np.ndarray, salt: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
     """Pieces in order of their anchors, cut into suffix arrays of about SHARD_BYTES, whole anchors together."""
     order = np.lexsort((salt, anchor))
@@ -377,7 +396,7 @@ def suffix_dedup(docs: DataFrame, *, window: int = 100, with_text: bool = False,
         size, flushes = 0, 0
 
         def flush() -> Iterator[tuple[int, int, bytes]]:
-            anchor, content, again, doc, row, start, n, at = (np.concatenate(x) for x in zip(*held))
+            anchor, again, doc, row, start, n, at = (np.concatenate(x) for x in zip(*held))
             raw = np.concatenate(texts)
             source = np.int64(TaskContext.get().partitionId()) << 20 | flushes
             some = np.flatnonzero(repeated(anchor) | again)
@@ -389,13 +408,13 @@ def suffix_dedup(docs: DataFrame, *, window: int = 100, with_text: bool = False,
                 yield from by_rows(*spans_of(piece[~earliest], inner[~earliest], row[k], start[k], window))
                 send[k] = np.bincount(piece[earliest], minlength=len(k)) > 0
             own = np.flatnonzero(send)
-            yield from by_part((anchor[own] % np.uint64(parts)).astype(np.int64), PIECES, anchor[own], content[own], doc[own], row[own], start[own], n[own], np.full(len(own), source))
+            yield from by_part((anchor[own] % np.uint64(parts)).astype(np.int64), PIECES, anchor[own], row[own], start[own], n[own], np.full(len(own), source))
 
         for part in gathered(batches):
             raw, offs = text_bytes(part["text"].combine_chunks())
-            r, start, n, anchor, content, again = cut_pieces(raw, offs, window)
+            r, start, n, anchor, again = cut_pieces(raw, offs, window)
             doc = part["doc_id"].combine_chunks().fill_null(NO_DOC).to_numpy()
-            held.append((anchor, content, again, doc[r], part["__row"].to_numpy()[r], start.astype(np.int32), n.astype(np.int32), size + offs[r] + start))
+            held.append((anchor, again, doc[r], part["__row"].to_numpy()[r], start.astype(np.int32), n.astype(np.int32), size + offs[r] + start))
             texts.append(raw)
             size += len(raw)
             if size >= held_bytes:
@@ -415,14 +434,14 @@ def suffix_dedup(docs: DataFrame, *, window: int = 100, with_text: bool = False,
         columns = joined(blobs, PIECE_KINDS)[:-1]
         del blobs
         columns = [x[repeated(columns[0])] for x in columns]
-        order = np.lexsort((columns[6], columns[0]))
-        anchor, content, doc, row, start, n, source = (x[order] for x in columns)
+        order = np.lexsort((columns[4], columns[0]))
+        anchor, row, start, n, source = (x[order] for x in columns)
         head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)])
         pieces = np.diff(np.append(head, len(anchor)))
         last = head + pieces - 1
         ask = np.flatnonzero(np.repeat(source[head] != source[last], pieces))  # shards have settled what they alone hold
         shards = np.repeat(-(-pieces // shard_pieces), pieces).astype(np.int32)
-        yield from batches_of(by_part(row_part(row[ask], parts), ASKED, *(x[ask] for x in (anchor, content, doc, row, start, n, shards))))
+        yield from batches_of(by_part(row_part(row[ask], parts), ASKED, *(x[ask] for x in (anchor, row, start, n, shards))))
 
     def with_docs(arrays: DataFrame, also: Sequence[str] = ()) -> DataFrame:
         """Texts and packed arrays dealt by row; in a partition, arrays come first."""
@@ -448,8 +467,8 @@ def suffix_dedup(docs: DataFrame, *, window: int = 100, with_text: bool = False,
         blobs, texts = first_arrays(iter(batches), ASKED)
         columns = joined(blobs, ASK_KINDS)[:-1]
         del blobs
-        order = np.argsort(columns[3], kind="stable")
-        anchor, content, doc, row, start, n, shards = (x[order] for x in columns)
+        order = np.argsort(columns[1], kind="stable")
+        anchor, row, start, n, shards = (x[order] for x in columns)
 
         def rows() -> Iterator[tuple[int, int, bytes]]:
             for part in gathered(texts):
@@ -461,13 +480,14 @@ def suffix_dedup(docs: DataFrame, *, window: int = 100, with_text: bool = False,
                 ask, own = ranges(a, b - a), np.repeat(np.arange(len(ids)), b - a)
                 size = n[ask].astype(np.int64) + window - 1
                 at = offs[own] + start[ask]
-                to = (spread(anchor[ask] ^ spread(salted(content[ask], shards[ask]) + np.uint64(1))) % np.uint64(parts)).astype(np.int64)
-                by = np.lexsort((anchor[ask], to))
-                ask, size, at, to = ask[by], size[by], at[by], to[by]
+                content, doc = content_hash(raw, at, size), part["doc_id"].combine_chunks().fill_null(NO_DOC).to_numpy()[own]
+                to = (spread(anchor[ask] ^ spread(salted(content, shards[ask]) + np.uint64(1))) % np.uint64(parts)).astype(np.int64)
+                by = np.lexsort((content, anchor[ask], to))
+                ask, size, at, to, content, doc = ask[by], size[by], at[by], to[by], content[by], doc[by]
                 edges = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
                 for x, y in zip(edges[:-1], edges[1:]):
                     k = ask[x:y]
-                    yield int(to[x]), PIECES, pack_with(raw[ranges(at[x:y], size[x:y])], *(c[k] for c in (anchor, content, doc, row, start, n, shards)))
+                    yield int(to[x]), PIECES, pack_with(raw[ranges(at[x:y], size[x:y])], anchor[k], content[x:y], doc[x:y], *(c[k] for c in (row, start, n, shards)))
 
         yield from batches_of(rows())
 
@@ -479,13 +499,19 @@ def suffix_dedup(docs: DataFrame, *, window: int = 100, with_text: bool = False,
         blobs: list[bytes] = []
         for batch in batches:
             blobs += batch.column(5).to_pylist()
-        anchor, content, doc, row, start, n, shards, body = joined(blobs, ASK_KINDS)
+        *columns, body = joined(blobs, CUT_KINDS)
         del blobs
-        size = n.astype(np.int64) + window - 1
+        size = columns[5].astype(np.int64) + window - 1
         at = np.cumsum(size) - size
+        anchor, content, doc, row, start, n, shards = columns
+        copy = copies(body, at, size, *columns[:5])
 
         def rows() -> Iterator[tuple[int, int, bytes]]:
-            for k in shards_of(anchor, salted(content, shards), size):
+            yield from by_rows(row[copy], start[copy], size[copy].astype(np.int32))
+            left = np.flatnonzero(~copy)
+            left = left[repeated(anchor[left]) | (shards[left] > 1)]
+            for k in shards_of(anchor[left], salted(content[left], shards[left]), size[left]):
+                k = left[k]
                 text = body[ranges(at[k], size[k])]
                 piece, inner, earliest = settle(text, n[k], doc[k], row[k], start[k], window)
                 yield from by_rows(*spans_of(piece[~earliest], inner[~earliest], row[k], start[k], window))
