@@ -6,16 +6,22 @@
    each batch a pair is dropped if its posterior chance of reaching the similarity is under the miss probability. Each
    node's best surviving pair is verified on the full sets, and verified links are joined into components; then the best
    surviving pair of each two components, twice.
-4. Buckets that still hold nodes of several components compare all their pairs across components, those of the commonest
-   component against the others and the others among themselves, in blocks: by the shingles themselves (their 32-bit
-   hashes, with room for collisions) where sets are of ordinary size, else by batches of the signature. A pair that is
-   sure to reach the similarity stands for all of its two components in a block. What is found is verified on the full
-   sets, each node's best first, then all that are still across components, and components are taken again. A link
-   inside a component changes nothing, so no pair that could matter is left out.
+4. In buckets that still hold nodes of several components, a node stays if one of its rarest shingles, just over a
+   quarter of them, is among another component's rarest: similar sets share one of these, so unlike texts that meet in a
+   bucket go, however many they are. Nodes that stay are compared across components, those of the commonest component
+   against the others and the others among themselves, in blocks: by the shingles themselves (their 32-bit hashes, with
+   room for collisions), and sets of more than set_size by batches of the signature. A pair that is sure to reach the
+   similarity stands for all of its two components in a block. What is found is verified on the full sets, each node's
+   best first, then all that are still across components, and components are taken again. A link inside a component
+   changes nothing, so no pair that could matter is left out.
+
+Pruning by signatures, and bands that miss a pair, are where the method may lose a link: each with the chosen
+probability. No link is made without the full sets.
 
 Defined results: null or wordless texts have an empty set, link with nothing and stay; a repeated row takes part with
 its own doc_id; a null doc_id never is the smallest, and is kept only where its component has no other id; other columns
-are dropped.
+are dropped, also those named like a result. A very long text is one slice of its own; its shingles are in memory at once.
+Which of equally good matches is verified first doesn't change components.
 """
 
 from __future__ import annotations
@@ -25,18 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, materialize, tidy
+from .common import gathered, materialize, partitions_for, tidy
 from .components import components
 from .shingles import digest, sets, shingle_hashes
 
 BATCH = 32
 #: Nodes of a block that the others are compared with.
 PIVOTS = 8
-#: Sets up to SET_SIZE travel to the comparison across components; those of SIGNED_SIZE or more bring their signature.
-SET_SIZE, SIGNED_SIZE = 2048, 1536
+#: Sets up to this travel to the comparison across components.
+SET_SIZE = 8192
 #: Two sets' 32-bit hashes may lose or gain this much of their intersection by collisions.
 ROOM = 2
 
@@ -134,9 +141,9 @@ def across(t: pa.Table, edges: np.ndarray, least: np.ndarray, percent: int) -> I
     root = t["root"].combine_chunks().dictionary_encode().indices.to_numpy()
     n = t["n"].to_numpy()
     has_set, has_sig = (t[c].is_valid().to_numpy(zero_copy_only=False) for c in ("own", "sig"))
-    body = t["own"].combine_chunks().fill_null(b"").cast(pa.large_binary())
-    offs = np.frombuffer(body.buffers()[1], np.int64, len(body) + 1, body.offset * 8) // 4
-    tokens = np.frombuffer(body.buffers()[2], np.uint32, int(offs[-1])) if body.buffers()[2] is not None else np.zeros(0, np.uint32)
+    own = t["own"].combine_chunks()
+    offs = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    tokens = own.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
     sig = None
     if has_sig.any():
         width = len(least) - 1
@@ -193,10 +200,9 @@ def intersections(tokens: np.ndarray, offs: np.ndarray, rows: np.ndarray, root:
     return rows[a], rows[b], common[a, b].astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, bands: int = 26, rows: int = 4, hashes: int = 512, miss: float = 1e-5, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, bands: int = 26, rows: int = 4, hashes: int = 512, miss: float = 1e-5, block: int = 512, set_size: int = SET_SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept. Bands use the first bands * rows hashes; the comparison uses a byte of all."""
-    spark = docs.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = partitions_for(docs)
     least = least_matches(percent / 100, hashes, miss)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,23 +214,24 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
             yield pa.RecordBatch.from_arrays(
                 [
                     part["doc_id"].combine_chunks().cast(pa.int64()),
+                    part["text_key"].combine_chunks(),
                     pa.array([len(x) for x in own], pa.int64()),
                     pa.array([digest(x) if s else None for x, s in zip(own, some)], pa.binary()),
                     pa.array([sig[i, : bands * rows].tobytes() if s else None for i, s in enumerate(some)], pa.binary()),
                     pa.array([sig[i].astype(np.uint8).tobytes() if s else None for i, s in enumerate(some)], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "node", "bands", "sig"],
+                ["doc_id", "text_key", "n_shingles", "node", "bands", "sig"],
             )
 
-    signed = materialize(docs.select("doc_id", "text").mapInArrow(tidy(sign), "doc_id long, n_shingles long, node binary, bands binary, sig binary"), "signed")
+    signed = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(tidy(sign), "doc_id long, text_key long, n_shingles long, node binary, bands binary, sig binary"), "signed")
     some = signed.where(F.col("node").isNotNull())
 
     keys = F.array(*[F.xxhash64(F.substring("bands", 4 * rows * k + 1, 4 * rows), F.lit(k)) for k in range(bands)])
     dealt = some.select("node", F.explode(keys).alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     members = dealt.join(shared, "bucket").distinct()
-    nodes = some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    held = materialize(members.join(nodes, "node").select("bucket", "node", "rep", "sig"), "buckets")
+    nodes = some.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key")).alias("rep"), F.first("sig").alias("sig"))
+    held = materialize(members.join(nodes, "node").select("bucket", "node", F.col("rep.doc_id").alias("rep"), "rep.text_key", "sig"), "buckets")
 
     sizes = held.groupBy("bucket").agg(F.ceil(F.count("node") / block).cast("int").alias("blocks"))
 
@@ -270,11 +277,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches, most=2 << 20):
             own = sets(part["text"].combine_chunks(), shingle)
-            small = [np.unique(x.astype(np.uint32)).tobytes() if len(x) <= SET_SIZE else None for x in own]
-            yield pa.RecordBatch.from_arrays([part["node"].combine_chunks(), pa.array([len(x) for x in own], pa.int64()), pa.array(small, pa.binary())], ["node", "n", "own"])
-
-    shown = texts.join(mixed.select("node").distinct(), "node").select("node", "text").mapInArrow(tidy(short), "node binary, n long, own binary").dropDuplicates(["node"])
-    mixed = materialize(mixed.join(shown, "node").withColumn("sig", F.when(F.col("n") >= SIGNED_SIZE, F.col("sig"))), "mixed")
+            small = [np.unique(x.astype(np.uint32)).view(np.int32) if len(x) <= set_size else None for x in own]
+            yield pa.RecordBatch.from_arrays([part["node"].combine_chunks(), pa.array([len(x) for x in own], pa.int64()), pa.array(small, pa.list_(pa.int32()))], ["node", "n", "own"])
+
+    shown = texts.join(mixed.select("node").distinct(), "node").select("node", "text").mapInArrow(tidy(short), "node binary, n long, own array<int>").dropDuplicates(["node"])
+    shown = materialize(shown, "shown")
+    near = sharing(mixed.select("bucket", "root", "node"), shown, percent)
+    # pairs with a set that doesn't travel are compared by signatures, so sets that may be as large bring theirs
+    mixed = materialize(mixed.join(near, ["bucket", "node"], "left_semi").join(shown, "node").withColumn("sig", F.when(100 * F.col("n") >= percent * set_size, F.col("sig"))), "mixed")
     carried = ["root", "node", "n", "own", "sig"]
     in_top = F.col("root") == F.col("top")
     mine = F.xxhash64("node")
@@ -305,10 +315,34 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def sharing(rooted: DataFrame, shown: DataFrame, percent: int) -> DataFrame:
+    """(bucket, node) of those that may be similar to a node of another root in their bucket.
+
+    rooted: bucket, root, node. shown: node, n, own (32-bit shingles, null for a very large set). Of two sets as similar as
+    asked, each shares at least percent of its own with the other; so, in any one order of shingles, one of the first
+    n - percent of n + 1 of each is common to both (with room for collisions). The order is by how many sets hold a shingle.
+    """
+    each = shown.where(F.col("own").isNotNull()).select("node", "n", F.explode("own").alias("token"))
+    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("sets"))
+    # a shingle of one set alone takes its place in the order, but can't be shared
+    ranked = each.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("t"))
+    first = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 + ROOM
+    rare = ranked.select("node", F.explode(F.slice("t", 1, first.cast("int"))).alias("t")).where("t.sets > 1").select("node", "t.token")
+    placed = rooted.join(rare, "node")
+    met = placed.groupBy("bucket", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket", "token")
+    near = placed.join(met, ["bucket", "token"], "left_semi").select("bucket", "node").distinct()
+    large = rooted.join(shown.where(F.col("own").isNull()).select("node"), "node", "left_semi").select("bucket", "node")
+    # a very large set may be similar to any that is large enough
+    beside = rooted.join(large.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "node")
+    return near.unionByName(beside).distinct()
+
+
 def _texts(held: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, text) of the nodes in shared buckets; where an id is repeated, only texts of the node's own set."""
-    wanted = held.select("node", "rep").distinct()
-    source = docs.select(F.col("doc_id").alias("id"), "text").where(F.col("text").isNotNull())
+    """(node, text) of the nodes in shared buckets, each from the first of its documents. Rows that repeat a text without an id come once."""
+    wanted = held.select("node", F.col("rep").alias("id"), F.col("text_key").alias("key")).distinct()
+    source = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
+    without = source.where(F.col("id").isNull()).groupBy("key").agg(F.first("text").alias("text"))
+    joined = source.join(wanted, ["id", "key"]).select("node", "text").unionByName(without.join(wanted.where(F.col("id").isNull()), "key").select("node", "text"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches, most=2 << 20):
@@ -316,7 +350,6 @@ def _texts(held: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
             keep = [digest(s) == n for s, n in zip(sets(part["text"].combine_chunks(), shingle), node)]
             yield from part.filter(pa.array(keep)).to_batches()
 
-    joined = source.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
     return materialize(joined.mapInArrow(tidy(own), "node binary, text string"), "texts")
 
 

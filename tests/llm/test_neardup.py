@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import SPACE, low
 
@@ -89,8 +90,40 @@ def test_bounds():
     assert (np.diff(least) >= 0).all() and 40 < least[104] < 78 and least[16] < 8
 
 
-def test_large_sets_across_components(spark, monkeypatch):
-    """Sets beyond SET_SIZE take the way by signatures."""
+def test_unlike_nodes_of_one_bucket(spark, monkeypatch):
+    """20,000 texts that share one shingle, and with it their only band: what is compared across components stays small."""
+    from loomgrid.llm import neardup
+
+    # the phrase of the least first hash of many, so that it is the least of every text that holds it
+    phrases = [f"common phrase of words {i}" for i in range(200_000)]
+    h, _ = neardup.shingle_hashes(pa.array(phrases), 5)
+    a, b = neardup.permutations(512)
+    best = phrases[int(np.argmin(((h >> np.uint64(32)).astype(np.uint32) ^ h.astype(np.uint32)) * a[0] + b[0]))]
+    docs = [(i, f"{best} " + " ".join(f"w{i}x{k}" for k in range(8))) for i in range(20_000)] + [(30_000, f"{best} " + " ".join(f"w7x{k}" for k in range(8))), (30_001, f"{best} " + " ".join(f"w7x{k}" for k in range(7)))]
+    rows = {}
+    plain = neardup.materialize
+
+    def counting(df, name):
+        out = plain(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", counting)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(d, bands=1, rows=1).collect()}
+    assert got[30_000] == 7 and got[30_001] == 7 and sum(i != c for i, c in got.items()) == 2
+    assert rows["buckets"] >= 19_900 and rows["mixed"] <= 10
+
+
+def test_null_ids(spark):
+    """Texts without ids, equal and unlike ones, take part once for each text."""
+    docs = [(None, f"text number {k % 40} of some words and {k % 40} more of them {k % 40}") for k in range(400)] + [(5, "text number 3 of some words and 3 more of them 3")]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).groupBy("component_id").count().collect()
+    assert {r["component_id"]: r["count"] for r in got} == {None: 390, 5: 11}
+
+
+def test_large_sets_across_components(spark):
+    """Sets beyond set_size take the way by signatures."""
     rng = random.Random(8)
     base = [f"w{rng.randrange(10**6)}" for _ in range(2600)]
     docs = []
@@ -99,4 +132,5 @@ def test_large_sets_across_components(spark, monkeypatch):
         for _ in range(10 + 12 * k):
             own[rng.randrange(2600)] = f"v{rng.randrange(10**6)}"
         docs.append((k, " ".join(own)))
+    assert run(spark, docs, block=8, set_size=2048) == brute(docs)
     assert run(spark, docs, block=8) == brute(docs)
