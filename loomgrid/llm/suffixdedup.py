@@ -217,42 +217,55 @@ def refine(text: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
     holds what is compared and the place before, so ties keep their order.
     """
     n = len(text)
-    left = end - np.arange(n)
+    left = (end - np.arange(n)).astype(np.int32)
     place = max(1, (n - 1).bit_length())
     used = np.flatnonzero(np.bincount(text, minlength=256))
     bits = len(used).bit_length()
     take = max(1, (64 - place) // bits)
-    symbol = np.zeros(256, np.uint64)
-    symbol[used] = np.arange(1, len(used) + 1, dtype=np.uint64)
-    padded = np.append(symbol[text], np.zeros(take, np.uint64))
+    symbol = np.zeros(256, np.uint8)
+    symbol[used] = np.arange(1, len(used) + 1)
+    padded = np.append(symbol[text], np.zeros(take, np.uint8))
+    short = np.flatnonzero(left < take)
     key = np.zeros(n, np.uint64)
     for j in range(take):
-        key = (key << np.uint64(bits)) | np.where(j < left, padded[j : j + n], np.uint64(0))
-    packed = np.sort((key << np.uint64(place)) | np.arange(n, dtype=np.uint64))
-    sa = (packed & np.uint64((1 << place) - 1)).astype(np.int64)
-    k = packed >> np.uint64(place)
+        key <<= np.uint64(bits)
+        key |= padded[j : j + n]
+    ended = left[short].astype(np.uint64)  # what lies past a piece's end is no part of its suffixes
+    cut = (np.uint64(take) - ended) * np.uint64(bits)
+    key[short] = key[short] >> cut << cut
+    key <<= np.uint64(place)
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()
+    sa = (key & np.uint64((1 << place) - 1)).astype(np.int32)
+    key >>= np.uint64(place)
     new = np.ones(n, bool)
-    new[1:] = k[1:] != k[:-1]
-    rank = np.zeros(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1, dtype=np.int32), 0))
     h = take
-    active = np.flatnonzero(~(new & np.append(new[1:], True)))
+    active = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)
     while len(active) and h < depth:
         step = min(h, depth - h)
-        at = sa[active]
-        group, after = rank[at], np.where(left[at] > step, rank[np.minimum(at + step, n - 1)], 0)
+        at = sa.take(active)
+        group, after = rank.take(at), rank.take(np.minimum(at + np.int32(step), n - 1))
+        after[left.take(at) <= step] = 0
         dense = np.cumsum(np.append(False, group[1:] != group[:-1]))
         low = max(1, (len(active) - 1).bit_length())
         if int(dense[-1] + 1).bit_length() + (n + 1).bit_length() + low < 63:
-            by = np.sort(((dense * np.int64(n + 2) + after) << low) | np.arange(len(active))) & ((1 << low) - 1)
+            dense *= n + 2
+            dense += after
+            dense <<= low
+            dense |= np.arange(len(active))
+            dense.sort()
+            by = dense & ((1 << low) - 1)
         else:
             by = np.lexsort((after, dense))
-        sa[active] = at[by]
-        group, after = group[by], after[by]
+        at, group, after = at.take(by), group.take(by), after.take(by)
+        sa[active] = at
         new = np.ones(len(active), bool)
         new[1:] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
         # ranks of this round are read above; they change only here
-        rank[sa[active]] = active[np.maximum.accumulate(np.where(new, np.arange(len(active)), 0))] + 1
+        rank[at] = np.maximum.accumulate(np.where(new, active + np.int32(1), 0))
         h += step
         active = active[~(new & np.append(new[1:], True))]
     return sa
@@ -265,9 +278,9 @@ def kasai(text: np.ndarray, end: np.ndarray, piece: np.ndarray, windows: np.ndar
     their k-th window together.
     """
     n = len(text)
-    where = np.empty(n, np.int64)
-    where[sa] = np.arange(n)
-    out = np.zeros(n, np.int64)
+    where = np.empty(n, np.int32)
+    where[sa] = np.arange(n, dtype=np.int32)
+    out = np.zeros(n, np.int32)
     length = np.zeros(len(piece), np.int64)
     for k in range(int(windows.max(initial=0))):
         lane = np.flatnonzero(windows > k)
