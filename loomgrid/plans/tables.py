@@ -27,10 +27,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of tables that this driver has written and not dropped.
+_made: list[str] = []
+
+
+def made() -> int:
+    """A mark: tables written from here on are those that drop_since() looks at."""
+    return len(_made)
+
+
+def drop_since(mark: int, result: DataFrame) -> DataFrame:
+    """result, after the tables written since the mark that it doesn't read are gone."""
+    spark = result.sparkSession
+    read = {f.rsplit("/", 2)[-2] for f in result.inputFiles()}
+    for path in _made[mark:]:
+        if path.rsplit("/", 1)[-1] not in read:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _made.remove(path)
+    return result
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
