@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.plans.tables import materialize, new_path, shared_dir  # noqa: F401
+from loomgrid.plans.tables import drop_since, made, materialize, new_path  # noqa: F401
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"

@@ -7,8 +7,8 @@
    node's best surviving pair is verified on the full sets, and verified links are joined into components; then the best
    surviving pair of each two components, twice.
 4. In buckets that still hold nodes of several components, a node stays if one of its rarest shingles, just over a
-   quarter of them, is among another component's rarest: similar sets share one of these, so unlike texts that meet in a
-   bucket go, however many they are. Nodes that stay are compared across components, those of the commonest component
+   quarter of them, is among the rarest of another component: similar sets share one of these, so unlike texts that meet
+   in a bucket go, however many they are. Nodes that stay are compared across components, those of the commonest component
    against the others and the others among themselves, in blocks: by the shingles themselves (their 32-bit hashes, with
    room for collisions), and sets of more than set_size by batches of the signature. A pair that is sure to reach the
    similarity stands for all of its two components in a block. What is found is verified on the full sets, each node's
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, materialize, partitions_for, tidy
+from .common import drop_since, gathered, made, materialize, partitions_for, tidy
 from .components import components
 from .shingles import digest, sets, shingle_hashes
 
@@ -44,6 +44,8 @@ BATCH = 32
 PIVOTS = 8
 #: Sets up to this travel to the comparison across components.
 SET_SIZE = 8192
+#: Slots in which shingles are counted.
+SLOTS = 1 << 20
 #: Two sets' 32-bit hashes may lose or gain this much of their intersection by collisions.
 ROOM = 2
 
@@ -202,7 +204,7 @@ def intersections(tokens: np.ndarray, offs: np.ndarray, rows: np.ndarray, root:
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, bands: int = 26, rows: int = 4, hashes: int = 512, miss: float = 1e-5, block: int = 512, set_size: int = SET_SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept. Bands use the first bands * rows hashes; the comparison uses a byte of all."""
-    n_parts = partitions_for(docs)
+    mark, n_parts = made(), partitions_for(docs)
     least = least_matches(percent / 100, hashes, miss)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,9 +284,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
 
     shown = texts.join(mixed.select("node").distinct(), "node").select("node", "text").mapInArrow(tidy(short), "node binary, n long, own array<int>").dropDuplicates(["node"])
     shown = materialize(shown, "shown")
-    near = sharing(mixed.select("bucket", "root", "node"), shown, percent)
-    # pairs with a set that doesn't travel are compared by signatures, so sets that may be as large bring theirs
-    mixed = materialize(mixed.join(near, ["bucket", "node"], "left_semi").join(shown, "node").withColumn("sig", F.when(100 * F.col("n") >= percent * set_size, F.col("sig"))), "mixed")
+    near = sharing(mixed.select("root", "node").distinct(), shown, percent, set_size)
+    mixed = materialize(mixed.join(near, "node", "left_semi").join(shown, "node").withColumn("sig", F.when(100 * F.col("n") >= percent * set_size, F.col("sig"))), "mixed")
     carried = ["root", "node", "n", "own", "sig"]
     in_top = F.col("root") == F.col("top")
     mine = F.xxhash64("node")
@@ -312,29 +313,46 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
     classes = some.groupBy("node").agg(F.min("doc_id").alias("doc")).join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     named = classes.groupBy("root").agg(F.min("doc").alias("component_id")).join(classes, "root").select("node", "component_id")
     out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = materialize(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "classes")
+    return drop_since(mark, out).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def sharing(rooted: DataFrame, shown: DataFrame, percent: int) -> DataFrame:
-    """(bucket, node) of those that may be similar to a node of another root in their bucket.
+def sharing(rooted: DataFrame, shown: DataFrame, percent: int, set_size: int) -> DataFrame:
+    """(node) of those that may be similar to a node of another root.
 
-    rooted: bucket, root, node. shown: node, n, own (32-bit shingles, null for a very large set). Of two sets as similar as
-    asked, each shares at least percent of its own with the other; so, in any one order of shingles, one of the first
-    n - percent of n + 1 of each is common to both (with room for collisions). The order is by how many sets hold a shingle.
+    rooted: root, node. shown: node, n, own (32-bit shingles, null for a very large set). Of two sets as similar as asked,
+    each shares at least percent of its own with the other; so, in any one order of shingles, one of the first
+    n - percent of n + 1 of each is common to both (with room for collisions). The order is by how many sets hold a
+    shingle, counted in SLOTS slots of a hash: a number for each slot comes to the driver, at any input size.
     """
-    each = shown.where(F.col("own").isNotNull()).select("node", "n", F.explode("own").alias("token"))
-    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("sets"))
-    # a shingle of one set alone takes its place in the order, but can't be shared
-    ranked = each.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("t"))
-    first = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 + ROOM
-    rare = ranked.select("node", F.explode(F.slice("t", 1, first.cast("int"))).alias("t")).where("t.sets > 1").select("node", "t.token")
-    placed = rooted.join(rare, "node")
-    met = placed.groupBy("bucket", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket", "token")
-    near = placed.join(met, ["bucket", "token"], "left_semi").select("bucket", "node").distinct()
-    large = rooted.join(shown.where(F.col("own").isNull()).select("node"), "node", "left_semi").select("bucket", "node")
-    # a very large set may be similar to any that is large enough
-    beside = rooted.join(large.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "node")
-    return near.unionByName(beside).distinct()
+    some = shown.where(F.col("own").isNotNull())
+    slots = some.select(F.explode("own").alias("token")).groupBy(F.pmod("token", F.lit(SLOTS)).alias("slot")).agg(F.count(F.lit(1)).alias("sets")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[slots["slot"].to_numpy()] = slots["sets"].to_numpy()
+    sent = shown.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sent.value
+        for batch in batches:
+            own = batch.column(2)
+            size = np.diff(own.offsets.to_numpy())
+            tokens = own.flatten().to_numpy(zero_copy_only=False)
+            sets_ = often[tokens % SLOTS]
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((tokens, sets_, row))
+            n = batch.column(1).to_numpy()
+            first = n + 1 + ROOM - -(-percent * n // 100)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            # a shingle of one set alone has its place in the order, but can't be shared
+            keep = order[(place < np.repeat(first, size)) & (sets_[order] > 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[keep])), pa.array(tokens[keep], pa.int32())], ["node", "token"])
+
+    placed = some.select("node", "n", "own").mapInArrow(tidy(rarest), "node binary, token int").join(rooted, "node")
+    met = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    near = placed.join(met, "token", "left_semi").select("node")
+    # very large sets, and those large enough to be similar to one
+    large = shown.where(100 * F.col("n") >= percent * set_size).select("node")
+    return near.unionByName(large).distinct()
 
 
 def _texts(held: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:

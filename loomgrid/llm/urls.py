@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, materialize
+from .common import ASCII_LOWER, ASCII_UPPER, drop_since, made, materialize
 
 #: Domains that are listed as unwanted. A listed key covers its subdomains.
 LISTED = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
@@ -149,7 +149,7 @@ def url_filter(pages: DataFrame, *, listed: Sequence[str] | DataFrame = LISTED,
 
     listed: domains, as strings or as a table with one column. parts: cascades, if not as many as the list needs.
     """
-    spark = pages.sparkSession
+    spark, mark = pages.sparkSession, made()
     keys = listed.toDF("key") if isinstance(listed, DataFrame) else spark.createDataFrame([(k,) for k in listed], "key string")
     keys = materialize(keys.where(F.length("key") > 0).distinct(), "listed")
     split = pages.select("page_id", url_parts(F.col("url")).alias("u")).select("page_id", "u.host", "u.path")
@@ -167,4 +167,5 @@ def url_filter(pages: DataFrame, *, listed: Sequence[str] | DataFrame = LISTED,
         if parts > 1:
             out = materialize(out, "pages")
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
-    return out.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "listed")
+    out = out.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "listed")
+    return drop_since(mark, out)
