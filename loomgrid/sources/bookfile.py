@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgrid.operators.tokenmerge import SLOTS, _page_slots
 
@@ -263,14 +264,32 @@ def write_book(paths: list[list[str]], *, header: bytes, version: bytes, metadat
 # ---- Spark
 
 
-def read_book_files(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """(file, code, parts) of every path of every dictionary under path; a file is decoded by one task."""
+def read_books(files: DataFrame, encoding: str = "utf-8") -> DataFrame:
+    """(file, code, parts) of every path of dictionaries (path, content); of a flat one, every text. A file is decoded by one task."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for file, data in zip(part["path"], part["content"]):
                 b = read_book(bytes(data), encoding)
-                rows = [[b["texts"][c] for c in p] for p in b["paths"] or [[k] for k in range(len(b["texts"]))]]
+                rows = [[b["texts"][c] for c in p] for p in b["paths"]] if b["paths"] is not None else [[t] for t in b["texts"]]
                 yield pd.DataFrame({"file": file, "code": range(1, len(rows) + 1), "parts": rows})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, code long, parts array<string>")
+    return files.select("path", "content").mapInPandas(run, "file string, code long, parts array<string>")
+
+
+def read_book_files(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    return read_books(spark.read.format("binaryFile").load(path), encoding)
+
+
+def write_books(paths: DataFrame, parts: str, order: str, *, header: bytes, version: bytes, per_file: int = 1000, encoding: str = "utf-8", flat: bool = False) -> DataFrame:
+    """(path, content): dictionaries of per_file rows each along order (whole numbers from 0); flat ones hold the first part alone."""
+    j = paths.select(F.format_string("%010d", F.expr(f"{order} div {per_file}")).alias("path"), F.col(order).alias("o"), F.col(parts).alias("p"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [list(p) for p in pdf.sort_values("o")["p"]]
+        options = {"header": header, "version": version, "encoding": encoding}
+        data = write_flat_book([r[0] for r in rows], **options) if flat else write_book(rows, **options)
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [data]})
+
+    # a group is per_file rows
+    return j.groupBy("path").applyInPandas(run, "path string, content binary")

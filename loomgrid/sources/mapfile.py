@@ -2,7 +2,7 @@
 
 An image is cut into square blocks, each a quadtree of cells whose values go through a 16-slot palette that lives as long
 as the block. A block is decoded whole, into a square array: the result is a table of runs, so there is no use for single
-pixels here. Files are read by Spark as binary rows and decoded one a task step; a file is the unit of work.
+pixels here. Spark reads files as binary rows; an index pass finds their images, which are then dealt over tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # ---- fixed values of the format
 IMAGE = b"GI01"
@@ -394,8 +395,8 @@ def encode_set(maps: list[tuple[int, int, np.ndarray]], unit_x: int, unit_y: int
     return chunk(header, body + w.done()) + b"".join(chunk(IMAGE, encode_image(c, side)) for _, _, c in maps)
 
 
-def decode_single(data: bytes) -> dict:
-    """A file of one map, whose header holds its place: the same result as decode_set."""
+def decode_single(data: bytes, decode: bool = True) -> dict:
+    """A file of one map, whose header holds its place: the same result as decode_set; without decode its image's data."""
     (_, head), *rest = chunks(data)
     src = Bits(head, VERSION_BYTES)
     unit_x, unit_y, west, south = src.unsigned(), src.unsigned(), src.signed(), src.signed()
@@ -403,7 +404,7 @@ def decode_single(data: bytes) -> dict:
     images = [body for name, body in rest if name != LAYOUT and _image(name)]
     if len(images) != 1 or src.bit != len(head) * 8:
         raise ValueError("a file of one map has one image and nothing else")
-    return {"unit_x": unit_x, "unit_y": unit_y, "metadata": metadata, "maps": [(west, south, decode_image(images[0]))]}
+    return {"unit_x": unit_x, "unit_y": unit_y, "metadata": metadata, "maps": [(west, south, decode_image(images[0]) if decode else images[0])]}
 
 
 def encode_single(west: int, south: int, codes: np.ndarray, unit_x: int, unit_y: int, *, header: bytes, version: bytes, metadata: str | None = None, side: int = 64) -> bytes:
@@ -424,26 +425,98 @@ def join_sets(*sets: dict) -> dict:
 RUN_ROWS = "file string, unit_x long, unit_y long, map_ord long, west long, south long, width long, height long, y long, x0 long, len long, code long"
 
 
-def run_rows(data: bytes, file: str, max_maps: int | None = None) -> pd.DataFrame:
-    s, out = decode_set(data, max_maps), []
-    for k, (west, south, codes) in enumerate(s["maps"]):
-        height, width = codes.shape
-        if not codes.size:
-            continue
-        new = np.ones(codes.shape, bool)
-        new[:, 1:] = codes[:, 1:] != codes[:, :-1]
-        y, x0 = np.nonzero(new)
-        size = np.diff(np.append(y * width + x0, codes.size))
-        out.append(pd.DataFrame({"file": file, "unit_x": s["unit_x"], "unit_y": s["unit_y"], "map_ord": k, "west": west, "south": south, "width": width, "height": height, "y": y, "x0": x0, "len": size, "code": codes[y, x0]}))
-    return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in RUN_ROWS.split(", ")])
+IMAGE_ROWS = "file string, unit_x long, unit_y long, metadata string, map_ord long, west long, south long, width long, height long, image binary"
 
 
-def read_map_files(spark: SparkSession, path: str, max_maps: int | None = None) -> DataFrame:
-    """Runs of every map of every file under path, with the map's place; a file is decoded by one task."""
+def image_rows(data: bytes, file: str, max_maps: int | None = None) -> list[tuple]:
+    """The images of a map set, not decoded: chunk lengths lead from one to the next."""
+    parts = chunks(data)
+    _, head = next(parts)
+    src = Bits(head, VERSION_BYTES)
+    unit_x, unit_y = src.unsigned(), src.unsigned()
+    metadata = src.bytes(src.unsigned()).decode() or None
+    n = src.unsigned()
+    if max_maps is not None and n > max_maps:
+        raise ValueError(f"{n} maps; {max_maps} are allowed")
+    origins = [(src.signed(), src.signed()) for _ in range(n)]
+    images = [body for name, body in parts if name != LAYOUT and _image(name)]
+    if len(images) != n:
+        raise ValueError("the header's maps are not the file's images")
+    rows = []
+    for k, ((west, south), body) in enumerate(zip(origins, images)):
+        size = Bits(body)
+        rows.append((file, unit_x, unit_y, metadata, k, west, south, size.unsigned(), size.unsigned(), body))
+    return rows
+
+
+def index_images(files: DataFrame, max_maps: int | None = None) -> DataFrame:
+    """IMAGE_ROWS of files (path, content): what an indexed reader holds. Filter it, and only those images are decoded."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for file, data in zip(part["path"], part["content"]):
-                yield run_rows(bytes(data), file, max_maps)
+                yield pd.DataFrame(image_rows(bytes(data), file, max_maps), columns=[c.split()[0] for c in IMAGE_ROWS.split(", ")])
+
+    return files.select("path", "content").mapInPandas(run, IMAGE_ROWS)
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RUN_ROWS)
+def decode_images(images: DataFrame) -> DataFrame:
+    """RUN_ROWS of indexed images. Images are dealt over tasks, however many lie in one file."""
+    schema = RUN_ROWS
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for r in part.itertuples():
+                codes = decode_image(bytes(r.image))
+                if not codes.size:
+                    continue
+                new = np.ones(codes.shape, bool)
+                new[:, 1:] = codes[:, 1:] != codes[:, :-1]
+                y, x0 = np.nonzero(new)
+                size = np.diff(np.append(y * r.width + x0, codes.size))
+                yield pd.DataFrame({"file": r.file, "unit_x": r.unit_x, "unit_y": r.unit_y, "map_ord": r.map_ord, "west": r.west, "south": r.south, "width": r.width, "height": r.height, "y": y, "x0": x0, "len": size, "code": codes[y, x0]})
+
+    n = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return images.repartition(n, "file", "map_ord").mapInPandas(run, schema)
+
+
+def decode_singles(files: DataFrame) -> DataFrame:
+    """RUN_ROWS of files (path, content) of one map each."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for file, data in zip(part["path"], part["content"]):
+                s = decode_single(bytes(data), decode=False)
+                west, south, image = s["maps"][0]
+                size = Bits(image)
+                yield pd.DataFrame([(file, s["unit_x"], s["unit_y"], s["metadata"], 0, west, south, size.unsigned(), size.unsigned(), image)], columns=[c.split()[0] for c in IMAGE_ROWS.split(", ")])
+
+    return decode_images(files.select("path", "content").mapInPandas(run, IMAGE_ROWS))
+
+
+def write_map_sets(runs: DataFrame, maps: DataFrame, unit_x: int, unit_y: int, *, header: bytes, version: bytes, per_file: int = 16, side: int = 64, single: bool = False) -> DataFrame:
+    """(path, content): map sets of per_file maps each in order of map_ord; with single, a file of one map each."""
+    per_file = 1 if single else per_file
+    j = runs.join(maps, "map_ord").withColumn("path", F.format_string("%010d", F.expr(f"map_ord div {per_file}")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in pdf.groupby("map_ord", sort=True):
+            first = own.iloc[0]
+            codes = np.zeros((int(first.height), int(first.width)), np.int64)
+            for y, x0, n, code in zip(own.y, own.x0, own.len, own.code):
+                codes[y, x0 : x0 + n] = code
+            out.append((int(first.west), int(first.south), codes))
+        if single:
+            data = encode_single(*out[0], unit_x, unit_y, header=header, version=version, side=side)
+        else:
+            data = encode_set(out, unit_x, unit_y, header=header, version=version, side=side)
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [data]})
+
+    # a group is per_file maps
+    return j.groupBy("path").applyInPandas(run, "path string, content binary")
+
+
+def read_map_files(spark: SparkSession, path: str, max_maps: int | None = None) -> DataFrame:
+    """Runs of every map of every file under path, with the map's place."""
+    return decode_images(index_images(spark.read.format("binaryFile").load(path), max_maps))
