@@ -83,3 +83,11 @@ def file_flat_book(spark, sf):
     p = d.paths(spark, sf).select(F.array("l4").alias("parts"), (F.col("code") - 1).alias("idx"))
     back = b.read_books(materialize(b.write_books(p, "parts", "idx", **BOOK_TAGS, per_file=PER_BOOK, flat=True), "books"))
     return back.select(F.col("file").cast("bigint").alias("file"), "code", F.get("parts", 0).alias("text"))
+
+
+@query("file_book_relations", "paths", "WITH s AS (SELECT (code - 1) // 1000 AS file, code, unnest([l1, l2, l3, l4]) AS text FROM paths), t AS (SELECT file, count(DISTINCT text) AS texts, count(DISTINCT code) AS paths FROM s GROUP BY file), c AS (SELECT file, count(DISTINCT ch) AS tokens FROM (SELECT file, unnest(string_split(text, '')) AS ch FROM s WHERE text <> '') a GROUP BY file) SELECT file, tokens, length(bin(greatest(tokens - 1, 1)))::BIGINT AS token_bits, texts, length(bin(greatest(texts - 1, 1)))::BIGINT AS code_bits, paths, true AS fits FROM t JOIN c USING (file)")
+def file_book_relations(spark, sf):
+    """Counts and widths that the tables of each dictionary state, and whether ids reach all of what they point into."""
+    p = d.paths(spark, sf).select(F.array(*x.LEVELS).alias("parts"), (F.col("code") - 1).alias("idx"))
+    books = materialize(b.write_books(p, "parts", "idx", **BOOK_TAGS, per_file=PER_BOOK), "books")
+    return b.relations(books).withColumn("file", F.col("file").cast("bigint"))

@@ -130,11 +130,30 @@ def read_index(data: bytes) -> list[list[int]]:
     return out
 
 
-def read_book(data: bytes, encoding: str = "utf-8") -> dict:
-    """metadata, texts by code, tokens, records (token ids) and, if there is an index, paths (text codes)."""
+def book_widths(data: bytes) -> dict:
+    """Counts and bit widths by the headers of a dictionary's tables; paths and code_bits are None without an index.
+
+    fits: token ids and text codes have bits enough for the tables that they point into.
+    """
     parts = list(chunks(data))
     if [p[0] for p in parts[1:]] not in ([TOKENS, TEXTS], [TOKENS, TEXTS, INDEX]):
         raise ValueError("a dictionary's chunks are out of order")
+    tokens = Bits(parts[1][1]).unsigned()
+    src = Bits(parts[2][1])
+    texts, _, _, token_bits = (src.unsigned() for _ in range(4))
+    paths = code_bits = None
+    if len(parts) == 4:
+        src = Bits(parts[3][1])
+        _, paths, code_bits = (src.unsigned() for _ in range(3))
+    fits = token_bits >= bits_for(tokens) and (code_bits is None or code_bits >= bits_for(texts))
+    return {"tokens": tokens, "token_bits": token_bits, "texts": texts, "code_bits": code_bits, "paths": paths, "fits": fits}
+
+
+def read_book(data: bytes, encoding: str = "utf-8") -> dict:
+    """metadata, texts by code, tokens, records (token ids) and, if there is an index, paths (text codes)."""
+    if not book_widths(data)["fits"]:
+        raise ValueError("ids have fewer bits than the tables they point into need")
+    parts = list(chunks(data))
     head = Bits(parts[0][1], VERSION_BYTES)
     metadata = head.bytes(head.unsigned()).decode() or None
     tokens = read_tokens(parts[1][1])
@@ -277,6 +296,17 @@ def read_books(files: DataFrame, encoding: str = "utf-8") -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "file string, code long, parts array<string>")
 
 
+def relations(files: DataFrame) -> DataFrame:
+    """(file, tokens, token_bits, texts, code_bits, paths, fits) of dictionaries (path, content), from their headers alone."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [{"file": file} | book_widths(bytes(data)) for file, data in zip(part["path"], part["content"])]
+            yield pd.DataFrame(rows, columns=["file", "tokens", "token_bits", "texts", "code_bits", "paths", "fits"]).astype({"code_bits": "Int64", "paths": "Int64"})
+
+    return files.select("path", "content").mapInPandas(run, "file string, tokens long, token_bits long, texts long, code_bits long, paths long, fits boolean")
+
+
 def read_book_files(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     return read_books(spark.read.format("binaryFile").load(path), encoding)
 

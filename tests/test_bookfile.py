@@ -81,10 +81,27 @@ def test_model_size_is_the_files(spark):
     arrays = tm.arrays_of(spark.createDataFrame(list(enumerate(names)), "text_code long, text string"))
     assert tm.model_size(arrays) == want
     found = tm.best_pair_by_size(arrays, tried=2)
-    assert found is not None and found[2] < want
+    assert found is not None and found[2] < want and found[5] == want
+    merged, report = tm.optimize_tokens(spark.createDataFrame(list(enumerate(names)), "text_code long, text string"), max_merge=2, by_size=True, tried=2)
+    rows = report.orderBy("step").collect()
+    assert (rows[0].left, rows[0].right, rows[0].before_bytes, rows[0].after_bytes) == (found[0], found[1], want, found[2])
+    assert all(r.merged == r.left + r.right and r.after_bytes < r.before_bytes for r in rows) and all(b.before_bytes == a.after_bytes for a, b in zip(rows, rows[1:]))
+    assert tm.model_size(merged) == rows[-1].after_bytes and rows[-1].distinct_tokens == len({t for r in merged.collect() for t in r.tokens})
 
 
 def test_flat_dictionary():
     texts = ["bb", "a", "", "ccc", "a"]
     got = b.read_book(b.write_flat_book(texts, header=b"HEAD", version=b"flat/0"))
     assert got["texts"] == ["", "a", "a", "bb", "ccc"] and got["paths"] is None
+
+
+def test_widths():
+    data = b.write_book([["a", "b"], ["a", "c"]], header=b"HEAD", version=b"any/0")
+    assert b.book_widths(data) == {"tokens": 3, "token_bits": 2, "texts": 3, "code_bits": 2, "paths": 2, "fits": True}
+    flat = b.book_widths(b.write_flat_book(["bb", "a"], header=b"HEAD", version=b"flat/0"))
+    assert flat["code_bits"] is None and flat["paths"] is None and flat["fits"]
+    parts = dict(b.chunks(data))
+    narrow = b"".join(b.chunk(k, v if k != b.INDEX else b.write_index([[0, 1], [0, 1]], 1)) for k, v in parts.items())
+    assert not b.book_widths(narrow)["fits"]
+    with pytest.raises(ValueError):
+        b.read_book(narrow)

@@ -101,7 +101,10 @@ def test_token_merging(spark):
     codes = spark.createDataFrame(list(enumerate(texts)), "text_code long, text string")
     arrays, report = tm.optimize_tokens(codes, max_merge=3)
     rows, want = brute_merge(texts, 3)
-    assert [tuple(r) for r in report.orderBy("step").collect()] == want
+    got = report.orderBy("step").collect()
+    assert [(r.step, r.left, r.right, r.n, r.gain, r.tokens) for r in got] == want
+    assert all(r.merged == r.left + r.right and r.before_bytes is None and r.after_bytes is None for r in got)
+    assert got[-1].distinct_tokens == len({t for r in rows for t in r})
     assert [list(r.tokens) for r in arrays.orderBy("text_code").collect()] == rows
 
 
@@ -112,7 +115,7 @@ def test_token_merging_to_its_end(spark):
     texts = [r["text"] for r in q.codes(spark, sf).orderBy("text_code").collect()]
     want = brute_merge(texts, 1000)[1]
     assert 5 < len(want) < 1000
-    assert [tuple(r) for r in q.lex_bpe_report(spark, sf).orderBy("step").collect()] == want
+    assert [(r.step, r.left, r.right, r.n, r.gain, r.tokens) for r in q.lex_bpe_report(spark, sf).orderBy("step").collect()] == want
 
 
 def test_page_palette():
