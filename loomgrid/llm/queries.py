@@ -13,6 +13,7 @@ from .langid import language_id
 from .licenses import license_scan
 from .neardup import near_duplicates
 from .packing import best_fit_packing
+from .periodic import periodic_runs, run_digests, with_loops
 from .quality import quality_rules
 from .suffixdedup import suffix_dedup
 from .tokenfile import token_files
@@ -66,8 +67,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_loops(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_url_filters, op5_suffix_array_dedup, op6_token_files, op7_decontamination, op8_license_scan, op9_minhash_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_url_filters, op5_suffix_array_dedup, op6_token_files, op7_decontamination, op8_license_scan, op9_minhash_near_dedup, op10_toxicity, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
