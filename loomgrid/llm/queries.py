@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import decontaminate
 from .langid import language_id
 from .licenses import license_scan
+from .mixture import taken
 from .neardup import near_duplicates
 from .packing import best_fit_packing
 from .periodic import periodic_runs, run_digests, with_loops
@@ -19,6 +20,7 @@ from .suffixdedup import suffix_dedup
 from .tokenfile import token_files
 from .toxicity import toxicity
 from .urls import url_filter
+from .whitening import whiten
 
 
 def tokenizer_path(name: str) -> str:
@@ -67,12 +69,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_loops(table(spark, sf_dir, "documents"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_url_filters, op5_suffix_array_dedup, op6_token_files, op7_decontamination, op8_license_scan, op9_minhash_near_dedup, op10_toxicity, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_url_filters, op5_suffix_array_dedup, op6_token_files, op7_decontamination, op8_license_scan, op9_minhash_near_dedup, op10_toxicity, op11_source_mix, op12_embedding_whitening, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -83,4 +93,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontamination": sql.decontamination(),
         "op8_license_scan": sql.license_scan(),
         "op9_minhash_near_dedup": sql.near_duplicates(),
+        "op11_source_mix": sql.source_mix(),
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import ASCII_LOWER, ASCII_UPPER
 from .licenses import PHRASES, TEMPLATES, K, template_rows
+from .mixture import STEPS
 from .urls import LISTED, RULES, rule_text
 
 #: Words of letters and digits, and words between blanks.
@@ -97,3 +98,32 @@ c AS (SELECT page_id, CASE WHEN known THEN translate(raw, '{ASCII_UPPER}', '{ASC
   CASE WHEN known THEN regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') ELSE '' END AS path FROM b),
 d AS (SELECT page_id, host, path, {rule} AS rule, {kind} AS rule_verdict, ({listed}) AS listed FROM c)
 SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM d"""
+
+
+def source_mix(weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = 4096) -> str:
+    """op11: words that each document gives, block by block; shards don't change them."""
+    b, n = block, len(weights)
+
+    def place(k: str, turn: str) -> str:
+        rotated = ["CASE " + " ".join(f"WHEN {p} % blocks <> 0 THEN {p}" for p in (*STEPS[i:], *STEPS[:i])) + " END" for i in range(len(STEPS))]
+        step = f"CASE {turn} % {len(STEPS)} " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(rotated)) + " END"
+        return f"CASE WHEN blocks = 1 THEN 0 ELSE (({step})::BIGINT % blocks * ({k}) + no * 7919 + ({turn}) * 104729) % blocks END"
+
+    return f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{BLANK_WORD}'))::BIGINT AS size, md5(doc_id::VARCHAR) AS h FROM documents),
+s AS (SELECT source, source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS no FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
+w AS (SELECT *, ({list(weights)})[(no % {n} + 1)::INT]::DOUBLE AS weight, source_size * {most}::DOUBLE AS top FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY top / weight, no) AS rank FROM w),
+u AS (SELECT *, ((SELECT sum(source_size) FROM s) * {share}::DOUBLE - coalesce(sum(top) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM r),
+t AS (SELECT source, source_size, no, coalesce(least(top, (SELECT arg_min(unit, rank) FROM u WHERE unit * weight <= top) * weight), top) AS target FROM u),
+q AS (SELECT *, (source_size + {b - 1}) // {b} AS blocks, floor(target)::BIGINT // source_size AS passes, floor(target)::BIGINT % source_size AS rest FROM t WHERE source_size > 0),
+q1 AS (SELECT *, blocks * {b} - source_size AS lack, {place("blocks - 1", "passes")} AS short_at FROM q),
+q2 AS (SELECT *, CASE WHEN short_at < (rest + {b - 1}) // {b} THEN (rest + lack + {b - 1}) // {b} ELSE (rest + {b - 1}) // {b} END AS part FROM q1),
+q3 AS (SELECT *, CASE WHEN part > 0 THEN part * {b} - CASE WHEN short_at < part THEN lack ELSE 0 END - rest ELSE 0 END AS cut, passes * blocks + part AS draws FROM q2),
+p AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h) - size AS start FROM d),
+e AS (SELECT p.doc_id, start, size, q3.*, unnest(range(start::BIGINT // {b}, (start + size - 1)::BIGINT // {b} + 1)) AS k FROM p JOIN q3 ON p.source IS NOT DISTINCT FROM q3.source WHERE size > 0),
+f AS (SELECT *, unnest(range(0, {most})) AS pass FROM e),
+g AS (SELECT *, pass * blocks + {place("k", "pass")} AS draw FROM f),
+x AS (SELECT doc_id, greatest(0, least(start + size, least((k + 1) * {b}, source_size) - CASE WHEN draw = draws - 1 THEN cut ELSE 0 END) - greatest(start, k * {b})) AS words FROM g WHERE draw < draws),
+y AS (SELECT doc_id, sum(words)::BIGINT AS taken FROM x GROUP BY doc_id)
+SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(y.taken, 0)::BIGINT AS taken FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN y ON y.doc_id = d.doc_id"""
