@@ -44,10 +44,12 @@ def tokens(codes: DataFrame) -> DataFrame:
     return codes.select("text_code", F.posexplode(chars).alias("pos", "token")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def token_ids(toks: DataFrame) -> DataFrame:
-    """(token_id, token, n): ids by byte length, then falling frequency, then bytes."""
-    c = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.octet_length("token")).withColumn("less", -F.col("n"))
-    return with_global_index(c, ["size", "less", "token"], "token_id").select("token_id", "token", "n")
+def token_ids(toks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, token_id, token, n): ids by byte length, then falling frequency, then bytes; of each dictionary if by tells several apart."""
+    c = toks.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.octet_length("token")).withColumn("less", -F.col("n"))
+    order = ["size", "less", "token"]
+    numbered = within_groups(c, list(by), order, "token_id") if by else with_global_index(c, order, "token_id")
+    return numbered.select(*by, "token_id", "token", "n")
 
 
 def bigrams(toks: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from loomgrid.operators import lexicon as x
 from loomgrid.operators import tokenmerge as tm
-from loomgrid.plans import tables
 from loomgrid.sources import domain as d
 
 from .registry import query
@@ -115,7 +114,7 @@ def lex_merge1(spark, sf):
 @query("lex_bpe_report")
 def lex_bpe_report(spark, sf):
     """Merges until no pair gains; each step's choice rests on the one before, so SQL has no such query. Tests hold it to a plain version."""
-    return tm.optimize_tokens(codes(spark, sf), cut=tables.cut)[1]
+    return tm.optimize_tokens(codes(spark, sf), sizes=True)[1]
 
 
 @query("lex_text_bytes", "paths", f"WITH {COMP} SELECT text_code, text FROM codes WHERE text <> ''")

@@ -66,7 +66,7 @@ def test_tree(spark):
         x.tree_paths(spark.createDataFrame([(1, '[["p"]]')], "tree_id long, json string"), 2).collect()
 
 
-def brute_merge(texts, steps):
+def brute_merge(texts, steps, candidates=64):
     rows, report = [list(t) for t in texts], []
     for k in range(steps):
         n, first = Counter(), {}
@@ -74,7 +74,7 @@ def brute_merge(texts, steps):
             for p, pair in enumerate(zip(r, r[1:])):
                 n[pair] += 1
                 first.setdefault(pair, (i, p))
-        top = sorted(n, key=lambda q: (-n[q], first[q]))[:64]
+        top = sorted(n, key=lambda q: (-n[q], first[q]))[:candidates]
         gains = [(4 * n[q] - 8 * (1 + len("".join(q).encode())), n[q], *q) for q in top if len("".join(q).encode()) <= 32]
         best = max((c for c in gains if c[0] >= 1), default=None)
         if best is None:
@@ -91,23 +91,53 @@ def brute_merge(texts, steps):
                     i += 1
             out.append(new)
         rows = out
-        report.append((k, best[2], best[3], best[1], best[0], sum(map(len, rows))))
+        report.append((k, best[2], best[3], best[1], best[0], sum(map(len, rows)), len({t for r in rows for t in r})))
     return rows, report
 
 
-def test_token_merging(spark):
+def texts_for_merging():
     rng = random.Random(3)
-    texts = ["".join(rng.choice("aab") for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    odd = ["".join(rng.choice("aab") for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    words = ["".join(rng.choice(["ab", "abc", "c", "bc", "a", "é", "cab"]) for _ in range(rng.randint(0, 14))) for _ in range(90)]
+    names = [f"{rng.choice(['Customer', 'Supplier', 'Part'])}#{rng.randint(0, 9999):07d}" for _ in range(150)]
+    return {"odd": odd, "words": words, "names": names}
+
+
+@pytest.mark.parametrize("kind, candidates", [("odd", 64), ("words", 64), ("names", 64), ("words", 5), ("names", 9)])
+def test_token_merging(spark, kind, candidates):
+    """Rounds of several merges give what one merge at a time gives, whatever the number of candidates."""
+    texts = texts_for_merging()[kind]
     codes = spark.createDataFrame(list(enumerate(texts)), "text_code long, text string")
-    arrays, report = tm.optimize_tokens(codes, max_merge=3)
-    rows, want = brute_merge(texts, 3)
+    arrays, report = tm.optimize_tokens(codes, max_merge=14, cut_every=2, candidates=candidates)
+    rows, want = brute_merge(texts, 14, candidates)
     got = report.orderBy("step").collect()
-    assert [(r.step, r.left, r.right, r.n, r.gain, r.tokens) for r in got] == want
+    assert [(r.step, r.left, r.right, r.n, r.gain, r.tokens, r.distinct_tokens) for r in got] == want and len(got) > 3
     assert all(r.merged == r.left + r.right and r.before_bytes is None and r.after_bytes is None for r in got)
-    assert got[-1].distinct_tokens == len({t for r in rows for t in r})
     assert [list(r.tokens) for r in arrays.orderBy("text_code").collect()] == rows
 
 
+def test_merges_of_a_round():
+    pair = lambda a, b, n, gain, rank=1: tm.Candidate(a, b, n, gain, rank)
+    far = [pair("a", "b", 90, 300), pair("c", "d", 80, 280, 2), pair("b", "e", 70, 240, 3)]
+    assert tm.safe_prefix(far, 64, 0) == far[:2]  # the third has the first one's right part
+    assert tm.safe_prefix(far, 64, 0, {"ab"}) == far[:1]  # its token is there already
+    assert tm.safe_prefix(far, 64, 79) == far[:1]  # a pair from outside could gain more
+    assert tm.safe_prefix(far, 1, 0) == far[:1] and tm.safe_prefix([], 64, 0) == []
+    assert tm.safe_prefix([pair("a", "a", 90, 300), far[1]], 64, 0) == [pair("a", "a", 90, 300)]
+    assert tm.safe_prefix([pair("a", "bc", 90, 300), pair("ab", "c", 80, 280, 2), pair("x", "y", 70, 240, 3)], 64, 0) == [pair("a", "bc", 90, 300), pair("ab", "c", 80, 280, 2)]
+
+
+def test_sizes_of_all_steps(spark):
+    """The report's bytes are those of each step's own model."""
+    texts = texts_for_merging()["words"]
+    codes = spark.createDataFrame(list(enumerate(texts)), "text_code long, text string")
+    got = tm.optimize_tokens(codes, max_merge=6, sizes=True)[1].orderBy("step").collect()
+    assert len(got) == 6 and all(a.after_bytes == b.before_bytes for a, b in zip(got, got[1:]))
+    for k in (0, 3, 6):
+        arrays = tm.optimize_tokens(codes, max_merge=k)[0]
+        assert tm.model_size(arrays) == (got[k].before_bytes if k < 6 else got[5].after_bytes)
+
+
 def test_token_merging_to_its_end(spark):
     from loomgrid.plans import lexicon_queries as q
 
@@ -115,7 +145,10 @@ def test_token_merging_to_its_end(spark):
     texts = [r["text"] for r in q.codes(spark, sf).orderBy("text_code").collect()]
     want = brute_merge(texts, 1000)[1]
     assert 5 < len(want) < 1000
-    assert [(r.step, r.left, r.right, r.n, r.gain, r.tokens) for r in q.lex_bpe_report(spark, sf).orderBy("step").collect()] == want
+    got = q.lex_bpe_report(spark, sf).orderBy("step").collect()
+    assert [(r.step, r.left, r.right, r.n, r.gain, r.tokens, r.distinct_tokens) for r in got] == want
+    assert got[-1].after_bytes < got[0].before_bytes and all(a.after_bytes == b.before_bytes for a, b in zip(got, got[1:]))
+    assert tm.optimize_tokens(spark.createDataFrame([], "text_code long, text string"))[1].count() == 0
 
 
 def test_page_palette():
