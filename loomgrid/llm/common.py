@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomgrid.plans.tables import drop_since, made, materialize, new_path  # noqa: F401
 
@@ -21,6 +23,10 @@ FOLDS_TO_ASCII = ("K", "İ")
 SLICE_BYTES = 2 << 20
 
 
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
 #: What a Python worker drops when a task ends.
 AT_END: list[Callable[[], None]] = []
 
@@ -58,29 +64,30 @@ def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return max(conf, -(-input_bytes(df) // bytes_each))
 
 
-def bounded_rows(df: DataFrame, most: int, most_bytes: int = 1 << 40, text: str | None = None) -> list[Row]:
+def bounded_rows(df: DataFrame, most: int, most_bytes: int = 1 << 40, text: str | None = None, stratum: str | None = None) -> list[Row]:
     """Rows of df, chosen and ordered by a hash of all their columns: at most `most`, of at most most_bytes in column text.
 
-    Equal rows count once. What is too long for the bytes that are left is passed over. Only hashes and sizes of about
-    `most` rows come to the driver before the rows themselves do.
+    Equal rows count once, so a table of few distinct rows gives each of them. With a stratum, its values take turns, so that
+    a rare one has all its rows before a common one has more. What is too long for the bytes that are left is passed
+    over. Only hashes and sizes of about `most` rows come to the driver before the rows themselves do.
     """
-    spark = df.sparkSession
-    n = df.count()
-    if not n:
-        return []
     hashed = df.withColumn("__h", F.xxhash64(*df.columns))
-    if n > most:
-        hashed = hashed.where(F.pmod("__h", F.lit(1 << 40)) < int(most / n * (1 << 40)))
     size = F.octet_length(text) if text else F.lit(0)
+    found = hashed.groupBy("__h").agg(F.max(size).alias("n"), F.min(stratum if stratum else F.lit(0)).alias("s"))
+    if stratum:
+        found = found.withColumn("turn", F.row_number().over(Window.partitionBy("s").orderBy("__h"))).where(F.col("turn") <= most)
+        found = found.orderBy("turn", "__h")
+    else:
+        found = found.orderBy("__h")
     left, picked = most_bytes, []
-    for r in hashed.groupBy("__h").agg(F.max(size).alias("n")).orderBy("__h").limit(most).collect():
+    for r in found.limit(most).collect():
         if (r["n"] or 0) <= left:
             picked.append((r["__h"],))
             left -= r["n"] or 0
     if not picked:
         return []
     # at most `most` numbers
-    chosen = hashed.join(F.broadcast(spark.createDataFrame(picked, "__h long")), "__h", "left_semi").dropDuplicates(["__h"])
+    chosen = hashed.join(F.broadcast(df.sparkSession.createDataFrame(picked, "__h long")), "__h", "left_semi").dropDuplicates(["__h"])
     return sorted(chosen.collect(), key=lambda r: r["__h"])
 
 
@@ -113,6 +120,48 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return h ^ (h >> np.uint64(33))
+
+
+#: Words are hashed eight bytes at a time up to this length; a longer one by a digest of its own.
+LONG_WORD = 512
+
+
+def word_hashes(raw: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the rows with A-Z lowered, and n + 1 offsets of the rows among the words.
+
+    inside: by byte, whether it belongs to a word. A word's eight bytes at a time go through a mixing function, its length
+    first, so words of like structure have unlike hashes.
+    """
+    n = len(raw)
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = _LOW[raw]
+    own = inside[low[:n]]
+    begin, stop = own.copy(), own.copy()
+    begin[1:] &= ~own[:-1]
+    stop[:-1] &= ~own[1:]
+    full = np.diff(offs) > 0
+    heads, tails = offs[:-1][full], offs[1:][full] - 1
+    begin[heads], stop[tails] = own[heads], own[tails]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    size = ends - starts
+    eight = np.ndarray((n + 1,), "<u8", low.data, strides=(1,))
+    h = mixed(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x517CC1B727220A95))
+    who = np.arange(len(size))
+    for at in range(0, LONG_WORD, 8):
+        part = eight[starts[who] + at] & _FIRST_BYTES[np.minimum(size[who] - at, 8)]
+        h[who] = mixed((h[who] ^ part) * np.uint64(0x9FB21C651E98DF25) + np.uint64(0xA0761D6478BD642F))
+        who = who[size[who] > at + 8]
+        if not len(who):
+            break
+    for k in who.tolist():
+        h[k] = np.frombuffer(hashlib.blake2b(low[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return h, np.searchsorted(starts, offs)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in order, in batches of about `most` bytes of text (one row at least)."""
     for batch in batches:

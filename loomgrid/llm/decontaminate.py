@@ -26,14 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import AT_END, gathered, materialize, text_bytes, tidy
+from .common import AT_END, gathered, materialize, text_bytes, tidy, word_hashes
 
 WINDOW = 13
 SAMPLE = 16
 _WORD = np.ones(256, bool)
 _WORD[0:48] = _WORD[58:97] = _WORD[123:128] = False
-_LOW = np.arange(256, dtype=np.uint8)
-_LOW[65:91] += 32
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _powers: list[np.ndarray] = []
@@ -48,27 +46,6 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of the rows, and n + 1 offsets of the rows among the words."""
-    raw = _LOW[raw]
-    inside = _WORD[raw]
-    begin = inside.copy()
-    begin[1:] &= ~inside[:-1]
-    heads = offs[:-1][np.diff(offs) > 0]
-    begin[heads] = inside[heads]
-    stop = inside.copy()
-    stop[:-1] &= ~inside[1:]
-    tails = offs[1:][np.diff(offs) > 0] - 1
-    stop[tails] = inside[tails]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    h ^= h >> np.uint64(32)
-    return h * np.uint64(0xD6E8FEB86659FD93), np.searchsorted(starts, offs)
-
-
 class Vocabulary:
     """Word hash to number, from 1; 0 for other words."""
 
@@ -211,7 +188,7 @@ def phrases(items: list[tuple[str, str]], window: int = WINDOW) -> Phrases | Non
     raw, offs = text_bytes(pa.array([t for _, t in items], pa.string()))
     if not len(raw):
         return None
-    h, rows = word_hashes(raw, offs)
+    h, rows = word_hashes(raw, offs, _WORD)
     if not len(h):
         return None
     vocabulary = Vocabulary(h)
@@ -244,7 +221,7 @@ def scan(column: pa.Array, p: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarr
     none = np.zeros(0, np.int64)
     if not len(raw):
         return np.zeros(n, np.int64), none, none, none, none, none
-    h, rows = word_hashes(raw, offs)
+    h, rows = word_hashes(raw, offs, _WORD)
     del raw
     numbers = p.vocabulary.numbers(h)
     # a separator before each document, then one for each run of foreign words
@@ -295,7 +272,7 @@ def find_block(rows: DataFrame, block: Phrases | None, carry: Sequence[str] = ()
             text, n = part["text"].combine_chunks(), part.num_rows
             if p is None:
                 raw, offs = text_bytes(text)
-                n_words = np.diff(word_hashes(raw, offs)[1]) if len(raw) else np.zeros(n, np.int64)
+                n_words = np.diff(word_hashes(raw, offs, _WORD)[1]) if len(raw) else np.zeros(n, np.int64)
                 srow = first = size = irow = np.zeros(0, np.int64)
                 names = pa.array([], pa.string())
             else:

@@ -5,11 +5,11 @@ Decoding sums each bit's logistic loss, weighted by how well that bit was learne
 codeword of the least loss. Where the runner-up is nearly as near, the text is marked ambiguous.
 
 Learned on the driver in numpy from at most max_labelled labelled rows of at most max_bytes of text, chosen by a hash of
-the row; every text is scored in Arrow batches, in slices of bounded size.
+the row, languages in turns, so that a rare one is learned too; every text is scored in Arrow batches, in slices of bounded size.
 
 Defined results: a null text or one without a letter is 'und' with score 0; labels that are null don't teach; repeated
 rows each get a row and teach once; null doc_id stays null and counts as the empty string in the fold; other columns are
-dropped, also those named like a result; if nothing can be learned, every text is 'und'. A very long text is one slice of
+dropped, also those named like a result; if nothing can be learned, every text is 'und'; an empty table gives no rows. A very long text is one slice of
 its own, scored whole, in memory of some times its size. Of equally near codewords the language first in the alphabet is
 taken; its gap is 0, so the text is ambiguous.
 """
@@ -124,9 +124,9 @@ def train(x: np.ndarray, labels: list[str], *, bits: int | None = None, steps: i
 
 
 def labelled_texts(docs: DataFrame, max_labelled: int, max_bytes: int) -> tuple[list[str], list[str]]:
-    """Labelled texts outside the held-out fold, at most max_labelled and max_bytes of them, chosen by a hash of the row."""
+    """Labelled texts outside the held-out fold, at most max_labelled and max_bytes of them, chosen by a hash of the row; languages take turns."""
     teach = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2)).select("doc_id", "text", "lang")
-    rows = bounded_rows(teach, max_labelled, max_bytes, "text")
+    rows = bounded_rows(teach, max_labelled, max_bytes, "text", "lang")
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 

@@ -7,36 +7,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-from .common import text_bytes
-from .decontaminate import powers
+from .common import mixed, text_bytes, word_hashes
 
 _WORD = np.ones(256, bool)
 _WORD[9:14] = _WORD[32] = False
-_LOW = np.arange(256, dtype=np.uint8)
-_LOW[65:91] += 32
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
-
-
-def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each blank-separated word with A-Z lowered, and n + 1 offsets of the rows among the words."""
-    raw = _LOW[raw]
-    inside = _WORD[raw]
-    full = np.diff(offs) > 0
-    heads, tails = offs[:-1][full], offs[1:][full] - 1
-    begin, stop = inside.copy(), inside.copy()
-    begin[1:] &= ~inside[:-1]
-    stop[:-1] &= ~inside[1:]
-    begin[heads], stop[tails] = inside[heads], inside[tails]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    return _mix((total[ends] - total[starts]) * down[starts]), np.searchsorted(starts, offs)
 
 
 def shingle_hashes(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +19,7 @@ def shingle_hashes(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]
     n = len(offs) - 1
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    w, rows = word_hashes(raw, offs)
+    w, rows = word_hashes(raw, offs, _WORD)
     count = np.diff(rows)
     h = np.zeros(len(w), np.uint64)
     seed = np.full(len(w), 0x51_7C_C1_B7_27_22_0A_95, np.uint64)
@@ -53,7 +27,7 @@ def shingle_hashes(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]
     for j in range(size):  # short rows stop at their end, so length is part of the hash
         at = np.arange(len(w)) + j
         ok = at < np.repeat(rows[1:], count)
-        seed = np.where(ok, _mix(seed * odd + w[np.minimum(at, len(w) - 1)]), seed)
+        seed = np.where(ok, mixed(seed * odd + w[np.minimum(at, len(w) - 1)]), seed)
         h = seed
     keep = np.arange(len(w)) <= np.repeat(np.maximum(rows[1:] - size, rows[:-1]), count)
     made = np.where(count > 0, np.maximum(count - size + 1, 1), 0)

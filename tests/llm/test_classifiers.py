@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,18 @@ def test_sample_is_bounded(spark):
     assert len(bounded_rows(df, 10_000)) == 2001 and bounded_rows(df.limit(0), 5) == []
 
 
+def test_sample_of_few_distinct_rows(spark):
+    """Rows that repeat very often are each there, whatever their number."""
+    df = spark.range(16_000).selectExpr("id % 2 AS k", "IF(id % 2 = 0, 'yes', 'no') AS text")
+    assert sorted((r.k, r.text) for r in bounded_rows(df, 3000)) == [(0, "yes"), (1, "no")]
+
+
+def test_rare_stratum(spark):
+    df = spark.range(20_000).selectExpr("id", "CASE WHEN id % 5000 = 0 THEN 'rare' WHEN id % 3 = 0 THEN 'b' ELSE 'a' END AS lang")
+    got = Counter(r.lang for r in bounded_rows(df, 300, stratum="lang"))
+    assert got == {"rare": 4, "a": 148, "b": 148}
+
+
 def test_cut_line():
     s = np.array([3.0, 2, 1, 0, -1, -2])
     assert cut_line(s, np.array([True, True, False, False, False, False]), 5.0) == 1.5

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from brute import WORD, low
 
-from loomgrid.llm.common import table
+from loomgrid.llm.common import table, word_hashes
 from loomgrid.llm.decontaminate import FMIndex, decontaminate
 
 
@@ -91,3 +91,34 @@ def test_larger_tables(spark):
     want = brute([(r.doc_id, r.text) for r in docs.collect()], [(str(r.item_id), r.text) for r in bench.collect()])
     got = sorted((tuple(r)[:6] for r in decontaminate(docs, bench).collect()), key=str)
     assert got == sorted(want, key=str)
+
+
+def twins(n=2048):
+    """A Thue-Morse word of two letters and its complement: a polynomial in a power of two can't tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_like_structure(spark):
+    a, b = twins()
+    docs = spark.createDataFrame([(1, f"{a} one two"), (2, f"{b} one two")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, a)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate(docs, items).collect()} == {1: 1, 2: 0}
+
+
+def test_word_hashes():
+    """Equal words have equal hashes wherever they stand, and unlike ones don't meet, at any length."""
+    rng = random.Random(3)
+    inside = np.ones(256, bool)
+    inside[32] = False
+    words = [*twins(), *twins(500), *twins(16)] + [rng.choice("ab") * n for n in (1, 7, 8, 9, 16, 511, 512, 513, 520, 3000)] + ["".join(rng.choice("ab") for _ in range(n)) for n in range(1, 600, 7)]
+    rows = [" ".join(rng.sample(words, 9)) + " " * rng.randint(0, 3) for _ in range(200)] + ["", " "]
+    raw = [r.encode() for r in rows]
+    h, at = word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), inside)
+    seen = {}
+    for k, r in enumerate(rows):
+        own = r.split()
+        assert len(own) == at[k + 1] - at[k]
+        for w, x in zip(own, h[at[k] : at[k + 1]].tolist()):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)

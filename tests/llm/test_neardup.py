@@ -134,3 +134,11 @@ def test_large_sets_across_components(spark):
         docs.append((k, " ".join(own)))
     assert run(spark, docs, block=8, set_size=2048) == brute(docs)
     assert run(spark, docs, block=8) == brute(docs)
+
+
+def test_words_of_like_structure(spark):
+    """Two words that a polynomial modulo a power of two takes for one make no link."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    docs = [(k, "".join("ab"[b ^ k] for b in bits) + " one two three four") for k in range(2)]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1}
