@@ -51,10 +51,14 @@ class Atlas:
         r = r.withColumn("b", F.explode(F.sequence(floor_div(F.col("x0"), n), floor_div(F.col("x1") - 1, n))))
         return r.select("map_ord", "y", "b", F.greatest("x0", F.col("b") * n).alias("x0"), F.least("x1", (F.col("b") + 1) * n).alias("x1"), "code")
 
-    def index(self, maps: DataFrame | None = None) -> DataFrame:
+    def pieces_for(self, rects: DataFrame) -> DataFrame:
+        """global_runs() of the maps that the rectangles may meet."""
+        return self.global_runs(self.touching(rects))
+
+    def index(self, pieces: DataFrame | None = None) -> DataFrame:
         """By (y, b): the pieces of runs in storage order."""
         piece = F.struct(F.col("map_ord").alias("o"), F.col("x0").alias("a"), F.col("x1").alias("z"), F.col("code").alias("c"))
-        return self.global_runs(maps).groupBy(F.col("y").alias("iy"), F.col("b").alias("ib")).agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+        return (self.global_runs() if pieces is None else pieces).groupBy(F.col("y").alias("iy"), F.col("b").alias("ib")).agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
 
     def _at(self, x: Column) -> Column:
         return F.filter("pieces", lambda p: (p["a"] <= x) & (x < p["z"]))
@@ -85,7 +89,7 @@ class Atlas:
         strips = strips.select(key, "y", "b", F.greatest("rx", F.col("b") * n).alias("xa"), (F.least(F.col("rx") + F.col("w"), (F.col("b") + 1) * n) - 1).alias("xz"))
         # one request may be the whole grid: its strips are dealt before they are expanded
         strips = strips.repartition(int(rects.sparkSession.conf.get("spark.sql.shuffle.partitions")), "y", "b")
-        j = strips.join(small(self.index(self.touching(rects))), (F.col("y") == F.col("iy")) & (F.col("b") == F.col("ib")), "left")
+        j = strips.join(small(self.index(self.pieces_for(rects))), (F.col("y") == F.col("iy")) & (F.col("b") == F.col("ib")), "left")
         none = F.array().cast("array<struct<o:bigint,a:bigint,z:bigint,c:bigint>>")
         j = j.withColumn("set", F.coalesce(F.filter("pieces", lambda p: p["c"] != 0), none))
         last = lambda x: F.coalesce(F.try_element_at(F.filter("set", lambda p: (p["a"] <= x) & (x < p["z"])), F.lit(-1))["c"], F.lit(0))

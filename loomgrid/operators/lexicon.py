@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgrid.plans.checked import write_checked
 from loomgrid.plans.ranks import running, with_global_index, within_groups
+from loomgrid.plans.tables import materialize
 
 PAGE = 128
 LEVELS = ("l1", "l2", "l3", "l4")
@@ -168,16 +170,85 @@ def cluster_order(toks: DataFrame, codes: DataFrame) -> DataFrame:
     return within_groups(j, ["n_tokens"], order, "at").select("n_tokens", "text_code", "at")
 
 
+def tree_nodes(paths: DataFrame, levels: Sequence[str] = LEVELS) -> DataFrame:
+    """(id, parent, position, name) of the trees that paths spell out: a node for each distinct prefix.
+
+    A node's id is its depth and the least code below it, its position that code; roots have no parent.
+    """
+    depth_of = 1 << 48
+    nodes = None
+    for d in range(1, len(levels) + 1):
+        prefix = list(levels[:d])
+        own = paths.groupBy(*prefix).agg(F.min("code").alias("position"))
+        if d == 1:
+            own = own.withColumn("above", F.lit(None).cast("bigint"))
+        else:
+            above = paths.groupBy(*prefix[:-1]).agg(F.min("code").alias("above"))
+            own = own.join(above, prefix[:-1])
+        own = own.select((F.lit(d * depth_of) + F.col("position")).alias("id"), (F.lit((d - 1) * depth_of) + F.col("above")).alias("parent"), "position", F.col(levels[d - 1]).alias("name"))
+        nodes = own if nodes is None else nodes.unionByName(own)
+    return nodes
+
+
+def walk_tree(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """(id, path, parts, leaf) of nodes (id, parent, position, name): positions and names from the root down to each.
+
+    path sorts nodes depth first. Each level is a join of the nodes with the level above, so a tree of any shape is walked
+    in as many steps as it is deep, and no tree is one row. A node that no root leads to (a missing parent or a circle)
+    is an error, as is a tree deeper than max_depth.
+    """
+    nodes = materialize(nodes.select("id", "parent", "position", "name"), "nodes")
+    parents = nodes.where("parent is not null").select(F.col("parent").alias("id")).distinct()
+    level = materialize(nodes.where("parent is null").select("id", F.array("position").alias("path"), F.array("name").alias("parts")), "level")
+    walked, seen = level, level.count()
+    for _ in range(max_depth):
+        above = level.select(F.col("id").alias("parent"), "path", "parts")
+        level = materialize(nodes.join(above, "parent").select("id", F.concat("path", F.array("position")).alias("path"), F.concat("parts", F.array("name")).alias("parts")), "level")
+        n = level.count()
+        if not n:
+            break
+        walked, seen = walked.unionByName(level), seen + n
+    else:
+        raise ValueError("a tree is deeper than max_depth")
+    if seen != nodes.count():
+        raise ValueError("nodes without a way to a root")
+    return walked.join(parents.withColumn("leaf", F.lit(False)), "id", "left").select("id", "path", "parts", F.coalesce("leaf", F.lit(True)).alias("leaf"))
+
+
 def tree_paths(trees: DataFrame, depth: int) -> DataFrame:
     """(tree_id, path, parts) of [name, [children]] trees in column json, depth first; '' fills no level: a branch that ends early is an error.
 
     Levels are unrolled: depth is a property of the format, so the plan is fixed.
     """
     cur = trees.select("tree_id", F.parse_json("json").alias("v"), F.array().cast("array<int>").alias("path"), F.array().cast("array<string>").alias("parts"))
-    for d in range(depth):
-        cur.createOrReplaceTempView("__tree_level")
-        kids = cur.sparkSession.sql("SELECT tree_id, path, parts, c.pos AS pos, c.value AS node FROM __tree_level, LATERAL variant_explode_outer(v) AS c")
-        name = F.try_variant_get("node", "$[0]", "string")
+    for _ in range(depth):
+        kids = cur.lateralJoin(cur.sparkSession.tvf.variant_explode_outer(F.col("v").outer())).select("tree_id", "path", "parts", "pos", F.col("value").alias("node"))
+        name = F.try_variant_get("node", F.lit("$[0]"), "string")
         ok = F.when(name.isNotNull(), name).otherwise(F.raise_error(F.lit("a branch ends above the tree's depth")))
-        cur = kids.select("tree_id", F.try_variant_get("node", "$[1]", "variant").alias("v"), F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), F.concat("parts", F.array(ok)).alias("parts"))
+        cur = kids.select("tree_id", F.try_variant_get("node", F.lit("$[1]"), "variant").alias("v"), F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), F.concat("parts", F.array(ok)).alias("parts"))
     return cur.select("tree_id", "path", "parts")
+
+
+def coded_slots(paths: DataFrame, codes: DataFrame, levels: Sequence[str] = LEVELS) -> DataFrame:
+    """(code, pos, text_code) of every slot; text_code is null where no text of codes is the slot's."""
+    slots = paths.select("code", F.posexplode(F.array(*levels)).alias("pos", "text"))
+    return slots.join(codes.select("text", "text_code"), "text", "left").select("code", "pos", "text_code")
+
+
+def stored_slots(paths: DataFrame, codes: DataFrame, path: str, levels: Sequence[str] = LEVELS) -> dict[str, int]:
+    """Writes coded_slots() and returns its counts, which must hold: each slot has a text (once), each code fits the width of the texts' number, and paths are numbered from 1 without a gap.
+
+    The counts are made by the write itself. What breaks a relation leaves no table, and is an error.
+    """
+    texts = codes.count()
+    kept = {
+        "slots": (F.count(F.lit(1)), None),
+        "records": (F.count_if(F.col("pos") == 0), None),
+        "last": (F.coalesce(F.max("code"), F.lit(0)), "records"),
+        "first": (F.coalesce(F.min("code"), F.lit(1)), 1),
+        "missing": (F.count_if(F.col("text_code").isNull()), 0),
+        "beyond": (F.count_if((F.col("text_code") >= texts) | (F.col("text_code") < 0)), 0),
+        "code_sum": (F.coalesce(F.sum(F.when(F.col("pos") == 0, F.col("code"))), F.lit(0)), "triangle"),
+    }
+    found = write_checked(coded_slots(paths, codes, levels), path, kept, lambda m: {"triangle": m["records"] * (m["records"] + 1) // 2, "slots": m["records"] * len(levels)})
+    return found | {"texts": texts}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions import grid as g
 from loomgrid.operators.atlas import Atlas
+from loomgrid.operators.atlas import Atlas
 from loomgrid.sources import domain as d
 
 from .registry import query
@@ -84,13 +85,19 @@ def rect_from_float(spark, sf):
     return boxes(spark, sf).select("event_id", g.rect_of_floats(F.col("lon"), F.col("lat"), F.col("fw"), F.col("fh"), U, U).alias("r")).select("event_id", "r.*")
 
 
+#: Rectangles are paired with the maps that come this near to them.
+NEAR = 8
+
+
 def rects_and_maps(spark, sf):
-    """Each rectangle beside ten maps."""
-    r = sw_rects(spark, sf).withColumn("map_ord", F.explode(F.sequence(F.expr("rect_id div 20"), F.expr("rect_id div 20 + 9"))))
-    return r.join(d.maps(spark, sf), "map_ord")
+    """Each rectangle beside the maps that it meets or nearly meets."""
+    r = sw_rects(spark, sf)
+    wide = r.select("rect_id", (F.col("x") - NEAR).alias("x"), (F.col("y") - NEAR).alias("y"), (F.col("w") + 2 * NEAR).alias("w"), (F.col("h") + 2 * NEAR).alias("h"))
+    pairs = Atlas(d.maps(spark, sf), d.runs(spark, sf)).touching_each(wide)
+    return pairs.join(r, "rect_id").join(d.maps(spark, sf), "map_ord")
 
 
-RM = "rm AS (SELECT r.*, m.map_ord, m.west, m.south, m.width, m.height FROM (SELECT *, rect_id//20 + unnest(generate_series(0, 9)) AS near FROM sw_rects) r JOIN maps m ON m.map_ord = r.near)"
+RM = f"rm AS (SELECT r.*, m.map_ord, m.west, m.south, m.width, m.height FROM sw_rects r JOIN maps m ON m.west < r.x+r.w+{NEAR} AND r.x-{NEAR} < m.west+m.width AND m.south < r.y+r.h+{NEAR} AND r.y-{NEAR} < m.south+m.height)"
 
 
 def sides():
@@ -194,12 +201,20 @@ def hsv_ramp(spark, sf):
     return k.select("k", g.hsv_to_rgb(F.col("k") / 60.0, F.lit(0.75), F.lit(0.9)).alias("c")).select("k", "c.*")
 
 
-@query("text_encoding", "paths", "SELECT code, strlen(l4)::BIGINT AS utf8_bytes, (length(l4)*2)::BIGINT AS utf16_bytes, hex(encode(l4)) AS utf8_hex, hex(encode(l4)) AS cp932_hex FROM paths")
+#: Characters beyond ASCII that names end in here, and their bytes in CP932 and UTF-16. Fixed values.
+TAILS = (("", "", ""), ("京", "8B9E", "AC4E"), ("ア", "8341", "A230"), ("ｱ±", "B1817D", "71FFB100"))
+NAME = "l4 || CASE code % 4 " + " ".join(f"WHEN {k} THEN '{t}'" for k, (t, _, _) in enumerate(TAILS)) + " END"
+WIDE = "regexp_replace(hex(encode(l4)), '(..)', '\\100', 'g') || CASE code % 4 " + " ".join(f"WHEN {k} THEN '{t}'" for k, (_, _, t) in enumerate(TAILS)) + " END"
+NARROW = "hex(encode(l4)) || CASE code % 4 " + " ".join(f"WHEN {k} THEN '{t}'" for k, (_, t, _) in enumerate(TAILS)) + " END"
+
+
+@query("text_encoding", "paths", f"SELECT code, strlen({NAME})::BIGINT AS utf8_bytes, (length({NAME})*2)::BIGINT AS utf16_bytes, hex(encode({NAME})) AS utf8_hex, {WIDE} AS utf16_hex, {NARROW} AS cp932_hex, {NAME} AS back FROM paths")
 def text_encoding(spark, sf):
-    """Names in three encodings; these names are ASCII, which two of them write alike."""
-    p, l4 = d.paths(spark, sf), F.col("l4")
+    """Names in three encodings, and read back from the third; three in four end in characters beyond ASCII."""
+    tail = F.get(F.array(*[F.lit(t) for t, _, _ in TAILS]), (F.col("code") % 4).cast("int"))
+    p, l4 = d.paths(spark, sf).withColumn("l4", F.concat("l4", tail)), F.col("l4")
     sizes = [F.length(g.encoded(l4, e)).cast("bigint").alias(n) for e, n in (("utf8", "utf8_bytes"), ("utf-16-le", "utf16_bytes"))]
-    return p.select("code", *sizes, *[F.hex(g.encoded(l4, e)).alias(n) for e, n in (("utf8", "utf8_hex"), ("cp932", "cp932_hex"))])
+    return p.select("code", *sizes, *[F.hex(g.encoded(l4, e)).alias(n) for e, n in (("utf8", "utf8_hex"), ("utf-16-le", "utf16_hex"), ("cp932", "cp932_hex"))], g.decoded(g.encoded(l4, "cp932"), "cp932").alias("back"))
 
 
 @query("block_index", "gpts", "SELECT event_id, (x//16)::BIGINT AS bx, (y//16)::BIGINT AS by_, (x//16 + (y//16)*1000)::BIGINT AS block FROM gpts")

@@ -8,6 +8,7 @@ from loomgrid.operators import lexicon as x
 from loomgrid.operators import tokenmerge as tm
 from loomgrid.sources import domain as d
 
+from .ranks import with_global_index
 from .registry import query
 
 #: Texts of whole dictionaries are short; the components of the customer table are.
@@ -32,20 +33,8 @@ def lex_paths(spark, sf):
 
 @query("lex_tree_paths", "paths", "SELECT n, l1, l2, l3 FROM (SELECT l1, l2, l3, row_number() OVER (ORDER BY a, b, c) - 1 AS n FROM (SELECT l1, l2, l3, min(code) AS c, min(min(code)) OVER (PARTITION BY l1, l2) AS b, min(min(code)) OVER (PARTITION BY l1) AS a FROM paths GROUP BY l1, l2, l3) s) t")
 def lex_tree_paths(spark, sf):
-    """Paths put into one [name, [children]] tree, and walked back depth first."""
-    p = d.paths(spark, sf).groupBy("l1", "l2", "l3").agg(F.min("code").alias("c"))
-    quoted = lambda c: F.to_json(F.array(c))
-
-    def wrap(df, name, order, kids=None):
-        body = quoted(F.col(name)) if kids is None else F.concat(F.lit("["), F.regexp_extract(quoted(F.col(name)), r"^\[(.*)\]$", 1), F.lit(",["), kids, F.lit("]]"))
-        return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), body.alias("j")))), lambda s: s["j"]), ",")
-
-    l3 = p.groupBy("l1", "l2").agg(wrap(p, "l3", "c").alias("kids"), F.min("c").alias("c"))
-    l2 = l3.groupBy("l1").agg(wrap(l3, "l2", "c", F.col("kids")).alias("kids"), F.min("c").alias("c"))
-    tree = l2.agg(F.concat(F.lit("["), wrap(l2, "l1", "c", F.col("kids")), F.lit("]")).alias("json")).select(F.lit(0).alias("tree_id"), "json")
-    walked = x.tree_paths(tree, 3)
-    from loomgrid.plans.ranks import with_global_index
-
+    """The tree of the paths' upper levels, a row a node, walked from its roots, and its leaves numbered depth first."""
+    walked = x.walk_tree(x.tree_nodes(d.paths(spark, sf), x.LEVELS[:3])).where("leaf")
     return with_global_index(walked, ["path"], "n").select("n", *[F.get("parts", i).alias(f"l{i + 1}") for i in range(3)])
 
 
@@ -229,12 +218,3 @@ def lex_token_table_size(spark, sf):
 def lex_stream_size(spark, sf):
     """Bytes of each page's record stream; folds a palette, so tests hold it to the encoder's own output."""
     return tm.stream_bits(records(spark, sf), x.token_ids(toks(spark, sf)))
-
-
-@query("lex_relation_check", "paths", f"WITH {COMP} SELECT count(*) AS texts, count(DISTINCT text) AS names, 0::BIGINT AS bad_slots FROM codes")
-def lex_relation_check(spark, sf):
-    """Every slot of every path has a text, and texts are distinct."""
-    c = codes(spark, sf)
-    slots = d.paths(spark, sf).select(F.explode(F.array(*x.LEVELS)).alias("text"))
-    bad = slots.join(c.select("text"), "text", "left_anti").agg(F.count(F.lit(1)).alias("bad_slots"))
-    return c.agg(F.count(F.lit(1)).alias("texts"), F.count_distinct("text").alias("names")).join(bad)

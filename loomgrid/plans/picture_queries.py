@@ -74,7 +74,12 @@ for _w in (2, 3):
     query(f"edge_dilate_{_w}", "maps cells", f"WITH {MASK}, {_grown(_w)} SELECT map_ord, img_x, img_y FROM grown")(_dilated)
 
 
-@query("edge_image", "maps cells", f"WITH {MASK} SELECT o.map_ord, o.x AS img_x, o.height - 1 - o.y AS img_y, 0::INTEGER AS r, 0::INTEGER AS g, 0::INTEGER AS b, (CASE WHEN m.img_x IS NULL THEN 0 ELSE 255 END)::INTEGER AS a FROM one o LEFT JOIN mask m ON m.map_ord = o.map_ord AND m.img_x = o.x AND m.img_y = o.height - 1 - o.y")
+ON = f"{ALL}, {EDGE}, m0 AS (SELECT *, coalesce(e <> code, false) OR coalesce(n <> code, false) AS m FROM en)"
+#: An edge two wide grows to the right and down: a pixel is on if it, its left neighbour or one of the row above is.
+ON2 = f"{ON}, m1 AS (SELECT *, m OR coalesce(lag(m) OVER (PARTITION BY map_ord, y ORDER BY x), false) AS mx FROM m0), m2 AS (SELECT *, mx OR coalesce(lead(mx) OVER (PARTITION BY map_ord, x ORDER BY y), false) AS mxy FROM m1)"
+
+
+@query("edge_image", "maps cells", f"WITH {ON} SELECT map_ord, x AS img_x, height - 1 - y AS img_y, 0::INTEGER AS r, 0::INTEGER AS g, 0::INTEGER AS b, (CASE WHEN m THEN 255 ELSE 0 END)::INTEGER AS a FROM m0")
 def edge_image(spark, sf):
     return v.edge_image(every(spark, sf), F.col("width"), F.col("height"), v.Edge(include_zero=True), *SIZED).drop("width", "height")
 
@@ -89,7 +94,7 @@ def fill_resolver(spark, sf):
     return v.fill(every(spark, sf), F.col("height"), v.Fill({0: (0, 0, 255, 255)}, resolve, DEFAULT), "map_ord")
 
 
-@query("image_compose", "maps cells", f"WITH {MASK}, {_grown(2)} SELECT o.map_ord, o.x AS img_x, o.height - 1 - o.y AS img_y, " + ", ".join(f"(CASE WHEN m.img_x IS NOT NULL THEN {e} ELSE {_fill_sql(k)} END)::INTEGER AS {c}" for k, (c, e) in enumerate(zip("rgba", (64, 64, 64, 255)))) + " FROM one o LEFT JOIN grown m ON m.map_ord = o.map_ord AND m.img_x = o.x AND m.img_y = o.height - 1 - o.y")
+@query("image_compose", "maps cells", f"WITH {ON2} SELECT map_ord, x AS img_x, height - 1 - y AS img_y, " + ", ".join(f"(CASE WHEN mxy THEN {e} ELSE {_fill_sql(k)} END)::INTEGER AS {c}" for k, (c, e) in enumerate(zip("rgba", (64, 64, 64, 255)))) + " FROM m2")
 def image_compose(spark, sf):
     options = v.Fill(COLORS, None, DEFAULT), v.Edge((64, 64, 64, 255), v.CLEAR, 2, True)
     return v.image(every(spark, sf), F.col("width"), F.col("height"), *options, *SIZED).drop("width", "height")
@@ -126,16 +131,3 @@ def json_location(spark, sf):
     p = j.parse_documents(documents(spark, sf)).select("map_ord", "doc.location", "doc.metadata")
     b = [F.col(f"location.bounds.{c}").alias(c) for c in ("lon", "lat", "lwidth", "lheight", "quadrant")]
     return p.select("map_ord", F.col("location.unit-inv.x").alias("unit_x"), *b, F.col("location.sampling.coordsystem").alias("coordsystem"), F.col("metadata.created-date").alias("created"))
-
-
-@query("json_manifest", "", "SELECT gx, gy, CASE WHEN (gx + gy) % 3 <> 0 THEN format('{:03d}_{:03d}.json', gx, gy) END AS file FROM (SELECT i % 7 AS gx, i // 7 AS gy FROM (SELECT unnest(generate_series(0, 34)) AS i) a) b")
-def json_manifest(spark, sf):
-    i = spark.range(35)
-    grid = i.select((F.col("id") % 7).alias("gx"), F.expr("id div 7").alias("gy")).withColumn("present", (F.col("gx") + F.col("gy")) % 3 != 0)
-    return j.parse_manifest(j.manifest(grid, "json"))
-
-
-@query("type_tags", "", "SELECT * FROM (VALUES ('GridInfo:1', 'GridInfo', 1::BIGINT, NULL), ('Raster:1::LV-RLE-ROWS', 'Raster', 1::BIGINT, 'LV-RLE-ROWS'), ('GisRaster:3', 'GisRaster', 3::BIGINT, NULL)) t(tag, name, version, subname)")
-def type_tags(spark, sf):
-    t = spark.createDataFrame([(j.MANIFEST_TYPE,), (j.RASTER_TYPE,), (j.DOCUMENT_TYPE,)], "tag string")
-    return t.select("tag", j.type_tag(F.col("tag")).alias("t")).select("tag", "t.*")

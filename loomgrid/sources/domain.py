@@ -54,7 +54,9 @@ def seq_vals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     numbered = with_global_index(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "seq")
-    return numbered.select((F.col("seq") + 1).alias("seq"), (F.col("l_partkey") % 160 - 5).alias("code"))
+    # all codes are asked for, and a few that no path has
+    n = read(spark, sf_dir, "customer").count()
+    return numbered.select((F.col("seq") + 1).alias("seq"), ((F.col("l_partkey") * 7919 + F.col("l_orderkey")) % (n + 20) - 10).alias("code"))
 
 
 #: The zoom levels of the multi-resolution viewer: level, grid units a degree, display scale. Fixed values.
@@ -70,7 +72,7 @@ SQL = {
     "req_rects": "SELECT p_partkey AS rect_id, (12150 + (p_partkey*37) % 700)::BIGINT AS x, (1960 + (p_partkey*53) % 480)::BIGINT AS y, (p_size % 17)::BIGINT AS w, (p_size % 13)::BIGINT AS h, CASE p_partkey % 5 WHEN 0 THEN 'SOUTHWEST' WHEN 1 THEN 'CENTER' WHEN 2 THEN 'NORTHWEST' WHEN 3 THEN 'NORTHEAST' ELSE 'SOUTHEAST' END AS anchor FROM part",
     "sw_rects": "SELECT rect_id, (x - CASE anchor WHEN 'CENTER' THEN w//2 WHEN 'NORTHEAST' THEN w WHEN 'SOUTHEAST' THEN w ELSE 0 END)::BIGINT AS x, (y - CASE anchor WHEN 'CENTER' THEN h//2 WHEN 'NORTHWEST' THEN h WHEN 'NORTHEAST' THEN h ELSE 0 END)::BIGINT AS y, w, h FROM req_rects",
     "seq_vals": "SELECT o_custkey AS seq_id, o_orderkey AS pos, o_orderstatus AS val FROM orders",
-    "code_requests": "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq, (l_partkey % 160 - 5)::BIGINT AS code FROM lineitem",
+    "code_requests": "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq, ((l_partkey*7919 + l_orderkey) % ((SELECT count(*) FROM customer) + 20) - 10)::BIGINT AS code FROM lineitem",
 }
 NEEDS = {"runs": ["maps"], "cells": ["runs"], "gpts": ["pts"], "sw_rects": ["req_rects"]}
 
