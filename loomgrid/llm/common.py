@@ -75,8 +75,12 @@ def bounded_rows(df: DataFrame, most: int, most_bytes: int = 1 << 40, text: str
     size = F.octet_length(text) if text else F.lit(0)
     found = hashed.groupBy("__h").agg(F.max(size).alias("n"), F.min(stratum if stratum else F.lit(0)).alias("s"))
     if stratum:
-        found = found.withColumn("turn", F.row_number().over(Window.partitionBy("s").orderBy("__h"))).where(F.col("turn") <= most)
-        found = found.orderBy("turn", "__h")
+        # counts by leading bits of the hash tell how far each value's least hashes reach, so that few rows of any are ranked
+        found = materialize(found.withColumn("b", F.shiftright("__h", 48)), "hashes")
+        counts = found.groupBy("s", "b").agg(F.count(F.lit(1)).alias("c"))
+        near = counts.withColumn("to", F.sum("c").over(Window.partitionBy("s").orderBy("b"))).where(F.col("to") - F.col("c") < most).select(F.col("s").alias("ks"), F.col("b").alias("kb"))
+        found = found.join(near, F.col("s").eqNullSafe(F.col("ks")) & (F.col("b") == F.col("kb")), "left_semi")
+        found = found.withColumn("turn", F.row_number().over(Window.partitionBy("s").orderBy("__h"))).orderBy("turn", "__h")
     else:
         found = found.orderBy("__h")
     left, picked = most_bytes, []

@@ -9,9 +9,9 @@
 4. In buckets that still hold nodes of several components, a node stays if one of its rarest shingles, just over a
    quarter of them, is among the rarest of another component: similar sets share one of these, so unlike texts that meet
    in a bucket go, however many they are. Nodes that stay are compared across components, those of the commonest component
-   against the others and the others among themselves, in blocks: by the shingles themselves (their 32-bit hashes, with
-   room for collisions), and sets of more than set_size by batches of the signature. A pair that is sure to reach the
-   similarity stands for all of its two components in a block. What is found is verified on the full sets, each node's
+   against the others and the others among themselves, by the shingles themselves (their 32-bit hashes, with room for
+   collisions), in blocks of bounded nodes and shingles, so a large set stands in a smaller block and is compared in
+   the same way. A pair that is sure to reach the similarity stands for all of its two components in a block. What is found is verified on the full sets, each node's
    best first, then all that are still across components, and components are taken again. A link inside a component
    changes nothing, so no pair that could matter is left out.
 
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_since, gathered, made, materialize, partitions_for, tidy
@@ -42,8 +42,8 @@ from .shingles import digest, sets, shingle_hashes
 BATCH = 32
 #: Nodes of a block that the others are compared with.
 PIVOTS = 8
-#: Sets up to this travel to the comparison across components.
-SET_SIZE = 8192
+#: Shingles of a block in the comparison across components.
+BLOCK_SHINGLES = 1 << 21
 #: Slots in which shingles are counted.
 SLOTS = 1 << 20
 #: Two sets' 32-bit hashes may lose or gain this much of their intersection by collisions.
@@ -138,23 +138,17 @@ def _pairs(t: pa.Table, a: np.ndarray, b: np.ndarray, got: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b)), pa.array(got)], ["a", "b", "got"])
 
 
-def across(t: pa.Table, edges: np.ndarray, least: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+def across(t: pa.Table, edges: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of different roots within each group of rows that may be similar enough."""
     root = t["root"].combine_chunks().dictionary_encode().indices.to_numpy()
     n = t["n"].to_numpy()
-    has_set, has_sig = (t[c].is_valid().to_numpy(zero_copy_only=False) for c in ("own", "sig"))
     own = t["own"].combine_chunks()
-    offs = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    offs = np.concatenate([[0], np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False))]).astype(np.int64)
     tokens = own.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-    sig = None
-    if has_sig.any():
-        width = len(least) - 1
-        sig = np.zeros((t.num_rows, width), np.uint8)
-        sig[has_sig] = np.frombuffer(b"".join(x for x in t["sig"].to_pylist() if x is not None), np.uint8).reshape(-1, width)
     for x, y in zip(edges[:-1], edges[1:]):
         if y - x < 2 or (root[x:y] == root[x]).all():
             continue
-        a, b, inter = intersections(tokens, offs, x + np.flatnonzero(has_set[x:y]), root, n, percent)
+        a, b, inter = intersections(tokens, offs, np.arange(x, y), root, n, percent)
         sure = 100 * (inter - ROOM) >= percent * (n[a] + n[b] - inter + ROOM)
         got = (inter * 1_000_000 // np.maximum(n[a] + n[b] - inter, 1)).astype(np.int64)
         # of sure pairs the best of each two roots goes on; the others go on as they are
@@ -164,15 +158,6 @@ def across(t: pa.Table, edges: np.ndarray, least: np.ndarray, percent: int) -> I
         keep = order[first | ~sure[order]]
         if len(keep):
             yield _pairs(t, a[keep], b[keep], got[keep])
-        if sig is None:
-            continue
-        signed = x + np.flatnonzero(has_sig[x:y])
-        for k, one in enumerate(signed[:-1]):
-            rest = signed[k + 1 :]
-            rest = rest[(root[rest] != root[one]) & ~(has_set[rest] & has_set[one])]
-            alive, m = surviving(sig, np.full(len(rest), one), rest, least)
-            if len(alive):
-                yield _pairs(t, np.full(len(alive), one), rest[alive], m * 1_000_000 // sig.shape[1])
 
 
 def intersections(tokens: np.ndarray, offs: np.ndarray, rows: np.ndarray, root: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,7 +187,7 @@ def intersections(tokens: np.ndarray, offs: np.ndarray, rows: np.ndarray, root:
     return rows[a], rows[b], common[a, b].astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, bands: int = 26, rows: int = 4, hashes: int = 512, miss: float = 1e-5, block: int = 512, set_size: int = SET_SIZE) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, bands: int = 26, rows: int = 4, hashes: int = 512, miss: float = 1e-5, block: int = 512, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept. Bands use the first bands * rows hashes; the comparison uses a byte of all."""
     mark, n_parts = made(), partitions_for(docs)
     least = least_matches(percent / 100, hashes, miss)
@@ -232,8 +217,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
     dealt = some.select("node", F.explode(keys).alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     members = dealt.join(shared, "bucket").distinct()
-    nodes = some.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key")).alias("rep"), F.first("sig").alias("sig"))
-    held = materialize(members.join(nodes, "node").select("bucket", "node", F.col("rep.doc_id").alias("rep"), "rep.text_key", "sig"), "buckets")
+    nodes = some.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key")).alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
+    held = materialize(members.join(nodes, "node").select("bucket", "node", F.col("rep.doc_id").alias("rep"), "rep.text_key", "sig", "size"), "buckets")
 
     sizes = held.groupBy("bucket").agg(F.ceil(F.count("node") / block).cast("int").alias("blocks"))
 
@@ -270,23 +255,27 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
         links = links.unionByName(more)
         roots = components(links)
 
-    rooted = held.join(roots, "node", "left").select("bucket", "node", "sig", F.coalesce("root", "node").alias("root"))
-    counted = rooted.groupBy("bucket", "root").agg(F.count("node").alias("n"))
-    split = counted.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("root").alias("roots")).where("roots > 1")
-    split = split.select("bucket", "roots", F.col("top.root").alias("top"), F.ceil(F.col("top.n") / block).cast("int").alias("top_blocks"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("blocks"))
+    rooted = held.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
+    counted = rooted.groupBy("bucket", "root").agg(F.count("node").alias("n"), F.sum("size").alias("size"))
+    split = counted.groupBy("bucket").agg(F.max(F.struct("n", "root", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("root").alias("roots")).where("roots > 1")
+
+    def blocks_of(n: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / block, size / block_shingles)).cast("int")
+
+    split = split.select("bucket", "roots", F.col("top.root").alias("top"), blocks_of(F.col("top.n"), F.col("top.size")).alias("top_blocks"), blocks_of(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("blocks"))
     mixed = rooted.join(split, "bucket")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches, most=2 << 20):
             own = sets(part["text"].combine_chunks(), shingle)
-            small = [np.unique(x.astype(np.uint32)).view(np.int32) if len(x) <= set_size else None for x in own]
+            small = [np.unique(x.astype(np.uint32)).view(np.int32) for x in own]
             yield pa.RecordBatch.from_arrays([part["node"].combine_chunks(), pa.array([len(x) for x in own], pa.int64()), pa.array(small, pa.list_(pa.int32()))], ["node", "n", "own"])
 
     shown = texts.join(mixed.select("node").distinct(), "node").select("node", "text").mapInArrow(tidy(short), "node binary, n long, own array<int>").dropDuplicates(["node"])
     shown = materialize(shown, "shown")
-    near = sharing(mixed.select("root", "node").distinct(), shown, percent, set_size)
-    mixed = materialize(mixed.join(near, "node", "left_semi").join(shown, "node").withColumn("sig", F.when(100 * F.col("n") >= percent * set_size, F.col("sig"))), "mixed")
-    carried = ["root", "node", "n", "own", "sig"]
+    near = sharing(mixed.select("root", "node").distinct(), shown, percent)
+    mixed = materialize(mixed.join(near, "node", "left_semi").join(shown, "node"), "mixed")
+    carried = ["root", "node", "n", "own"]
     in_top = F.col("root") == F.col("top")
     mine = F.xxhash64("node")
     # sides: the commonest component's blocks each meet all others' blocks; others' blocks meet each other
@@ -297,7 +286,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, edges in groups_of(batches, 4):
-            yield from across(t, edges, least, percent)
+            yield from across(t, edges, percent)
 
     crossing = top_rows.unionByName(to_top).unionByName(to_others)
     found = order(crossing, "bucket", "kind", "i", "j").mapInArrow(tidy(cross), "a binary, b binary, got long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "got").distinct()
@@ -317,16 +306,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
     return drop_since(mark, out).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def sharing(rooted: DataFrame, shown: DataFrame, percent: int, set_size: int) -> DataFrame:
+def sharing(rooted: DataFrame, shown: DataFrame, percent: int) -> DataFrame:
     """(node) of those that may be similar to a node of another root.
 
-    rooted: root, node. shown: node, n, own (32-bit shingles, null for a very large set). Of two sets as similar as asked,
+    rooted: root, node. shown: node, n, own (32-bit shingles). Of two sets as similar as asked,
     each shares at least percent of its own with the other; so, in any one order of shingles, one of the first
     n - percent of n + 1 of each is common to both (with room for collisions). The order is by how many sets hold a
     shingle, counted in SLOTS slots of a hash: a number for each slot comes to the driver, at any input size.
     """
-    some = shown.where(F.col("own").isNotNull())
-    slots = some.select(F.explode("own").alias("token")).groupBy(F.pmod("token", F.lit(SLOTS)).alias("slot")).agg(F.count(F.lit(1)).alias("sets")).toArrow()
+    slots = shown.select(F.explode("own").alias("token")).groupBy(F.pmod("token", F.lit(SLOTS)).alias("slot")).agg(F.count(F.lit(1)).alias("sets")).toArrow()
     counts = np.zeros(SLOTS, np.int64)
     counts[slots["slot"].to_numpy()] = slots["sets"].to_numpy()
     sent = shown.sparkSession.sparkContext.broadcast(counts)
@@ -347,12 +335,9 @@ def sharing(rooted: DataFrame, shown: DataFrame, percent: int, set_size: int) ->
             keep = order[(place < np.repeat(first, size)) & (sets_[order] > 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[keep])), pa.array(tokens[keep], pa.int32())], ["node", "token"])
 
-    placed = some.select("node", "n", "own").mapInArrow(tidy(rarest), "node binary, token int").join(rooted, "node")
+    placed = shown.select("node", "n", "own").mapInArrow(tidy(rarest), "node binary, token int").join(rooted, "node")
     met = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    near = placed.join(met, "token", "left_semi").select("node")
-    # very large sets, and those large enough to be similar to one
-    large = shown.where(100 * F.col("n") >= percent * set_size).select("node")
-    return near.unionByName(large).distinct()
+    return placed.join(met, "token", "left_semi").select("node").distinct()
 
 
 def _texts(held: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:

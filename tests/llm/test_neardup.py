@@ -123,7 +123,7 @@ def test_null_ids(spark):
 
 
 def test_large_sets_across_components(spark):
-    """Sets beyond set_size take the way by signatures."""
+    """Large sets stand in smaller blocks, and no link is lost."""
     rng = random.Random(8)
     base = [f"w{rng.randrange(10**6)}" for _ in range(2600)]
     docs = []
@@ -132,7 +132,7 @@ def test_large_sets_across_components(spark):
         for _ in range(10 + 12 * k):
             own[rng.randrange(2600)] = f"v{rng.randrange(10**6)}"
         docs.append((k, " ".join(own)))
-    assert run(spark, docs, block=8, set_size=2048) == brute(docs)
+    assert run(spark, docs, block=8, block_shingles=6000) == brute(docs)
     assert run(spark, docs, block=8) == brute(docs)
 
 
