@@ -123,7 +123,8 @@ def test_merges_of_a_round():
     assert tm.safe_prefix(far, 64, 0, {"ab"}) == far[:1]  # its token is there already
     assert tm.safe_prefix(far, 64, 79) == far[:1]  # a pair from outside could gain more
     assert tm.safe_prefix(far, 1, 0) == far[:1] and tm.safe_prefix([], 64, 0) == []
-    assert tm.safe_prefix([pair("a", "a", 90, 300), far[1]], 64, 0) == [pair("a", "a", 90, 300)]
+    assert tm.safe_prefix([pair("a", "a", 90, 300), pair("a", "b", 85, 290)], 64, 0) == [pair("a", "a", 90, 300)]
+    assert tm.safe_prefix([pair("a", "a", 90, 300), far[1]], 64, 0) == [pair("a", "a", 90, 300), far[1]]
     assert tm.safe_prefix([pair("a", "bc", 90, 300), pair("ab", "c", 80, 280, 2), pair("x", "y", 70, 240, 3)], 64, 0) == [pair("a", "bc", 90, 300), pair("ab", "c", 80, 280, 2)]
 
 
