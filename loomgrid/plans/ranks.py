@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import materialize
+from .tables import materialize, partitions_for
 
 
 def with_global_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -> DataFrame:
@@ -18,8 +18,7 @@ def with_global_index(df: DataFrame, order: Sequence[str | Column], name: str =
     counts must come from the very rows that are numbered and not from a second run of the sort. A row's place is its
     range's base and its place there. Only the counts of the ranges, one row each, meet in one task.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    placed = df.repartitionByRange(partitions_for(df), *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
     placed = placed.withColumn("__range", F.expr("shiftright(__id, 33)")).withColumn("__at", F.expr("__id & 8589934591L")).drop("__id")
     placed = materialize(placed, "ranks")
     counts = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,24 +28,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths of tables that this driver has written and not dropped.
-_made: list[str] = []
+#: Lists of the paths that calls which are still building have written, innermost last; each thread has its own.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("loomgrid_tables", default=())
 
 
-def made() -> int:
-    """A mark: tables written from here on are those that drop_since() looks at."""
-    return len(_made)
+def made() -> list[str]:
+    """A mark: the list of tables that this thread writes until drop_since() closes it."""
+    mark: list[str] = []
+    _open.set((*_open.get(), mark))
+    return mark
 
 
-def drop_since(mark: int, result: DataFrame) -> DataFrame:
-    """result, after the tables written since the mark that it doesn't read are gone."""
+def drop_since(mark: list[str], result: DataFrame, *also: DataFrame) -> DataFrame:
+    """result, after the tables written under the mark that it doesn't read are gone. Other calls' tables stay, and those that `also` read (as subqueries of the result do)."""
     spark = result.sparkSession
-    read = {f.rsplit("/", 2)[-2] for f in result.inputFiles()}
-    for path in _made[mark:]:
-        if path.rsplit("/", 1)[-1] not in read:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-            _made.remove(path)
+    read = {f.rsplit("/", 2)[-2] for df in (result, *also) for f in df.inputFiles()}
+    for path in [p for p in mark if p.rsplit("/", 1)[-1] not in read]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        for held in _open.get():
+            if path in held:
+                held.remove(path)
+    _open.set(tuple(x for x in _open.get() if x is not mark))
     return result
 
 
@@ -52,9 +57,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    _made.append(path)
+    for mark in _open.get():
+        mark.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the bytes that df reads, 0 if it has none; used only to size partitions."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
+
+
+def partitions_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
+    """Partitions such that each gets about bytes_each of df, by Catalyst's estimate, and no fewer than the session's own count, nor over 100,000."""
+    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(conf, min(100_000, -(-input_bytes(df) // bytes_each)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     return materialize(df, "cut")
