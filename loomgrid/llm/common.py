@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomgrid.plans.tables import drop_since, made, materialize, new_path  # noqa: F401
+from loomgrid.plans.tables import drop_since, input_bytes, made, materialize, new_path  # noqa: F401
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -52,12 +52,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes that df reads, 0 if it has none; used only to size partitions."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 60 else 0
-
-
 def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Partitions such that each gets about bytes_each of df's input, and no fewer than the session's own count."""
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

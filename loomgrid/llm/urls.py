@@ -5,12 +5,13 @@ universe's keys that level 1 wrongly lets through, level 3 the listed keys that
 level lets nothing through wrongly. Membership of any key of the universe is then exact: the first level that rejects a
 key decides by its parity.
 
-A filter's words are one row of a table: Spark fills them by an aggregate over keys, and they reach the pages as a
-broadcast row, not through the driver or the plan. A list whose filters would outgrow ROW_BYTES is dealt by hash over several
-cascades, each of which is asked in turn. Pages are never shuffled and no key is joined.
+A filter's words are one row of a table: Spark fills them by an aggregate over keys, and they reach the pages as a scalar
+subquery, one value for all rows of a task, so a page costs the bits that it asks for. Listed keys that no page has are left out
+first. A list whose filters would outgrow ROW_BYTES is dealt by hash over several cascades, each of which is asked in turn.
+Pages are never shuffled and no key is joined to them.
 
 Defined results: a null url or one without '://' has empty host and path, fits no rule and no key, and is allowed;
-repeated rows each get a row; other columns are dropped, also those named like a result; an empty list lists nothing; null
+repeated rows each get a row; other columns are dropped, also those named like a result; an empty list lists nothing; an empty table gives no rows; null
 and empty keys of a list are passed over. A very long url is one string of one row. Of equally long rules that of the
 longer host is taken, then a block.
 """
@@ -24,12 +25,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, drop_since, made, materialize
+from .common import ASCII_LOWER, ASCII_UPPER, drop_since, let, made, materialize
 
 #: Domains that are listed as unwanted. A listed key covers its subdomains.
 LISTED = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: The words of one cascade's filters are one broadcast row of at most about this size.
+#: The words of one cascade's filters take at most about this size.
 ROW_BYTES = 32 << 20
 #: Words are put together in pieces of this many.
 PIECE = 4096
@@ -57,7 +58,8 @@ class Level:
     hashes: int
 
     def position(self, key: Column, level: int, j: int) -> Column:
-        return F.pmod(F.xxhash64(key, F.lit(level), F.lit(j)), F.lit(self.bits).cast("long"))
+        # level and place first: keys of equal hash would else clash at every level
+        return F.pmod(F.xxhash64(F.lit(level), F.lit(j), key), F.lit(self.bits).cast("long"))
 
     def holds(self, key: Column, level: int, filled: Column) -> Column:
         out = F.lit(True)
@@ -79,46 +81,51 @@ def fill(keys: DataFrame, level: int, shape: Level, name: str) -> DataFrame:
     return pieces.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "words"))), lambda x: x["words"])).alias(name))
 
 
-def beside(df: DataFrame, row: DataFrame) -> DataFrame:
-    """df with the columns of a table of one row, whose size ROW_BYTES bounds."""
-    return df.join(F.broadcast(row))
-
-
 @dataclass(frozen=True)
 class Cascade:
-    """row: one row, an array of words for each level (level1, level2, ...)."""
+    """words: of each level, one row with an array."""
 
     levels: tuple[Level, ...]
-    row: DataFrame | None
+    words: tuple[DataFrame, ...]
+
+    def marked(self, df: DataFrame, name: str, keys: Column) -> DataFrame:
+        """df with name: whether it was true, or one of an array of keys of the universe is listed; exact.
+
+        The words are columns that one expression alone reads, over a table's own columns, so the optimiser puts the
+        subqueries into it and no row carries them.
+        """
+        wide = df.select("*", *[w.scalar().alias(f"__level{n}") for n, w in enumerate(self.words, 1)])
+        filled = F.struct(keys.alias("keys"), *[F.col(f"__level{n}").alias(f"level{n}") for n in range(1, len(self.words) + 1)])
+        found = let(filled, lambda s: F.exists(s["keys"], lambda k: self._member(k, s)))
+        return wide.select(*[c for c in df.columns if c != name], (F.col(name) | found).alias(name))
 
-    def member(self, key: Column) -> Column:
-        """Whether a key of the universe is listed; exact. Needs the columns of row."""
+    def _member(self, key: Column, filled: Column) -> Column:
         out = F.lit(len(self.levels) % 2 == 1)
         for n in range(len(self.levels), 0, -1):
-            out = F.when(~self.levels[n - 1].holds(key, n, F.col(f"level{n}")), F.lit(n % 2 == 0)).otherwise(out)
+            out = F.when(~self.levels[n - 1].holds(key, n, filled[f"level{n}"]), F.lit(n % 2 == 0)).otherwise(out)
         return out
 
 
 def build_cascade(universe: DataFrame, inside: DataFrame) -> Cascade:
-    """universe and inside: distinct strings in column key, null excluded. Levels end when one lets nothing through wrongly."""
+    """universe: distinct strings in column key, null excluded; inside: those that are listed. Levels end when one lets nothing through wrongly."""
     r = inside.count()
     if not r:
-        return Cascade((), None)
+        return Cascade((), ())
     outside = materialize(universe.join(inside, "key", "left_anti"), "outside")
     rate = min(0.5, r / (math.sqrt(2) * max(1, outside.count())))
     levels: list[Level] = []
-    include, exclude, n_in, row = inside, outside, r, None
+    filled: list[DataFrame] = []
+    include, exclude, n_in = inside, outside, r
     while n_in:
         n = len(levels) + 1
         # a level's hash differs from the last one's, so what is let through is halved each time
         shape = Level(max(64, math.ceil(n_in * math.log2(1 / rate) / math.log(2) + 1)), max(1, round(math.log2(1 / rate))))
         levels.append(shape)
-        words = materialize(fill(include, n, shape, f"level{n}"), f"filter{n}")
-        row = words if row is None else beside(row, words)
-        wrong = materialize(beside(exclude, words).where(shape.holds(F.col("key"), n, F.col(f"level{n}"))).select("key"), f"cascade{n}")
+        filled.append(materialize(fill(include, n, shape, f"level{n}"), f"filter{n}"))
+        wrong = materialize(exclude.where(shape.holds(F.col("key"), n, filled[-1].scalar())).select("key"), f"cascade{n}")
         n_in = wrong.count()
         include, exclude, rate = wrong, include, 0.5
-    return Cascade(tuple(levels), row)
+    return Cascade(tuple(levels), tuple(filled))
 
 
 def cascade_parts(universe_keys: int, listed_keys: int) -> int:
@@ -152,20 +159,22 @@ def url_filter(pages: DataFrame, *, listed: Sequence[str] | DataFrame = LISTED,
     spark, mark = pages.sparkSession, made()
     keys = listed.toDF("key") if isinstance(listed, DataFrame) else spark.createDataFrame([(k,) for k in listed], "key string")
     keys = materialize(keys.where(F.length("key") > 0).distinct(), "listed")
-    split = pages.select("page_id", url_parts(F.col("url")).alias("u")).select("page_id", "u.host", "u.path")
+    split = materialize(pages.select("page_id", url_parts(F.col("url")).alias("u")).select("page_id", "u.host", "u.path"), "pages")
     hosts = split.select("host").where(F.col("host") != "").distinct()
     universe = materialize(hosts.select(F.explode(suffixes(F.col("host"))).alias("key")).distinct(), "hosts")
+    keys = materialize(keys.join(universe, "key", "left_semi"), "listed")
     parts = parts or cascade_parts(universe.count(), keys.count())
-    out = split.withColumn("listed", F.lit(False))
+    out, words = split.withColumn("listed", F.lit(False)), []
     for k in range(parts):
         mine = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(parts)) == k
         cascade = build_cascade(universe.where(mine), keys.where(mine))
-        if cascade.row is None:
+        if not cascade.levels:
             continue
         own = F.filter(suffixes(F.col("host")), lambda s: F.pmod(F.xxhash64(s, F.lit(-1)), F.lit(parts)) == k)
-        out = beside(out, cascade.row).withColumn("listed", F.col("listed") | F.exists(own, cascade.member)).select("page_id", "host", "path", "listed")
+        words += cascade.words
+        out = cascade.marked(out, "listed", own)
         if parts > 1:
             out = materialize(out, "pages")
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
     out = out.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "listed")
-    return drop_since(mark, out)
+    return drop_since(mark, out, *words)

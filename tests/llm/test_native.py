@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm.licenses import K, PHRASES, TEMPLATES, license_scan, template_rows
 from loomgrid.llm.quality import feature_columns, labelled_sample, learn_rules, quality_rules, repeated_trigram_words
-from loomgrid.llm.urls import LISTED, url_filter
+from loomgrid.llm.urls import LISTED, Cascade, Level, url_filter
 
 CASES = [None, "", " \t\n", "a", "a b c", "a b c a b c", "x y z\nx y z\n \nq", "UNDER the MIT license! Under\x00the-mit license", "Apache License, Version 2.0 cc-by nc cc by\u00e9 nc", "# * $ a|b <c>\x0b\x0cd", "\u212aelvin under the mit license \u0130 cc by nc", "na " * 4000, "licensed  under the Apache  License (Version 2)"]
 
@@ -152,3 +152,20 @@ def test_long_url(spark):
 
 def test_urls_empty(spark):
     assert url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_no_row_carries_a_filter(spark, tmp_path):
+    """The filter's words are read inside the expression that asks them, and are not a column of the pages."""
+    row = spark.range(1).selectExpr("array_repeat(0L, 1000) AS w")
+    row.write.parquet(str(tmp_path / "w"))
+    spark.range(10).selectExpr("concat('h', id) AS host", "false AS listed").write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p"))
+    out = Cascade((Level(64_000, 3),), (spark.read.parquet(str(tmp_path / "w")),)).marked(pages, "listed", F.array("host"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__level1#" not in plan.replace("AS __level1#", "") and out.where("listed").count() == 0
+
+
+def test_listed_keys_that_no_page_has(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.net/")], "page_id long, url string")
+    keys = spark.range(3000).selectExpr("concat('k', id, '.org') AS k").union(spark.createDataFrame([("b.net",)], "k string"))
+    assert [r.listed for r in url_filter(pages, listed=keys).collect()] == [True]
