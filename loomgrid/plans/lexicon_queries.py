@@ -203,9 +203,21 @@ def records(spark, sf):
     return x.pages(c).join(arrays, "text_code").select("n_tokens", "page", "slot", "ids")
 
 
-@query("lex_palettes")
+#: A page's stream: record by record, each with a mark at its end. A token that has no slot takes that of the token needed furthest from there.
+PALETTES = f"""{IDS}, pg AS (SELECT text_code, n_tokens, (k // 128)::BIGINT AS page, k % 128 AS slot FROM (SELECT text_code, n_tokens, row_number() OVER (PARTITION BY n_tokens ORDER BY text_code) - 1 AS k FROM codes WHERE n_tokens > 0) a),
+sq AS (SELECT pg.n_tokens, page, slot * (pg.n_tokens + 1) + pos AS i, token_id AS t FROM pg JOIN toks USING (text_code) JOIN ids USING (token)),
+sx AS MATERIALIZED (SELECT *, lead(i) OVER (PARTITION BY n_tokens, page, t ORDER BY i) AS nx, row_number() OVER (PARTITION BY n_tokens, page ORDER BY i) AS k FROM sq),
+fs AS (SELECT n_tokens, page, t, min(i) AS i FROM sq GROUP BY ALL),
+fr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY n_tokens, page ORDER BY i) AS s FROM fs),
+sl AS (SELECT n_tokens, page, 0::BIGINT AS k, list({{'t': t, 'nx': i}} ORDER BY s) AS held, NULL::BIGINT AS w, NULL::BIGINT AS wt, NULL::BIGINT AS ws FROM fr WHERE s <= 15 GROUP BY n_tokens, page
+UNION ALL SELECT n_tokens, page, k, CASE WHEN hit IS NULL THEN list_transform(held, lambda x, j: CASE WHEN j = gone THEN {{'t': t, 'nx': nx}} ELSE x END) ELSE list_transform(held, lambda x, j: CASE WHEN j = hit THEN {{'t': t, 'nx': nx}} ELSE x END) END, CASE WHEN hit IS NULL THEN i END, CASE WHEN hit IS NULL THEN t END, CASE WHEN hit IS NULL THEN gone END FROM (
+SELECT sl.n_tokens, sl.page, sx.k, sl.held, sx.i, sx.t, sx.nx, list_position(list_transform(sl.held, lambda x: x.t), sx.t) AS hit, list_position(list_transform(sl.held, lambda x: [coalesce(x.nx, 1000000000000), x.t]), list_max(list_transform(sl.held, lambda x: [coalesce(x.nx, 1000000000000), x.t]))) AS gone FROM sl JOIN sx ON sx.n_tokens = sl.n_tokens AND sx.page = sl.page AND sx.k = sl.k + 1) z),
+wr AS (SELECT n_tokens, page, -1::BIGINT AS position, t AS token_id, s AS slot FROM fr WHERE s <= 15 UNION ALL SELECT n_tokens, page, w, wt, ws FROM sl WHERE w IS NOT NULL)"""
+
+
+@query("lex_palettes", "paths", f"WITH RECURSIVE {PALETTES} SELECT n_tokens, page, position, token_id, slot::BIGINT AS slot FROM wr")
 def lex_palettes(spark, sf):
-    """Slot writes of every page; sequential by nature, so tests hold it to a plain decoder."""
+    """Slot writes of every page; sequential by nature."""
     return tm.page_palettes(records(spark, sf))
 
 
@@ -214,7 +226,17 @@ def lex_token_table_size(spark, sf):
     return tm.token_table_size(x.token_ids(toks(spark, sf)))
 
 
-@query("lex_stream_size")
+SIZE_OF = "CASE WHEN v < 252 THEN 1 WHEN v < 508 THEN 2 WHEN v < 66044 THEN 3 WHEN v < 16843260 THEN 4 ELSE 5 END"
+STREAM = f"""{PALETTES}, bt AS (SELECT CASE WHEN count(*) <= 1 THEN 1 ELSE length(bin(count(*) - 1)) END AS b FROM ids),
+ln AS (SELECT n_tokens, page, count(*) * (n_tokens + 1) AS n FROM pg GROUP BY n_tokens, page),
+wo AS (SELECT n_tokens, page, position, lag(position, 1, 0) OVER (PARTITION BY n_tokens, page ORDER BY position) AS last FROM wr WHERE position >= 0),
+pk AS (SELECT n_tokens, page, 15 + count(*) * b AS v FROM wr, bt WHERE position < 0 GROUP BY n_tokens, page, b
+UNION ALL SELECT n_tokens, page, (position - last) * 4 FROM wo WHERE position > last UNION ALL SELECT n_tokens, page, 4 + b FROM wo, bt
+UNION ALL SELECT n_tokens, page, (n - coalesce(m, 0)) * 4 FROM ln LEFT JOIN (SELECT n_tokens, page, max(position) AS m FROM wo GROUP BY n_tokens, page) x USING (n_tokens, page) WHERE n > coalesce(m, 0)),
+sz AS (SELECT n_tokens, page, sum(2 + ({SIZE_OF}) * 8 + v) AS total, count(*) AS v FROM pk GROUP BY n_tokens, page)"""
+
+
+@query("lex_stream_size", "paths", f"WITH RECURSIVE {STREAM} SELECT n_tokens::BIGINT AS n_tokens, page::BIGINT AS page, (({SIZE_OF}) * 8 + total + 7)::BIGINT // 8 AS bytes FROM sz")
 def lex_stream_size(spark, sf):
-    """Bytes of each page's record stream; folds a palette, so tests hold it to the encoder's own output."""
+    """Bytes of each page's record stream."""
     return tm.stream_bits(records(spark, sf), x.token_ids(toks(spark, sf)))

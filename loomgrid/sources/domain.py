@@ -90,6 +90,8 @@ def with_tables(names: str, body: str) -> str:
     for n in names.split():
         add(n)
     ctes = ", ".join(f"{n} AS ({SQL[n]})" for n in order)
+    if body.lstrip().upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body.lstrip()[15:]}"
     if body.lstrip().upper().startswith("WITH "):
         return f"WITH {ctes}, {body.lstrip()[5:]}"
     return f"WITH {ctes} {body}"
