@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions import grid as g
 from loomgrid.operators.atlas import Atlas
+from loomgrid.operators.raster import cells_of
 from loomgrid.operators.atlas import Atlas
+from loomgrid.operators.raster import cells_of
 from loomgrid.sources import domain as d
 
 from .registry import query
@@ -189,16 +191,18 @@ def path_format(spark, sf):
 
 @query(
     "hsv_ramp",
-    "",
-    """WITH v AS (SELECT k, k/60.0::DOUBLE AS h, 0.75::DOUBLE AS s, 0.9::DOUBLE AS v FROM (SELECT unnest(generate_series(0, 60)) AS k) a),
-w AS (SELECT k, v, floor(h*6)::INT AS i, v*(1-s) AS p, v*(1-s*(h*6-floor(h*6))) AS q, v*(1-s*(1-(h*6-floor(h*6)))) AS t FROM v)
-SELECT k, floor(255*CASE i WHEN 0 THEN v WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN t ELSE v END)::BIGINT AS r,
+    "runs",
+    """WITH v AS (SELECT map_ord, y, x0, (code % 61)/60.0::DOUBLE AS h, 0.5::DOUBLE + (map_ord % 4)/8.0::DOUBLE AS s, 1.0::DOUBLE - (y % 5)/10.0::DOUBLE AS v FROM runs),
+w AS (SELECT *, floor(h*6)::INT AS i, v*(1-s) AS p, v*(1-s*(h*6-floor(h*6))) AS q, v*(1-s*(1-(h*6-floor(h*6)))) AS t FROM v)
+SELECT map_ord, y, x0, floor(255*CASE i WHEN 0 THEN v WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN t ELSE v END)::BIGINT AS r,
 floor(255*CASE i WHEN 0 THEN t WHEN 1 THEN v WHEN 2 THEN v WHEN 3 THEN q WHEN 4 THEN p WHEN 5 THEN p ELSE v END)::BIGINT AS g,
 floor(255*CASE i WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN t WHEN 3 THEN v WHEN 4 THEN v WHEN 5 THEN q ELSE v END)::BIGINT AS b FROM w""",
 )
 def hsv_ramp(spark, sf):
-    k = spark.range(61).select(F.col("id").alias("k"))
-    return k.select("k", g.hsv_to_rgb(F.col("k") / 60.0, F.lit(0.75), F.lit(0.9)).alias("c")).select("k", "c.*")
+    """Every run in a colour: its code is the hue, its map the saturation, its row the brightness."""
+    r = d.runs(spark, sf)
+    hue, full, bright = (F.col("code") % 61) / 60.0, F.lit(0.5) + (F.col("map_ord") % 4) / 8.0, F.lit(1.0) - (F.col("y") % 5) / 10.0
+    return r.select("map_ord", "y", "x0", g.hsv_to_rgb(hue, full, bright).alias("c")).select("map_ord", "y", "x0", "c.*")
 
 
 #: Characters beyond ASCII that names end in here, and their bytes in CP932 and UTF-16. Fixed values.
@@ -224,7 +228,7 @@ def block_index(spark, sf):
 
 
 SIZE = 16
-CELL = f"c AS (SELECT i, i % {SIZE} AS x, i // {SIZE} AS y, {SIZE} AS n FROM (SELECT unnest(generate_series(0, {SIZE * SIZE - 1})) AS i) a)"
+CELL = f"c AS (SELECT map_ord, x AS cx, y AS cy, (y % {SIZE}) * {SIZE} + x % {SIZE} AS i, x % {SIZE} AS x, y % {SIZE} AS y, {SIZE} AS n FROM cells)"
 DIAG = "CASE WHEN x+y < n THEN (x+y)*(x+y+1)//2 ELSE n*n - (2*n-1-x-y)*(2*n-x-y)//2 END"
 SCAN_SQL = {
     "zigzag": "CASE WHEN y % 2 = 0 THEN i ELSE y*n + n-1-x END",
@@ -241,9 +245,11 @@ SCAN_SQL = {
 def _scan(name):
     forward, back = g.SCANS[name]
 
-    @query(f"scan_{name}", "", f"WITH {CELL} SELECT i::BIGINT AS i, ({SCAN_SQL[name]})::BIGINT AS position, i::BIGINT AS cell FROM c")
+    @query(f"scan_{name}", "cells", f"WITH {CELL} SELECT map_ord, cx AS x, cy AS y, ({SCAN_SQL[name]})::BIGINT AS position, i::BIGINT AS cell FROM c")
     def scan(spark, sf):
-        p = spark.range(SIZE * SIZE).select(F.col("id").alias("i")).withColumn("position", forward(F.col("i"), SIZE))
+        """Every cell's place in the scan of its block, and the cell that the place leads back to."""
+        i = F.pmod("y", F.lit(SIZE)) * SIZE + F.pmod("x", F.lit(SIZE))
+        p = cells_of(d.runs(spark, sf), "map_ord").select("map_ord", "x", "y", forward(i, SIZE).alias("position"))
         return p.withColumn("cell", back(F.col("position"), SIZE))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomgrid.operators import raster as r
 from loomgrid.operators import render as v
 from loomgrid.operators.atlas import small
+from loomgrid.operators.selectors import LonLatBounds, LonLatPointRect, select
 from loomgrid.sources import domain as d
 from loomgrid.sources import rasterjson as j
 
@@ -131,3 +132,20 @@ def json_location(spark, sf):
     p = j.parse_documents(documents(spark, sf)).select("map_ord", "doc.location", "doc.metadata")
     b = [F.col(f"location.bounds.{c}").alias(c) for c in ("lon", "lat", "lwidth", "lheight", "quadrant")]
     return p.select("map_ord", F.col("location.unit-inv.x").alias("unit_x"), *b, F.col("location.sampling.coordsystem").alias("coordsystem"), F.col("metadata.created-date").alias("created"))
+
+
+BOX = f"sel AS (SELECT x - 12590 AS x, y - 2190 AS y, coalesce(arg_max(code, map_ord) FILTER (code <> 0), 0)::BIGINT AS code FROM (SELECT 12590 + i % 80 AS x, 2190 + i // 80 AS y FROM (SELECT unnest(generate_series(0, 3999)) AS i) a) p LEFT JOIN (SELECT c.map_ord, c.x + m.west AS x, c.y + m.south AS y, c.code FROM cells c JOIN maps m USING (map_ord)) gc USING (x, y) GROUP BY ALL)"
+
+
+@query("select_bounds", "maps cells", f"WITH {BOX} SELECT x AS img_x, 49 - y AS img_y, {FILL_COLS} FROM sel")
+def select_bounds(spark, sf):
+    """A picture of the cells between two coordinates."""
+    s = select(atlas(spark, sf), LonLatBounds(125.9, 21.9, 126.7, 22.4))
+    return v.fill(s.cells, s.height, v.Fill(COLORS, None, DEFAULT))
+
+
+@query("select_point", "maps cells", f"WITH {BOX} SELECT x AS img_x, 49 - y AS img_y, {FILL_COLS} FROM sel")
+def select_point(spark, sf):
+    """The same picture, asked for by its middle."""
+    s = select(atlas(spark, sf), LonLatPointRect(126.3, 22.15, 80, 50, "CENTER"))
+    return v.fill(s.cells, s.height, v.Fill(COLORS, None, DEFAULT))
