@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.functions.grid import floor_div
-from loomgrid.plans.tables import materialize
+from loomgrid.plans.tables import materialize, partitions_for
 
 from .atlas import Atlas
 
@@ -77,7 +77,7 @@ def write_clustered(atlas: Atlas, path: str, *, group: int = 2, files: int | Non
     """The atlas's runs as a table of pieces; a folder holds squares of 2**group tiles a side."""
     n = atlas.bucket
     pieces = atlas.global_runs().withColumn("z", tile_key(F.col("b"), floor_div(F.col("y"), n)))
-    files = files or int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = files or partitions_for(atlas.runs)
     ordered = pieces.withColumn("zp", F.shiftright("z", 2 * group)).repartitionByRange(files, "zp", "z", "map_ord", "y").sortWithinPartitions("zp", "z", "map_ord", "y", "x0")
     ordered.write.partitionBy("zp").option("compression", "zstd").parquet(path)
 

@@ -63,15 +63,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes that df reads, 0 if it has none; used only to size partitions."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 60 else 0
+    """Bytes of the tables that df reads, by Catalyst's statistics of each; used only to size partitions. An estimate of a join would be a product."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
-    """Partitions such that each gets about bytes_each of df, by Catalyst's estimate, and no fewer than the session's own count, nor over 100,000."""
+    """Partitions such that each gets about bytes_each of df's input, and no fewer than the session's own count."""
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(conf, min(100_000, -(-input_bytes(df) // bytes_each)))
+    return max(conf, -(-input_bytes(df) // bytes_each))
 
 
 def cut(df: DataFrame) -> DataFrame:

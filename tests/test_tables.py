@@ -44,3 +44,16 @@ def test_threads_keep_their_tables_apart(spark):
     later = materialize(spark.range(9), "later")
     drop_since(mark, mine.unionAll(later))
     assert mine.count() == 7 and later.count() == 9
+
+
+def test_partitions_follow_the_tables_that_are_read(spark, tmp_path):
+    """Not the product that a join is estimated at."""
+    from loomgrid.plans.tables import input_bytes, partitions_for
+
+    spark.range(5000).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    n = input_bytes(t)
+    joined = t.crossJoin(t.withColumnRenamed("id", "b")).crossJoin(t.withColumnRenamed("id", "c"))
+    assert 0 < n < 1 << 20 and input_bytes(joined) == 3 * n
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert partitions_for(joined) == parts and partitions_for(t, 1 + n // 40) in range(39, 42)
