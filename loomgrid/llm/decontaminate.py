@@ -11,7 +11,7 @@ what the blocks find is merged by it.
 
 Defined results: a null or wordless text has no words, no hits and is clean; null or wordless items have no windows; a
 repeated item id counts once and a null one is the empty string; repeated documents each get a row; null doc_id stays
-null; other columns are dropped, also those named like a result. A very long text is a shard of its own. Windows that
+null; other columns are dropped, also those named like a result; an empty table gives no rows, an empty benchmark no hits. A very long text is a shard of its own. Windows that
 several items share are hits of each.
 """
 

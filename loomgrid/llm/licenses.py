@@ -10,7 +10,7 @@ The template side of the join is a constant of the plan. Each text sends one row
 by row, so no phrase gathers the corpus; windows and aggregates of a row's matches are sorted, never held in an array.
 
 Defined results: null or wordless text has 0 words, empty labels and score 0; a repeated row is scanned on its own; null
-doc_id stays null; other columns are dropped, also those named like a result. A very long text costs its words once and its
+doc_id stays null; other columns are dropped, also those named like a result; an empty table gives no rows. A very long text costs its words once and its
 matches n log n in one task. Spans of several templates may share words; each counts.
 """
 

@@ -20,7 +20,7 @@ probability. No link is made without the full sets.
 
 Defined results: null or wordless texts have an empty set, link with nothing and stay; a repeated row takes part with
 its own doc_id; a null doc_id never is the smallest, and is kept only where its component has no other id; other columns
-are dropped, also those named like a result. A very long text is one slice of its own; its shingles are in memory at once.
+are dropped, also those named like a result; an empty table gives no rows. A very long text is one slice of its own; its shingles are in memory at once.
 Which of equally good matches is verified first doesn't change components.
 """
 

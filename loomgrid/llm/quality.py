@@ -5,7 +5,7 @@ from a bounded sample of labelled rows: rules are grown one threshold at a time
 the last third, and kept while they are precise enough.
 
 Defined results: a null or blank text has no words and every statistic 0, so it fails the base rule; repeated rows each
-get their own row; null doc_id stays null; other columns of the input are dropped, also those named like a result; without
+get their own row; null doc_id stays null; other columns of the input and of the labels are dropped, also those named like a result; an empty table gives no rows; without
 labels of both kinds the list is empty and only the base rule decides. A very long text costs n log n in one task. A
 document of several labels counts as bad if one says so; of equal gains the condition that comes first by feature name
 and threshold is taken.

@@ -24,7 +24,7 @@ for each task and partition, so no key gathers rows. Rows are written once with
 equal or null doc_id apart.
 
 Defined results: null or empty text has 0 bytes and nothing removed; a null doc_id is smaller than any; of rows that repeat
-a doc_id or a text the later ones lose what the earlier ones hold; other columns are dropped. A very long text is cut into
+a doc_id or a text the later ones lose what the earlier ones hold; other columns are dropped unless carried, also those named like a result; an empty table gives no rows. A very long text is cut into
 pieces in bounded segments, and is one row of the last step. Of equal windows the earliest stays, so there are no ties.
 """
 

@@ -11,7 +11,8 @@ is scored whole. The score is calibrated on texts that a part of the training le
 between the two kinds of labelled texts lies at the threshold.
 
 Defined results: null, empty or wordless texts get the score of the bias alone; repeated rows each get a row and teach
-once; null doc_id stays null; other columns are dropped, also those named like a result; without labels of both kinds every
+once; null doc_id stays null; other columns of the documents and of the labels are dropped, also those named like a result; an
+empty table gives no rows; without labels of both kinds every
 score is the share of toxic labels (0 if there are none). A very long text is one slice of its own, scored whole. A text
 of several labels is toxic if one says so; of equally good lines between the kinds the highest is taken.
 """

@@ -143,3 +143,13 @@ def test_toxicity_cases(spark):
         got = toxicity(docs, lb).collect()
         assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_labels_with_other_columns(spark):
+    """Columns of the labels named like those of documents, or like a result, change nothing."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    odd = labels.selectExpr("*", "'x' AS text", "0.5D AS score", "'y' AS lang", "true AS held_out", "false AS kept")
+    assert sorted(map(str, toxicity(docs, odd).collect())) == sorted(map(str, toxicity(docs, labels).collect()))
+    from loomgrid.llm.quality import quality_rules
+
+    assert sorted(map(str, quality_rules(docs, odd).collect())) == sorted(map(str, quality_rules(docs, labels).collect()))

@@ -159,3 +159,35 @@ def test_token_files_of_one_id(spark, tmp_path):
     assert len(got) == 2000 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
     assert read_token_files(spark, path).select("start").distinct().count() == 2000
     assert spark.read.parquet(path).select("shard").distinct().count() > 1
+
+
+def test_files_can_be_read_in_part(spark, tmp_path):
+    """Footers: dictionary pages for the ids, page indexes of every column, several row groups; and a read of the numbers alone takes few bytes."""
+    import pyarrow.parquet as pq
+
+    from loomgrid.llm.tokenfile import write_token_files
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "x1", "y2"]) for _ in range(200))) for i in range(3000)]
+    path = str(tmp_path / "t")
+    write_token_files(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path, P.path("byte_bpe_50k.json"), row_group_bytes=16 << 10, page_bytes=4 << 10, page_rows=100)
+    groups = sizes = numbers = 0
+    for f in sorted((tmp_path / "t").glob("*.parquet")):
+        meta = pq.ParquetFile(f).metadata
+        groups = max(groups, meta.num_row_groups)
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                col = meta.row_group(g).column(c)
+                assert col.has_offset_index and (col.has_column_index or "ids" in col.path_in_schema)
+                sizes += col.total_compressed_size
+                if "ids" in col.path_in_schema:
+                    assert col.has_dictionary_page
+                else:
+                    numbers += col.total_compressed_size
+    assert groups > 1 and numbers < sizes / 10
+    from loomgrid.llm.tokenfile import read_token_files as read
+
+    one = read(spark, path).where("doc_id = 1500").collect()
+    assert len(one) == 1 and one[0].n_tokens == len(one[0].ids)
+    plan = read(spark, path).select("n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and all("ids" not in part.split("\n")[0] for part in plan.split("ReadSchema:")[1:])
