@@ -1,4 +1,10 @@
-"""A corpus from raw documents to packed sequences, in stages that each read what the one before wrote."""
+"""A corpus from raw documents to packed sequences, in stages that each read what the one before wrote.
+
+Defined results: a null or wordless text goes in the first stage, as it has no language; rows that repeat an id and a text are
+one from the second stage on; a row without an id stays if its text is no near-duplicate of one with an id; a text of which
+nothing is left stays as an empty one; other columns than those of documents are dropped, also those named like a stage's
+results; an empty table gives no rows. Ties are settled as in each operator.
+"""
 
 from __future__ import annotations
 
