@@ -94,4 +94,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_license_scan": sql.license_scan(),
         "op9_minhash_near_dedup": sql.near_duplicates(),
         "op11_source_mix": sql.source_mix(),
+        "op13_periodic_runs": sql.periodic_runs(),
     }

@@ -127,3 +127,29 @@ g AS (SELECT *, pass * blocks + {place("k", "pass")} AS draw FROM f),
 x AS (SELECT doc_id, greatest(0, least(start + size, least((k + 1) * {b}, source_size) - CASE WHEN draw = draws - 1 THEN cut ELSE 0 END) - greatest(start, k * {b})) AS words FROM g WHERE draw < draws),
 y AS (SELECT doc_id, sum(words)::BIGINT AS taken FROM x GROUP BY doc_id)
 SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(y.taken, 0)::BIGINT AS taken FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN y ON y.doc_id = d.doc_id"""
+
+
+def periodic_runs(least: int = 24, times: int = 3) -> str:
+    """op13: periods that three words on their own grid allow, and the stretches where each holds."""
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda v, b: list_reduce([xor(v, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, z: CASE WHEN u % 2 = 1 THEN xor(u >> 1, 3988292384) ELSE u >> 1 END)), 4294967295)"
+    return f"""
+WITH d AS (SELECT doc_id, {crc} AS h, regexp_extract_all(coalesce(text, ''), '{BLANK_WORD}') AS w FROM documents),
+n AS (SELECT doc_id, h, h // 10 AS g, len(w) AS n, w FROM d),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM n),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+wt AS MATERIALIZED (SELECT doc_id, n, i, CASE WHEN h % 10 = 0 AND i >= a THEN w[1 + a + (i - a) % p] ELSE w[1 + i] END AS word FROM (SELECT *, unnest(range(0, n)) AS i FROM p) x),
+q AS (SELECT doc_id, n, unnest(range(1, n // {times} + 1)) AS q FROM n WHERE n >= {least}),
+g AS (SELECT doc_id, q, unnest(range(0, n - 2 * q, q)) AS i FROM q),
+g1 AS MATERIALIZED (SELECT g.doc_id, q, g.i, word FROM g JOIN wt ON wt.doc_id = g.doc_id AND wt.i = g.i),
+g2 AS MATERIALIZED (SELECT g1.doc_id, q, g1.i, g1.word FROM g1 JOIN wt ON wt.doc_id = g1.doc_id AND wt.i = g1.i + q WHERE wt.word = g1.word),
+c AS MATERIALIZED (SELECT DISTINCT g2.doc_id, q FROM g2 JOIN wt ON wt.doc_id = g2.doc_id AND wt.i = g2.i + 2 * q WHERE wt.word = g2.word),
+e1 AS MATERIALIZED (SELECT c.doc_id, q, i, word FROM c JOIN wt USING (doc_id)),
+e AS (SELECT e1.doc_id, q, e1.i FROM e1 JOIN wt ON wt.doc_id = e1.doc_id AND wt.i = e1.i + q WHERE wt.word = e1.word),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS r FROM e) x GROUP BY doc_id, q, r HAVING count(*) + q >= greatest({least}, {times} * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT wt.doc_id, string_agg(word, ' ' ORDER BY wt.i) AS kept FROM wt LEFT JOIN gone ON gone.doc_id = wt.doc_id AND gone.i = wt.i WHERE gone.i IS NULL GROUP BY wt.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period, (1000 * b.length // b.period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)"""
