@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
         return F.ceil(F.greatest(n / block, size / block_shingles)).cast("int")
 
     split = split.select("bucket", "roots", F.col("top.root").alias("top"), blocks_of(F.col("top.n"), F.col("top.size")).alias("top_blocks"), blocks_of(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("blocks"))
-    mixed = rooted.join(split, "bucket")
+    mixed = materialize(rooted.join(split, "bucket"), "split")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches, most=2 << 20):
@@ -295,9 +295,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, ban
         ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b", "got"), F.struct(F.col("b").alias("node"), "a", "b", "got"))).alias("e")).select("e.*")
         first = ends.groupBy("node").agg(F.max(F.struct("got", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
         links = links.unionByName(materialize(verify(first, texts, shingle, percent), "links"))
-        far = apart(found, components(links)).select("a", "b").join(first, ["a", "b"], "left_anti")
-        links = links.unionByName(materialize(verify(far, texts, shingle, percent), "links"))
         roots = components(links)
+        far = apart(found, roots).select("a", "b").join(first, ["a", "b"], "left_anti")
+        more = materialize(verify(far, texts, shingle, percent), "links")
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
 
     classes = some.groupBy("node").agg(F.min("doc_id").alias("doc")).join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     named = classes.groupBy("root").agg(F.min("doc").alias("component_id")).join(classes, "root").select("node", "component_id")

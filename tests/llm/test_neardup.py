@@ -85,6 +85,22 @@ def test_long_chain_in_order(spark):
     assert len(got) == 301 and {r.root for r in got} == {0}
 
 
+@pytest.mark.parametrize("most", [0, 40, 1 << 18])
+def test_components_rounds_and_slice(spark, monkeypatch, most):
+    """The same components by rounds over all tasks alone, by rounds and then one slice, and by one slice alone, which takes two tables."""
+    from loomgrid.llm import components as c
+
+    written, plain = [], c.materialize
+    monkeypatch.setattr(c, "SLICE_LINKS", most)
+    monkeypatch.setattr(c, "materialize", lambda df, name: (written.append(name), plain(df, name))[1])
+    names = [f"n{k:03d}".encode() for k in random.Random(6).sample(range(1000), 150)]
+    edges = [(a, b) for x, y in ((0, 60), (60, 90), (90, 150)) for a, b in zip(names[x:y], names[x + 1 : y])] + [(names[0], names[k]) for k in range(20, 40)] + [(names[3], names[3])]
+    got = {bytes(r.node): bytes(r.root) for r in c.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    assert got == {n: min(names[x:y]) for x, y in ((0, 60), (60, 90), (90, 150)) for n in names[x:y]}
+    assert (len(written) == 2) == (most > 200)
+    assert c.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
 def test_bounds():
     least = least_matches(0.75, 104, 1e-6)
     assert (np.diff(least) >= 0).all() and 40 < least[104] < 78 and least[16] < 8
