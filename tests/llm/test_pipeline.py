@@ -55,3 +55,24 @@ def test_odd_rows(spark):
     empty = docs.limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_jobs_of_near_duplicates(spark, monkeypatch):
+    """What the driver keeps of each job adds up over the stages, so the links of a chain don't take a round of jobs for each of its halvings."""
+    from loomgrid.llm import components
+
+    words = [f"w{k * 7919 % 5003}" for k in range(3000)]
+    docs = spark.createDataFrame([(k, " ".join(words[k * 12 : k * 12 + 160]), "en", "s", 1) for k in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def jobs(group):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            assert [r.doc_id for r in dict(cp.STAGES)["minhash_near_dedup"](spark, docs, SF).collect()] == [0]
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    few = jobs("near-dup of a chain")
+    monkeypatch.setattr(components, "SLICE_LINKS", 0)
+    rounds = jobs("the same by rounds")
+    assert few < 130 and few < 0.7 * rounds, (few, rounds)
