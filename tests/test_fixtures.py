@@ -128,6 +128,16 @@ def test_merges_of_a_round():
     assert tm.safe_prefix([pair("a", "bc", 90, 300), pair("ab", "c", 80, 280, 2), pair("x", "y", 70, 240, 3)], 64, 0) == [pair("a", "bc", 90, 300), pair("ab", "c", 80, 280, 2)]
 
 
+def test_runs_of_one_token(spark):
+    """The pair of a merged pair of runs may gain more than the pair that was second."""
+    double, other = tm.Candidate("0", "0", 90, 300, 1), tm.Candidate("u", "s", 50, 139, 2)
+    assert tm.safe_prefix([double, other], 64, 0) == [double]
+    texts = ["0" * (3 + k % 9) + ["us", "su", "usu"][k % 3] for k in range(60)]
+    got = tm.optimize_tokens(spark.createDataFrame(list(enumerate(texts)), "text_code long, text string"), max_merge=5)[1].orderBy("step").collect()
+    want = brute_merge(texts, 5)[1]
+    assert [(r.step, r.left, r.right, r.n, r.gain, r.tokens, r.distinct_tokens) for r in got] == want and [r[1:3] for r in want[:2]] == [("0", "0"), ("00", "00")]
+
+
 def test_sizes_of_all_steps(spark):
     """The report's bytes are those of each step's own model."""
     texts = texts_for_merging()["words"]
