@@ -32,16 +32,24 @@ def sparse(seed, n=6):
     return maps, runs
 
 
-def cells_in(maps, runs):
-    """{(map, x, y): code} of what lies within the maps."""
-    size = {m[0]: m[3:] for m in maps}
-    return {(k, x, y): c for k, y, x0, n, c in runs for x in range(x0, x0 + n) if 0 <= x < size[k][0] and 0 <= y < size[k][1]}
+def cells_in(runs):
+    """{(map, x, y): code}, past the maps' edges as well."""
+    return {(k, x, y): c for k, y, x0, n, c in runs for x in range(x0, x0 + n)}
 
 
 def test_blocks_are_filled_without_a_join(spark):
     maps, runs = sparse(1)
-    held = cells_in(maps, runs)
+    held = cells_in(runs)
     want = {(k, x, y, held.get((k, x, y), 0), x >= w or y >= h) for k, _, _, w, h in maps if w and h for x in range(-(-w // 32) * 32) for y in range(-(-h // 32) * 32)}
     got = [tuple(row) for row in r.blocks_filled(spark.createDataFrame(runs, RUNS), spark.createDataFrame(maps, MAPS), 32).collect()]
     assert len(got) == len(want) and set(got) == want
     assert "Join" not in plan_of(QUERIES["chunk_padded_rect"](spark, SF))
+
+
+def test_margins_without_a_join(spark):
+    maps, runs = sparse(2)
+    held = cells_in(runs)
+    want = {(k, x, y, held.get((k, x - 2, y - 1), 7)) for k, _, _, w, h in maps for x in range(w + 5) for y in range(h + 3)}
+    got = [tuple(row) for row in r.padded_maps(spark.createDataFrame(runs, RUNS), spark.createDataFrame(maps, MAPS), 2, 1, 3, 2, 7).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "Join" not in plan_of(QUERIES["raster_pad"](spark, SF))
