@@ -8,7 +8,6 @@ from loomgrid.functions.grid import display_path
 from loomgrid.operators import encodings as e
 from loomgrid.operators import levels as v
 from loomgrid.operators.lexicon import LEVELS
-from loomgrid.operators.raster import cells_of
 from loomgrid.sources import domain as d
 
 from .atlas_queries import FOUND, atlas
@@ -71,17 +70,17 @@ UNION ALL SELECT map_ord, bx, bq, NULL, 'palette', n*w + (CASE WHEN n <= 2 THEN
 UNION ALL SELECT map_ord, bx, bq, o, 'runs', n*w + lengths + CASE WHEN n <= 2 THEN 0 WHEN n <= 3 THEN runs-1 WHEN n <= 5 THEN (runs-1)*2 WHEN n <= 16 THEN runs*4 END FROM ro JOIN vb USING (map_ord, bx, bq))"""
 
 
-def found(spark, sf):
-    return e.codings(cells_of(d.runs(spark, sf), "map_ord"), BLOCK, "map_ord")
+def costs(spark, sf):
+    return e.block_costs(e.pieces_of_runs(d.runs(spark, sf), BLOCK, "map_ord"), BLOCK, "map_ord")
 
 
 @query("encoding_bits", "cells", f"WITH {BITS} SELECT map_ord, bx::BIGINT AS bx, bq::BIGINT AS \"by\", o AS \"order\", coding, bits::BIGINT AS bits FROM cd WHERE bits IS NOT NULL")
 def encoding_bits(spark, sf):
     """Bits of every coding of every block, in four scan orders."""
-    return found(spark, sf)
+    return e.listed(costs(spark, sf), "map_ord")
 
 
 @query("encoding_cheapest", "cells", f"WITH {BITS}, k AS (SELECT *, row_number() OVER (PARTITION BY map_ord, bx, bq ORDER BY bits, coding, coalesce(o, '')) AS k FROM cd WHERE bits IS NOT NULL) SELECT map_ord, bx::BIGINT AS bx, bq::BIGINT AS \"by\", o AS \"order\", coding, bits::BIGINT AS bits FROM k WHERE k = 1")
 def encoding_cheapest(spark, sf):
     """The coding of fewest bits of every block."""
-    return e.cheapest(found(spark, sf), "map_ord")
+    return e.least(costs(spark, sf), "map_ord")

@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomgrid.functions import grid as g
+from loomgrid.operators import encodings as e
 from loomgrid.operators import raster as r
 from loomgrid.plans.all_queries import QUERIES
 
@@ -53,3 +55,28 @@ def test_margins_without_a_join(spark):
     got = [tuple(row) for row in r.padded_maps(spark.createDataFrame(runs, RUNS), spark.createDataFrame(maps, MAPS), 2, 1, 3, 2, 7).collect()]
     assert len(got) == len(want) and set(got) == want
     assert "Join" not in plan_of(QUERIES["raster_pad"](spark, SF))
+
+
+def test_scans_are_those_of_the_column_functions(spark):
+    ways = {"zigzag": g.zigzag, "zigzag_mirror": g.chained(g.mirror, g.zigzag), "zigzag_transpose": g.chained(g.transpose, g.zigzag), "zigzag_transpose_mirror": g.chained(lambda i, n: g.mirror(i, n, False, True), g.transpose, g.zigzag)}
+    for size in (4, 8):
+        rows = spark.range(size * size).select("id", *[way(F.col("id"), size).alias(name) for name, way in ways.items()]).collect()
+        for name in e.ORDERS:
+            assert [row.id for row in sorted(rows, key=lambda row: row[name])] == e.scan(name, size).tolist()
+
+
+def test_codings_of_runs_make_no_cells(spark):
+    """Runs past a block's edge and blocks that are full in part cost what their cells do; a run counts the cells that are there, as in SQL."""
+    _, runs = sparse(3)
+    df = spark.createDataFrame(runs, RUNS)
+    of_runs = e.listed(e.block_costs(e.pieces_of_runs(df, 8, "map_ord"), 8, "map_ord"), "map_ord")
+    got, want = (sorted(map(repr, found.collect())) for found in (of_runs, e.codings(r.cells_of(df, "map_ord"), 8, "map_ord")))
+    assert got == want and len(got) > 100
+    least = e.least(e.block_costs(e.pieces_of_runs(df, 8, "map_ord"), 8, "map_ord"), "map_ord")
+    assert sorted(map(repr, least.collect())) == sorted(map(repr, e.cheapest(of_runs, "map_ord").collect()))
+    gap = spark.createDataFrame([(0, 0, 0, 3, 5), (0, 1, 0, 297, 5)], RUNS)  # one run of 300 places in a block of 400 cells' side
+    row = e.block_costs(e.pieces_of_runs(gap, 400, "map_ord"), 400, "map_ord").first()
+    assert row.c3 == 3 + 8 * 2 and row.c0 == 3 and row.c1 == 3 * 300
+    for name in ("encoding_bits", "encoding_cheapest"):
+        plan = plan_of(QUERIES[name](spark, SF))
+        assert "Window" not in plan and "Join" not in plan
