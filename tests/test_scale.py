@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from loomgrid.functions import grid as g
 from loomgrid.operators import encodings as e
 from loomgrid.operators import raster as r
 from loomgrid.plans.all_queries import QUERIES
+from loomgrid.sources import mapfile as m
 
 SF = "/root/testdata/sf0.001"
 MAPS = "map_ord long, west long, south long, width long, height long"
@@ -80,3 +82,39 @@ def test_codings_of_runs_make_no_cells(spark):
     for name in ("encoding_bits", "encoding_cheapest"):
         plan = plan_of(QUERIES[name](spark, SF))
         assert "Window" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("single", [False, True])
+def test_map_files_are_written_without_a_join(spark, single):
+    """Files over several batches, maps without runs and runs without a map, runs past a map's edge."""
+    maps, runs = sparse(5, 40)
+    maps = [m for m in maps if m[0] != 7]
+    size = {m[0]: m[1:] for m in maps}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        files = m.write_map_sets(spark.createDataFrame(runs, RUNS), spark.createDataFrame(maps, MAPS), 1, 1, header=b"HEAD", version=b"1", per_file=8, side=8, single=single)
+        rows = files.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    held = {k for k in {q[0] for q in runs} if k in size}
+    want = {}
+    for k in sorted(held):
+        west, south, w, h = size[k]
+        codes = [[0] * w for _ in range(h)]
+        for q, y, x0, n, c in runs:
+            for x in range(max(x0, 0), min(x0 + n, w)):
+                if q == k and 0 <= y < h:
+                    codes[y][x] = c
+        want.setdefault(k if single else k // 8, []).append((west, south, (h, w), [c for line in codes for c in line]))
+    read = m.decode_single if single else m.decode_set
+    assert len(rows) == len(want)
+    assert {int(row.path): [(west, south, c.shape, c.ravel().tolist()) for west, south, c in read(bytes(row.content))["maps"]] for row in rows} == want
+    assert "Join" not in plan_of(files)
+
+
+def test_images_of_many_files_are_one_batch(spark):
+    codes = [np.arange(k + 1).reshape(1, -1) % 3 for k in range(9)]
+    files = spark.createDataFrame([(f"f{k}", m.encode_single(k, -k, c, 5, 6, header=b"HEAD", version=b"1", side=2)) for k, c in enumerate(codes)], "path string, content binary")
+    got = {(row.file, row.west, row.south, row.width, row.y, row.x0, row.len, row.code) for row in m.decode_singles(files).collect()}
+    assert got == {(f"f{k}", k, -k, k + 1, 0, x, 1, x % 3) for k in range(9) for x in range(k + 1)}
