@@ -43,7 +43,7 @@ def level_pyramid(spark, sf):
 def level_names(spark, sf):
     """What a level draws at each point, and the name that the finest map gives it."""
     asked = pt_project(spark, sf).withColumn("level", F.pmod("event_id", F.lit(TOP + 1)))
-    named = atlas(spark, sf).point_codes(asked).join(d.paths(spark, sf), "code", "left")
+    named = atlas(spark, sf).named(asked, d.paths(spark, sf))
     seen = v.drawn_at(named, drawn(spark, sf))
     return seen.select("event_id", "level", "drawn", "code", display_path([F.col(c) for c in LEVELS]).alias("place"))
 

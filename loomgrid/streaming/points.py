@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.functions.grid import display_path, to_grid
-from loomgrid.operators.atlas import Atlas, small
+from loomgrid.operators.atlas import Atlas
 from loomgrid.operators.lexicon import LEVELS
 
 SCHEMA = "event_id long, ts timestamp, lon double, lat double"
@@ -20,8 +20,7 @@ def read_points(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
 def named(points: DataFrame, atlas: Atlas, paths: DataFrame) -> DataFrame:
     """(event_id, code, place); stateless, so any trigger and restart point will do."""
     grid = points.select("event_id", to_grid(F.col("lon"), atlas.unit_x).alias("x"), to_grid(F.col("lat"), atlas.unit_y).alias("y"))
-    found = atlas.point_codes(grid)
-    return found.join(small(paths), "code", "left").select("event_id", "code", display_path([F.col(c) for c in LEVELS]).alias("place"))
+    return atlas.named(grid, paths).select("event_id", "code", display_path([F.col(c) for c in LEVELS]).alias("place"))
 
 
 def name_stream(points: DataFrame, atlas: Atlas, paths: DataFrame, out: str, checkpoint: str):

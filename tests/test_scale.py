@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.functions import grid as g
+from loomgrid.operators import atlas
 from loomgrid.operators import encodings as e
 from loomgrid.operators import raster as r
+from loomgrid.operators.atlas import Atlas
 from loomgrid.plans.all_queries import QUERIES
 from loomgrid.sources import mapfile as m
 
@@ -118,3 +120,61 @@ def test_images_of_many_files_are_one_batch(spark):
     files = spark.createDataFrame([(f"f{k}", m.encode_single(k, -k, c, 5, 6, header=b"HEAD", version=b"1", side=2)) for k, c in enumerate(codes)], "path string, content binary")
     got = {(row.file, row.west, row.south, row.width, row.y, row.x0, row.len, row.code) for row in m.decode_singles(files).collect()}
     assert got == {(f"f{k}", k, -k, k + 1, 0, x, 1, x % 3) for k in range(9) for x in range(k + 1)}
+
+
+def stacked(spark, seed, n=60):
+    """(atlas, {(x, y): codes in storage order}) of many maps over few places, some west and south of the origin."""
+    rng, maps, runs, held = random.Random(seed), [], [], {}
+    for k in range(n):
+        west, south, w, h = rng.choice([(-9, -4, 12, 3), (3, -2, 9, 5), (40, 7, 20, 1), (-9, -4, 7, 6)])
+        maps.append((k, west, south, w, h))
+        for y in range(h):
+            x = 0
+            while x < w:
+                size, code = rng.randint(1, 6), rng.choice([0, 0, rng.randint(1, 9)])
+                runs.append((k, y, x, size, code))
+                for q in range(x, min(x + size, w)):
+                    held.setdefault((west + q, south + y), []).append(code)
+                x += size
+    return Atlas(spark.createDataFrame(maps, MAPS), spark.createDataFrame(runs, RUNS), 1, 1, bucket=8), held
+
+
+@pytest.mark.parametrize("limit", [0, 64 << 20])
+def test_a_bucket_is_as_large_as_the_grid_makes_it(spark, monkeypatch, limit):
+    """However many maps lie there; broadcast or not, by the bytes that the index has."""
+    monkeypatch.setattr(atlas, "BROADCAST_BYTES", limit)
+    a, held = stacked(spark, 6)
+    sizes = a.composed().select(F.size("segments").alias("n"), F.size("at").alias("wide")).collect()
+    assert max(row.n for row in sizes) <= 8 and {row.wide for row in sizes} == {8}
+    places = [(x, y) for x in range(-12, 65) for y in range(-6, 10)]
+    points = spark.createDataFrame(places, "x long, y long")
+    found = a.point_codes(points)
+    plan = plan_of(found)
+    assert ("BroadcastHashJoin" in plan) == (limit > 0) and ("SortMergeJoin" in plan) == (limit == 0)
+    got = {(row.x, row.y): (row.cover, row.code) for row in found.collect()}
+    assert got == {p: (len(held.get(p, [])), next((c for c in held[p] if c), 0) if p in held else None) for p in places}
+    rects = spark.createDataFrame([(1, -12, -6, 77, 16), (2, 0, 0, 0, 4), (3, -9, -4, 3, 2)], "rect_id long, x long, y long, w long, h long")
+    cells = {(row.rect_id, row.x, row.y): row.code for row in a.rect_codes(rects).collect()}
+    last = {p: next((c for c in reversed(held.get(p, [])) if c), 0) for p in places}
+    assert cells == {(1, *p): last[p] for p in places} | {(3, x, y): last[x, y] for x in (-9, -8, -7) for y in (-4, -3)}
+
+
+def test_all_maps_over_a_point(spark, monkeypatch):
+    a, held = stacked(spark, 7)
+    points = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate([*held, (500, 0)])], "event_id long, x long, y long")
+    want = sorted((k, c) for k, p in enumerate(held) for c in held[p])
+    for bits in (2, 16):
+        monkeypatch.setattr(atlas, "LIST_BITS", bits)
+        rows = a.covering(points, "event_id").collect()
+        assert sorted((row.event_id, row.code) for row in rows) == want and len({(row.event_id, row.map_ord) for row in rows}) == len(rows)
+
+
+def test_only_paths_that_a_map_names_are_joined(spark):
+    a, held = stacked(spark, 8)
+    paths = spark.range(1, 1000).select(F.col("id").alias("code"), F.concat(F.lit("p"), F.col("id")).alias("l1"))
+    named = a.named(spark.createDataFrame([*held, (99, 99)], "x long, y long"), paths)
+    got = {(row.x, row.y): (row.code, row.l1) for row in named.collect()}
+    first = {p: next((c for c in held[p] if c), 0) for p in held}
+    assert got == {p: (c, f"p{c}" if c else None) for p, c in first.items()} | {(99, 99): (None, None)}
+    used = [f for f in named.inputFiles() if "/names-" in f]
+    assert spark.read.parquet(*used).count() == len({c for c in first.values() if c})
