@@ -178,3 +178,19 @@ def test_only_paths_that_a_map_names_are_joined(spark):
     assert got == {p: (c, f"p{c}" if c else None) for p, c in first.items()} | {(99, 99): (None, None)}
     used = [f for f in named.inputFiles() if "/names-" in f]
     assert spark.read.parquet(*used).count() == len({c for c in first.values() if c})
+
+
+def test_requests_are_compared_with_places(spark, monkeypatch):
+    """Maps of one place meet a request as one row; lists are cut by the maps' numbers."""
+    a, _ = stacked(spark, 9)
+    asked = [(k, x, y, w, h) for k, (x, y, w, h) in enumerate([(-12, -6, 4, 3), (0, 0, 0, 5), (3, -2, 9, 5), (-200, -200, 500, 400), (12, 3, 1, 1), (11, 2, 1, 1)])]
+    rects = spark.createDataFrame(asked, "rect_id long, x long, y long, w long, h long")
+    maps = [tuple(row) for row in a.maps.collect()]
+    want = sorted((k, m) for k, x, y, w, h in asked for m, west, south, mw, mh in maps if w and h and west < x + w and x < west + mw and south < y + h and y < south + mh)
+    for bits, limit in ((16, 64 << 20), (3, 0)):
+        monkeypatch.setattr(atlas, "LIST_BITS", bits)
+        monkeypatch.setattr(atlas, "BROADCAST_BYTES", limit)
+        assert sorted(map(tuple, a.touching_each(rects, square=16).collect())) == want
+        assert a.places().count() == (4 if bits == 16 else len({(m[0] >> 3, *m[1:]) for m in maps}))
+    for name in ("rect_prune", "rect_cross", "rect_union", "rect_inside"):
+        assert plan_of(QUERIES[name](spark, SF)).count("Join") <= 2  # one join of requests and places, named once or twice in the plan's text
