@@ -3,13 +3,16 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.functions import grid as g
 from loomgrid.operators import atlas
 from loomgrid.operators import encodings as e
+from loomgrid.operators import localmerge as lm
 from loomgrid.operators import raster as r
+from loomgrid.operators import tokenmerge as tm
 from loomgrid.operators.atlas import Atlas
 from loomgrid.plans.all_queries import QUERIES
 from loomgrid.sources import mapfile as m
@@ -209,3 +212,31 @@ def test_rasters_are_compared_by_lines(spark):
     assert {row.map_ord: row.equal for row in r.same_rasters(*cells, "map_ord").collect()} == got
     assert {row.line.__repr__() for row in b.where("map_ord = 0 AND y = 0").collect()} == {row.line.__repr__() for row in a.where("map_ord = 0 AND y = 0").collect()}
     assert "sequence(x0" not in plan_of(QUERIES["raster_equal"](spark, SF))  # no cells
+
+
+@pytest.mark.parametrize("candidates, seed", [(64, 1), (3, 2), (64, 3)])
+def test_merging_in_one_task_is_merging_by_rounds(spark, monkeypatch, candidates, seed):
+    rng = random.Random(seed)
+    texts = ["", "aaaa", "aaaaa", *{"".join(rng.choice("aab京𠮷#0") for _ in range(rng.randint(1, 14))) for _ in range(150)}]
+    codes = spark.createDataFrame(list(enumerate(texts)), "text_code long, text string").repartition(3)
+    got = []
+    for most in (1 << 23, 0):
+        monkeypatch.setattr(tm, "HELD_TOKENS", most)
+        arrays, report = tm.optimize_tokens(codes, max_merge=12, sizes=True, candidates=candidates)
+        got.append((sorted(map(tuple, report.collect())), sorted((row.text_code, tuple(row.tokens)) for row in arrays.collect())))
+    assert got[0] == got[1] and len(got[0][0]) == 12 and all(row[-1] for row in got[0][0])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_a_page_by_its_writes(seed):
+    rng = random.Random(seed)
+    records = [[rng.randint(0, rng.choice([5, 20, 90])) for _ in range(7)] for _ in range(rng.randint(1, 128))]
+    for bits in (1, 4, 9):
+        assert lm.page_bytes(*lm.page_writes([t for rec in records for t in [*rec, -1]]), bits) == tm._stream_bytes(records, bits)
+
+
+def test_pairs_beyond_a_table(spark, monkeypatch):
+    texts = lm.Texts([pa.record_batch({"text_code": [2, 1], "tokens": [["a", "b", "a", "b"], ["b", "a"]]})])
+    first = texts.counts()
+    monkeypatch.setattr(lm, "TABLE", 0)
+    assert all((a == b).all() for a, b in zip(first, texts.counts())) and first[1].tolist() == [2, 2]
